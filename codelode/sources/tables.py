@@ -25,3 +25,18 @@ def latest(df: DataFrame, key: str, version: str | None, columns: list[str]) ->
         .agg(F.max(packed).alias("_r"))
         .select(key, *[F.col(f"_r.{c}").alias(c) for c in ([version] if version else []) + rest])
     )
+
+
+def current(results: DataFrame, rows: DataFrame, key: str, version: str) -> DataFrame:
+    """Those of ``results`` (made row by row, with key and version) that stem from the last loaded row of their id.
+
+    Only the narrow (key, version) pairs are shuffled, never the texts. A null version is older than any other.
+    """
+    old = F.lit("0001-01-01").cast("timestamp")
+    last = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.coalesce(F.col(version), old)).alias("_last"))
+    return (
+        results.join(last, key)
+        .where(F.coalesce(F.col(version), old) == F.col("_last"))
+        .drop("_last", version)
+        .distinct()
+    )
