@@ -1,0 +1 @@
+"""Grammars of the supported languages."""
