@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm.parsing import GRAMMAR_OF, Grammars
-from codelode.llm.syntax import ecma
+from codelode.syntax import ecma
 
 PAIRS = "file_id long, func_name string, line_no int, signature string, body string, doc string, useful boolean, version timestamp"
 NAME = r"[A-Za-z_$][\w$]*"

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.syntax import ecma, golang, pygram, sqlgram
+from codelode.syntax import ecma, golang, pygram, sqlgram
 
 #: the grammar of each extension
 GRAMMAR_OF = {".js": "js", ".mjs": "js", ".ts": "ts", ".tsx": "tsx", ".py": "py", ".go": "go", ".sql": "sql"}
