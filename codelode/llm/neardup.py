@@ -149,12 +149,21 @@ def sketch_sets(sets: DataFrame, plan: Plan) -> DataFrame:
     return sets.where("id is not null and elements is not null").select("id", good.alias("elements"), "version").mapInPandas(run, SKETCH)
 
 
-def classes(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(representatives with their sketch, members(rep, id)). Of repeated ids one row counts."""
-    one = sketches.drop("version")
-    reps = one.groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    members = one.select("fp1", "fp2", "n", "id").distinct().join(reps.select("fp1", "fp2", "n", "rep"), ["fp1", "fp2", "n"]).select("rep", "id")
-    return reps.select(F.col("rep").alias("id"), "n", "bands", "sig"), members
+def classes(sketches: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(representatives(id, version), members(rep, id)) of the last version of each record.
+
+    records(id, version) has all rows, also those without a sketch: a record whose last version is too short is no member. Only the narrow columns are moved.
+    """
+    narrow = sketches.select("id", _version(), "n", "fp1", "fp2")
+    last = records.where("id is not null").groupBy("id").agg(F.max(_version()).alias("version"))
+    one = narrow.join(last, ["id", "version"]).distinct()
+    reps = one.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("id", "version")).alias("r"))
+    members = cut(one.join(reps, ["fp1", "fp2", "n"]).select(F.col("r.id").alias("rep"), "id", "version"))
+    return members.where("rep = id").select("id", "version"), members.select("rep", "id")
+
+
+def _version():
+    return F.coalesce("version", F.lit("0001-01-01").cast("timestamp")).alias("version")
 
 
 def pairs_within(members: DataFrame, keys: list[str], block_rows: int = 2000) -> DataFrame:
@@ -170,17 +179,20 @@ def pairs_within(members: DataFrame, keys: list[str], block_rows: int = 2000) ->
     return both.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"))
 
 
-def candidates(reps: DataFrame) -> DataFrame:
+def candidates(sketches: DataFrame, reps: DataFrame) -> DataFrame:
     """Distinct pairs of representatives that share a band."""
-    banded = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    return pairs_within(banded, ["band", "key"]).distinct()
+    own = sketches.select("id", _version(), "bands").join(reps, ["id", "version"])
+    banded = own.select("id", F.posexplode("bands").alias("band", "key"))
+    key = F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("key").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return pairs_within(banded.select(key.alias("key"), "id"), ["key"]).distinct()
 
 
-def survivors(pairs: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
+def survivors(pairs: DataFrame, sketches: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
     """Pairs that the sequential test keeps."""
     table = plan.least_matches()
     ratio = plan.threshold
-    side = lambda x: reps.select(F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    own = sketches.select("id", _version(), "n", "sig").join(reps, ["id", "version"]).groupBy("id").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    side = lambda x: own.select(F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     known = pairs.join(side("a"), "id_a").join(side("b"), "id_b")
     # the sizes alone bound the similarity
     known = known.where(F.least("n_a", "n_b") >= F.lit(ratio) * F.greatest("n_a", "n_b") - 1e-9)
@@ -207,7 +219,7 @@ def survivors(pairs: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
 def verify_texts(pairs: DataFrame, texts: DataFrame, plan: Plan, size: int = 5) -> DataFrame:
     """(id_a, id_b, similarity) of pairs of texts whose similarity reaches the threshold; only texts that occur in a pair are moved."""
     ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    own = texts.select("id", "text").where("text is not null").join(ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    own = texts.select("id", _version(), "text").where("text is not null").join(ids, "id", "left_semi").groupBy("id").agg(F.max_by("text", "version").alias("text"))
 
     def hashed(batches):
         for pdf in batches:
@@ -245,16 +257,16 @@ def _exact(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     return pairs.join(side("a"), "id_a").join(side("b"), "id_b").mapInPandas(similar, "id_a long, id_b long, similarity double")
 
 
-def near_duplicates(sketches: DataFrame, verify, plan: Plan) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(sketches: DataFrame, records: DataFrame, verify, plan: Plan) -> tuple[DataFrame, DataFrame]:
     """(pairs of representatives with their similarity, members(rep, id)).
 
-    ``verify`` is given the surviving pairs. Empty tables give empty results. Links between different sets are all there (but for the admitted
+    records(id, version): all rows; of a record the last version counts. ``verify`` is given the surviving pairs. Empty tables give empty results. Links between different sets are all there (but for the admitted
     probability); copies are told by membership.
     """
     kept = cut(sketches)
-    reps, members = classes(kept)
-    found = verify(survivors(candidates(reps), reps, plan))
-    return found, members
+    reps, members = classes(kept, records)
+    kept_pairs = cut(survivors(candidates(kept, reps), kept, reps, plan))
+    return verify(kept_pairs), members
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.llm import neardup as N
-from codelode.sources.tables import current, latest, table
+from codelode.sources.tables import latest, table
 
 #: files: 60 words are at least 1 distinct run of five; duplicate records: at least 5 classes
 FILES, DUPS = N.Plan(0.6, 1), N.Plan(0.7, 5)
@@ -13,8 +13,7 @@ FILE_WORDS = 60
 
 def _files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, folder, "compress_files").select(F.col("file_id").alias("id"), F.col("raw").alias("text"), F.col("scanned_at").alias("version"))
-    sketches = current(N.sketch_texts(rows, FILES, 5, FILE_WORDS).withColumn("v", F.col("version")), rows, "id", "version").withColumnRenamed("v", "version")
-    return N.near_duplicates(sketches, lambda p: N.verify_texts(p, rows, FILES), FILES)
+    return N.near_duplicates(N.sketch_texts(rows, FILES, 5, FILE_WORDS), rows, lambda p: N.verify_texts(p, rows, FILES), FILES)
 
 
 def _dups(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -22,7 +21,7 @@ def _dups(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     names = F.transform("members", lambda m: F.regexp_replace(F.substring_index(m, ":", 1), r"\s", ""))
     names = F.filter(names, lambda n: n != "")
     sets = rows.select(F.col("dup_id").alias("id"), F.transform(names, lambda n: F.xxhash64(n)).alias("elements"), F.col("built_at").alias("version"))
-    return N.near_duplicates(N.sketch_sets(sets, DUPS), lambda p: N.verify_sets(p, sets, DUPS), DUPS)
+    return N.near_duplicates(N.sketch_sets(sets, DUPS), sets, lambda p: N.verify_sets(p, sets, DUPS), DUPS)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
