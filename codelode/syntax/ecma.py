@@ -155,7 +155,7 @@ class Lexer:
                 continue
             c = t[-1]
             if c in ")]}" or c in (STR, TPL, REGEX, JSX, CLOSE_X):
-                return c == "}"
+                return c == "}" or c == ")" and self.after_condition(out)
             if c.isalnum() or c in "_$" or ord(c) > 0xE000:
                 w = WORD_BEFORE.search(t)
                 if w is None:
@@ -167,6 +167,19 @@ class Lexer:
             return True
         return True
 
+    def after_condition(self, out: list[str]) -> bool:
+        """Whether the closing parenthesis at the end belongs to an if, while, for or with."""
+        depth = 0
+        for n, part in enumerate(reversed(out)):
+            for k in range(len(part) - 1, -1, -1):
+                if part[k] in "()":
+                    depth += 1 if part[k] == ")" else -1
+                    if not depth:
+                        before = part[:k].rstrip() if part[:k].strip() else "".join(out[: len(out) - n - 1][-8:]).rstrip()
+                        w = WORD_BEFORE.search(before[-40:])
+                        return w is not None and w.group(1) in ("if", "while", "for", "with") and not before[: -len(w.group(1))].rstrip().endswith(".")
+        return False
+
     def template(self, i: int, out: list[str]) -> int:
         out.append(TPL)
         s = self.s
@@ -1088,6 +1101,7 @@ class Parser:
             self.statement_list(False, (K["case"], K["default"]))
 
     def module_body(self):
+        self.ambient = True  # of a declared module; of another one constants without a value are taken, too
         self.statement_list(True)
 
     # -- expressions
