@@ -25,7 +25,9 @@ NAME_RUN = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z0-9]+|[A-Z0-9]+|[^\W_]+")
 #: documentation that only says that documentation is still to come
 TO_COME = re.compile(
     r"""^\W*(?:(?:todo|fixme|tbd|tba|xxx|wip)\b\W*(?:$|(?:please\s+|must\s+|should\s+|needs?\s+to\s+)?(?:add|write|document|describe|explain|fill|complete|doc|docs|documentation|description|comment|comments)\b)
-    |(?:description|documentation|docs?|docstring|comment|text|details|explanation|summary)\s+(?:(?:is|are|will|to|still|not|yet|be|coming|follow|follows|written|here|for|this|function|method|goes)\s+)*(?:pending|missing|todo|tbd|to\s+come|to\s+follow|to\s+be\s+\w+|follows?|coming|later|soon|written\s+yet|needed|wanted|here)\b
+    |(?:description|documentation|docs?|docstring|comment|text|details|explanation|summary)\s+(?:(?:is|are|will|still|not|yet|be|for|this|function|method)\s+)*
+      (?:pending\b|tbd\b|todo\b|to\s+come\b|to\s+follow\b|follows?\s+(?:later|soon)\b|to\s+be\s+(?:added|written|done|provided|completed|filled|supplied|documented|described)\b|coming\s+(?:soon|later)\b|written\s+(?:yet|later)\b)
+    |(?:description|documentation|docs?|docstring)\s+(?:(?:is|are|still|goes|needed|wanted)\s+)*(?:missing|here|needed|wanted|later|soon)\b
     |(?:to\s+be\s+(?:documented|written|described|done|added|completed|explained)|not\s+(?:yet\s+)?documented|undocumented|no\s+(?:documentation|description|docs)\b|(?:needs|add|write|missing|insert|put|your)\s+(?:a\s+|some\s+|the\s+|more\s+|proper\s+|your\s+)?(?:documentation|description|docs?|docstring|comment)|placeholder|coming\s+soon|document\s+(?:me|this)|describe\s+(?:me|this)|write\s+(?:me|something)|lorem\s+ipsum))""",
     re.I | re.X,
 )
@@ -91,7 +93,7 @@ def skip_type(s: str, at: int, ends: str) -> int:
     while i < len(s):
         c = s[i]
         if c in "([{":
-            if c == "{" and "{" in ends and not angle and s[at:i].strip(": \n\t") and s[:i].rstrip()[-1] not in "|&:,<=>?":
+            if c == "{" and "{" in ends and not angle and s[at:i].strip(": \n\t") and s[:i].rstrip()[-1] not in "|&:,<=?" and not s[:i].rstrip().endswith("=>"):
                 return i
             i = balanced(s, i)
             continue

@@ -117,7 +117,7 @@ class PassageIndex:
 
     def verify(self, joined: str, text: list[str], i: int, lo: int, hi: int) -> tuple[int, int] | None:
         """Aligns a region of the text with the passage: (words in the run, minus its first word)."""
-        margin = self.max_edits + 1
+        margin = (self.q + 1) * self.max_edits + 1  # so far an edit can keep the first shared q-gram from the end of the match
         a = joined.count(" ", 0, max(0, lo - margin))
         b = joined.count(" ", 0, min(len(joined), hi + margin)) + 1
         region, passage = text[a:b], self.items[i][1]

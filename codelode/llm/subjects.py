@@ -4,6 +4,7 @@ A subject's model and the background model give each sentence two cross-entropie
 difference passes the subject's margin, and a document is assigned each subject that enough of its sentences treat.
 
 * Background counts of words and word pairs are taken over all documents (hashed into a fixed number of buckets, so their size is bounded).
+* The sentences without a subject have a model of their own, fitted with those of the subjects.
 * The subject models are fitted on labelled documents, at most ``most_labelled`` of them, chosen by hash. Labels are noisy and say nothing about
   which sentences they mean, so the sentences of labelled documents are weighted by expectation-maximisation between the document's
   labels, the other subjects at a low prior, and the background.
@@ -131,28 +132,30 @@ class SubjectModels:
     what is left, so that an everyday word that the few sentences of a subject happen not to have costs a sentence little.
     """
 
-    def __init__(self, subjects: list[str], background: Background, own: float = 0.5, rare: float = 3.0):
+    def __init__(self, subjects: list[str], background: Background, own: float = 0.5, rare: float = 3.0, least_sentences: int = 3):
         self.subjects, self.background, self.own, self.rare = subjects, background, own, rare
-        self.margins = np.full(len(subjects), 0.05)
+        self.margins, self.least_sentences = np.full(len(subjects), 0.05), least_sentences
 
     def gains(self, t: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Background less subject cross-entropy, summed over the tokens of each sentence: a row for each sentence, a column for each subject."""
+        """Cross-entropy by the model of sentences without a subject less that by each subject, summed over the tokens: a row for each sentence, a column for each subject."""
         if not len(starts):
             return np.zeros((0, len(self.subjects)))
         bg = self.background.prob(t)
-        out = np.empty((len(starts), len(self.subjects)))
-        for s in range(len(self.subjects)):
+        out = np.empty((len(starts), len(self.subjects) + 1))
+        for s in range(len(self.subjects) + 1):
             n = self.hist[s][t[2]]
             weight = 0.85 * n / (n + self.rare)
             p = weight * self.pair[s][t[1]] / np.maximum(n, 1e-3) + (1 - weight) * (self.own * self.uni[s][t[0]] + (1 - self.own) * bg)
             out[:, s] = np.add.reduceat(np.log(p / bg), starts)
-        return out
+        # the background is the corpus or its sentences without a subject, whichever fits the sentence less: the corpus holds the subjects, too
+        return out[:, :-1] - np.minimum(out[:, -1:], 0.0)
 
     def estimate(self, t: np.ndarray, owner: np.ndarray, weight: np.ndarray) -> None:
-        """Counts from sentences weighted by subject; owner: the sentence of each token."""
+        """Counts from sentences weighted by subject, and last from what is left: sentences without one. owner: the sentence of each token."""
         self.uni, self.pair, self.hist = [], [], []
-        for s in range(len(self.subjects)):
-            w = weight[owner, s]
+        rest = np.maximum(0.0, 1.0 - weight.sum(axis=1))
+        for s in range(len(self.subjects) + 1):
+            w = weight[owner, s] if s < len(self.subjects) else rest[owner]
             u = np.bincount(t[0], weights=w, minlength=UNI)
             self.uni.append(((u + 1e-4 * self.background.uni) / (u.sum() + 1e-4)).astype(np.float32))
             self.pair.append(np.bincount(t[1], weights=w, minlength=BI).astype(np.float32))
@@ -174,7 +177,8 @@ class SubjectModels:
             own = u / max(1.0, u.sum())
             ratio = np.log(np.maximum((own + 1e-6) / (bg + 1e-6), 1.0)) * (u >= 3)
             score = np.maximum.reduceat(ratio[t[0]], starts) if len(starts) else np.zeros(0)
-            weight[:, s] = inside * np.clip(score - 1.0, 0, 1)
+            high = np.percentile(ratio[ratio > 0], 80) if (ratio > 0).any() else 1.0
+            weight[:, s] = inside * np.clip(score / high * 2 - 1.2, 0, 1)
         theta = prior.copy()
         for r in range(rounds):
             self.estimate(t, owner, weight)
@@ -182,7 +186,7 @@ class SubjectModels:
             weight, theta = self.posterior(gain, doc, prior, theta)
         self.calibrate(gain, lengths, weight, doc, labels)
 
-    def posterior(self, gain: np.ndarray, doc: np.ndarray, prior: np.ndarray, theta: np.ndarray, generic: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+    def posterior(self, gain: np.ndarray, doc: np.ndarray, prior: np.ndarray, theta: np.ndarray, generic: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
         """Weights of the subjects for each sentence (what is left is background), and the subjects' shares of each document."""
         if not len(gain):
             return gain, theta
@@ -195,22 +199,26 @@ class SubjectModels:
         return w, share / share.sum(axis=1, keepdims=True)
 
     def calibrate(self, gain, lengths, weight, doc, labels) -> None:
-        """The margin per token of each subject: where the rates of labelled and unlabelled documents with such a sentence differ most."""
+        """The margin per token of each subject: where the rates of labelled and unlabelled documents with enough such sentences differ most."""
         per_token = gain / lengths[:, None]
         best = weight.argmax(axis=1)
         for s in range(len(self.subjects)):
             labelled = np.array([s in ls for ls in labels])
             if not labelled.any() or labelled.all():
                 continue
-            top = np.full(len(labels), -9.0)
-            mine = best == s
-            np.maximum.at(top, doc[mine], per_token[mine, s])
-            grid = np.linspace(0.05, 0.5, 19)
+            top = np.full(len(labels), -9.0)  # the gain of the last sentence that is needed
+            mine = np.flatnonzero(best == s)
+            mine = mine[np.lexsort((-per_token[mine, s], doc[mine]))]
+            first = np.r_[True, np.diff(doc[mine]) != 0] if len(mine) else np.zeros(0, dtype=bool)
+            place = np.arange(len(mine)) - np.maximum.accumulate(np.where(first, np.arange(len(mine)), 0)) if len(mine) else mine
+            needed = mine[place == self.least_sentences - 1]
+            top[doc[needed]] = per_token[needed, s]
+            grid = np.linspace(0.0, 0.5, 21)
             score = [(top[labelled] > g).mean() - (top[~labelled] > g).mean() for g in grid]
             good = grid[np.array(score) >= max(score) - 0.01]
             self.margins[s] = good[0]
 
-    def assign(self, texts: list[str], generic: float = 0.3) -> Iterator[tuple[int, int, int, float]]:
+    def assign(self, texts: list[str], generic: float = 0.5) -> Iterator[tuple[int, int, int, float]]:
         """(text, subject, sentences that treat it, mean gain per token)."""
         t, starts, doc, lengths = encode(texts)
         if not len(starts):
