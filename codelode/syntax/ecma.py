@@ -15,7 +15,7 @@ K = {w: chr(0xE100 + i) for i, w in enumerate(WORDS)}
 #: words that may also be names
 SOFT = set("""async of get set static let as from type interface namespace module declare abstract public private protected readonly
 override implements keyof infer is asserts satisfies unique accessor target meta global require out await yield""".split())
-OPS = ["...", "=>", "===", "!==", "**=", "&&=", "||=", "??=", "<<=", "==", "!=", "<=", ">=", "&&", "||", "??", "?.", "++", "--", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "**", "<<"]
+OPS = ["...", "=>", "===", "!==", "**=", "&&=", "||=", "??=", "<<=", "==", "!=", "<=", "&&", "||", "??", "?.", "++", "--", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "**", "<<"]
 O = {o: chr(0xE200 + i) for i, o in enumerate(OPS)}
 NAME, NUM, STR, TPL, REGEX, PRIV, JSX, WRONG = "a", "0", *(chr(0xE300 + i) for i in range(6))
 OPEN_X, CLOSE_X = chr(0xE310), chr(0xE311)
@@ -302,7 +302,7 @@ ALL_WORDS = {NAME, *K.values()}
 KEYS = ALL_WORDS | {STR, NUM, PRIV}
 ASSIGN = {"=", *(O[o] for o in ("**=", "&&=", "||=", "??=", "<<=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^="))}
 BINARY = {
-    **{O[o]: p for o, p in (("??", 1), ("||", 1), ("&&", 2), ("==", 6), ("!=", 6), ("===", 6), ("!==", 6), ("<=", 7), (">=", 7), ("<<", 8), ("**", 11))},
+    **{O[o]: p for o, p in (("??", 1), ("||", 1), ("&&", 2), ("==", 6), ("!=", 6), ("===", 6), ("!==", 6), ("<=", 7), ("<<", 8), ("**", 11))},
     "|": 3, "^": 4, "&": 5, "<": 7, ">": 7, "+": 9, "-": 9, "*": 10, "/": 10, "%": 10, K["instanceof"]: 7, K["in"]: 7,
 }
 UNARY = {"+", "-", "!", "~", K["typeof"], K["void"], K["delete"]}
@@ -1209,12 +1209,11 @@ class Parser:
             if self.maybe(self.generic_arrow, False):
                 return
         self.conditional()
-        if t[self.i] in ASSIGN or t[self.i] == ">" and t[self.i + 1] in (">", O[">="]):
-            if t[self.i] == ">":
-                if t[self.i + 1] == ">":
-                    self.i += 1
-                self.i += 1
-                self.need(O[">="])
+        shift = t[self.i] == ">" and t[self.i + 1] == ">"
+        if shift or t[self.i] in ASSIGN:
+            if shift:  # >>= and >>>=
+                self.i += 3 if t[self.i + 2] == ">" else 2
+                self.need("=")
             else:
                 self.i += 1
             if self.expr not in ("name", "member"):
@@ -1265,17 +1264,18 @@ class Parser:
                 return
             if c == K["in"] and self.no_in:
                 return
-            if c == ">" and t[self.i + 1] in (">", O[">="]):  # >> and >>>
+            if c == ">" and t[self.i + 1] in (">", "="):  # >=, >> and >>>; a type may end in each of their signs, so they are kept apart
                 j = self.i + 1
-                if t[j] == ">":
+                while t[j] == ">" and j < self.i + 3:
                     j += 1
-                if t[j] == ">":
+                if t[j] == "=":
+                    if j > self.i + 1:
+                        return
                     j += 1
-                if t[j] == O[">="] :
-                    return
-                p = 8
-                if p <= least:
-                    return
+                else:
+                    p = 8
+                    if p <= least:
+                        return
                 self.i = j
             else:
                 if c == O["**"] and self.expr == "unary":
@@ -1644,10 +1644,6 @@ class Parser:
         self.type()
         while self.eat(","):
             self.type()
-        if self.t[self.i] == O[">="]:  # let a: B<C>= d
-            self.t = self.t[: self.i] + ">=" + self.t[self.i + 1 :]
-            if self.nl:
-                self.nl = {x + (x > self.i) for x in self.nl}
         self.need(">")
 
     def type(self):
