@@ -40,3 +40,12 @@ def current(results: DataFrame, rows: DataFrame, key: str, version: str) -> Data
         .drop("_last", version)
         .distinct()
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over at least as many partitions as there are cores, for costly work in Python on few large row groups.
+
+    A table that is read in enough partitions, as any large one is, stays as it is and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
