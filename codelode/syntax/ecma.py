@@ -330,7 +330,7 @@ class Grammar:
             self.lexer = Lexer(text, self.jsx)
             self.masked = self.lexer.run()
             t = self.groups.fold(finish(self.masked))
-            if len(self.statements) > 400_000:
+            if len(self.statements) > 100_000:
                 self.statements.clear()
             flags = self.block(t, True)
             return not flags & ~AWAIT

@@ -521,7 +521,7 @@ class Parser:
                     except (Bad, RecursionError):
                         ok = False
                     if len(part) < 400:
-                        if len(known) > 400_000:
+                        if len(known) > 100_000:
                             known.clear()
                         known[part] = ok
                 if not ok:

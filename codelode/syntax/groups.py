@@ -28,7 +28,7 @@ class Bad(Exception):
 class Groups:
     """The table of groups of one grammar: ``classify`` gives a hashable description of a group's text, or None if it can be nothing."""
 
-    def __init__(self, classify, limit: int = 400_000):
+    def __init__(self, classify, limit: int = 100_000):
         self.classify, self.limit = classify, limit
         self.clear()
 
