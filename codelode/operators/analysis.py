@@ -194,3 +194,52 @@ def glob_filter(path: Column, globs: list[str]) -> Column:
     for g in globs:
         out = out | path.rlike(glob_regex(g))
     return out
+
+
+def inside_context(lines: DataFrame, key: list[str], tag: str) -> DataFrame:
+    """Lines with ``inside``: whether more <tag> than </tag> have come up to and with them. Rules that need a context are checked on these lines only."""
+    count = lambda p: F.size(F.split(F.col("line"), p)) - 1
+    w = Window.partitionBy(*key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return lines.withColumn("inside", F.sum(count(rf"<{tag}\b") - count(rf"</{tag}>")).over(w) > 0)
+
+
+def style_findings(files: DataFrame, functions: DataFrame, most_long_names: int = 3) -> DataFrame:
+    """(file_id, rule, n): style of compact sources. files(file_id, raw), functions(file_id, params).
+
+    missing-ctx-header: the first line names no context; multi-line-imports: an import that goes over lines; indented-lines: more than a tenth of the lines begin with blanks;
+    long-names: more parameter names of over 12 characters than allowed; single-line-blob: one line of more than 500 characters.
+    """
+    rows = files.where("raw is not null").select("file_id", F.regexp_replace("raw", "\r", "").alias("t"))
+    lines = F.filter(F.split("t", "\n"), lambda x: F.trim(x) != "")
+    indented = F.size(F.filter(lines, lambda x: x.rlike(r"^[ \t]")))
+    issue = lambda when, rule, n: F.when(when, F.struct(F.lit(rule).alias("rule"), n.cast("long").alias("n")))
+    multi = F.size(F.regexp_extract_all("t", F.lit(r"(?m)^(import\s*\{[^}]*\n[^}]*\})"), F.lit(1)))
+    found = F.array(
+        issue(~F.element_at(F.split("t", "\n"), 1).rlike(r"@ctx|\.ctx"), "missing-ctx-header", F.lit(1)), issue(multi > 0, "multi-line-imports", multi),
+        issue(indented > 0.1 * F.size(lines), "indented-lines", indented), issue((F.size(lines) == 1) & (F.length("t") > 500), "single-line-blob", F.lit(1)),
+    )
+    own = rows.select("file_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select("file_id", "i.rule", "i.n")
+    names = functions.select("file_id", F.explode("params").alias("p")).where(F.length(F.regexp_extract("p", r"^(?:\.\.\.)?([\w$]+)", 1)) > 12)
+    long = names.groupBy("file_id").agg(F.count("*").alias("n")).where(F.col("n") > most_long_names).select("file_id", F.lit("long-names").alias("rule"), "n")
+    return own.unionByName(long)
+
+
+def full_analysis(functions: DataFrame, dead: DataFrame, findings: DataFrame, files: DataFrame) -> DataFrame:
+    """One row for each repo: the parts, score, rating and the up to five worst topics.
+
+    functions as extracted, dead(repo), findings(repo, severity), files(repo, rating of size).
+    """
+    f = functions.groupBy("repo").agg(
+        F.count_if(F.col("complexity") > 20).alias("critical"), F.count_if((F.col("complexity") > 10) & (F.col("complexity") <= 20)).alias("high"),
+        F.count_if(~F.col("has_doc") & ~F.col("name").startswith("_")).alias("undocumented"),
+        F.count_if(F.col("has_doc") & (F.size("doc_params") > 0) & (F.size("doc_params") != F.size("params"))).alias("doc_errors"), F.count_if(F.col("has_doc") & F.col("has_return") & ~F.col("doc_returns")).alias("doc_warnings"),
+    )
+    d = dead.groupBy("repo").agg(F.count("*").alias("dead"))
+    p = findings.groupBy("repo").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    s = files.groupBy("repo").agg(F.count_if(F.col("rating") == "critical").alias("critical_files"), F.count_if(F.col("rating") == "warning").alias("warning_files"))
+    rows = s.join(f, "repo", "left").join(d, "repo", "left").join(p, "repo", "left").na.fill(0)
+    c = F.col
+    score = health(c("dead"), c("undocumented"), F.lit(0), c("critical"), c("high"), c("critical_files"), c("warning_files"), c("errors"), c("warnings"), c("doc_errors"), c("doc_warnings"))
+    topics = [("dead", 2.0, "dead code"), ("undocumented", 0.5, "undocumented functions"), ("critical", 5.0, "critical complexity"), ("critical_files", 4.0, "critical files"), ("errors", 3.0, "outdated patterns"), ("doc_errors", 2.0, "documentation that does not fit")]
+    worst = F.slice(F.reverse(F.array_sort(F.filter(F.array(*[F.struct((c(n) * w).alias("w"), F.concat(c(n).cast("string"), F.lit(f" {t}")).alias("t")) for n, w, t in topics]), lambda x: x["w"] > 0))), 1, 5)
+    return rows.withColumn("score", score).withColumn("rating", health_rating(c("score"))).withColumn("topics", F.array_join(F.transform(worst, lambda x: x["t"]), "; "))

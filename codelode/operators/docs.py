@@ -137,3 +137,15 @@ def rewrite(files: DataFrame, how: str) -> DataFrame:
         raise ValueError(f"unknown rewriting {how}")
     rows = files.where("file_id is not null and raw is not null").select("file_id", F.lower("ext").alias("ext"), "raw").where(F.col("ext").isin(".js", ".mjs", ".ts", ".tsx"))
     return rows.mapInPandas(run, "file_id long, text string, n_before long, n_after long, error string")
+
+
+def generate_context(functions: DataFrame, classes: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """(path_rel, text): context files from facts. Descriptions of old entries(path, name, description) are kept; new symbols get a placeholder."""
+    kept = old.where("description <> ''").groupBy(F.col("path").alias("path_rel"), "name").agg(F.min("description").alias("description")) if old is not None else None
+    rows = functions.where("owner is null").select("path_rel", "name", "line", F.concat(F.when(F.col("exported"), "export ").otherwise(""), "name", F.lit("("), F.array_join("params", ","), F.lit(")"), F.when(F.size("calls") > 0, F.concat(F.lit("→→"), F.array_join(F.slice("calls", 1, 6), ","))).otherwise("")).alias("s"))
+    more = classes.select("path_rel", "name", "line", F.concat(F.lit("class "), "name", F.when(F.col("extends").isNotNull(), F.concat(F.lit(" extends "), "extends")).otherwise("")).alias("s"))
+    rows = rows.unionByName(more)
+    rows = rows.join(kept, ["path_rel", "name"], "left") if kept is not None else rows.withColumn("description", F.lit(None).cast("string"))
+    line = F.concat("s", F.lit("|"), F.coalesce("description", F.lit("{DESCRIBE}")))
+    out = rows.groupBy("path_rel").agg(F.array_sort(F.collect_list(F.struct("line", line.alias("x")))).alias("l"))
+    return out.select("path_rel", F.concat(F.lit("--- "), "path_rel", F.lit(" ---\n"), F.array_join(F.transform("l", lambda v: v["x"]), "\n")).alias("text"))

@@ -83,3 +83,32 @@ def ddl_columns(spark, folder):
 _NAMES = "code_functions code_classes code_imports code_complexity code_undocumented code_doc_mismatch code_outdated code_dead code_similar_shapes ddl_columns".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 ORACLE = {}
+
+
+def code_full_analysis(spark, folder):
+    """Score and worst topics of each repo from the facts."""
+    x = facts(spark, folder)
+    sized = A.inventory(files(spark, folder, ["repo", "raw"]).where("raw is not null and repo is not null"))
+    parts = x.select("file_id", F.size("functions").alias("n_functions"), F.size("classes").alias("n_classes"), F.size("exports").alias("n_exports"))
+    rated = A.large_files(sized.join(parts, "file_id", "left")).select("repo", "rating")
+    findings = x.select("repo", F.explode("findings").alias("f")).select("repo", "f.severity")
+    return A.full_analysis(X.functions(x), code_dead(spark, folder), findings, rated).select("repo", "dead", "undocumented", "critical", "high", "doc_errors", "score", "rating", "topics")
+
+
+def code_style(spark, folder):
+    """Style findings by rule and repo."""
+    rows = files(spark, folder, ["repo", "ext", "raw"]).where("ext in ('.js', '.mjs')")
+    found = A.style_findings(rows, X.functions(facts(spark, folder)).join(rows.select("file_id"), "file_id", "left_semi"))
+    return found.join(rows.select("file_id", "repo"), "file_id").groupBy("repo", "rule").agg(F.count("*").alias("n_files"), F.sum("n").alias("n_findings"))
+
+
+def code_components(spark, folder):
+    """Classes that listen, dispatch or register elements."""
+    from codelode.operators.web import components
+
+    x = facts(spark, folder)
+    rows = components(files(spark, folder, ["repo", "path_rel", "raw"]), X.classes(x), X.imports(x))
+    return rows.select("file_id", "name", "tag", F.array_join("children", ",").alias("children"))
+
+
+QUERIES |= {f.__name__: f for f in (code_full_analysis, code_style, code_components)}
