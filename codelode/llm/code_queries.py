@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from codelode.llm.docpairs import documented_functions
 from codelode.llm.parsing import parse_files, rates
-from codelode.sources.tables import current, table
+from codelode.sources.tables import current, spread, table
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "compress_files").select("file_id", "repo", "path_rel", "ext", "raw", F.col("scanned_at").alias("version"))
+    return spread(table(spark, folder, "compress_files").select("file_id", "repo", "path_rel", "ext", "raw", F.col("scanned_at").alias("version")))
 
 
 def _verdicts(spark: SparkSession, folder: str) -> DataFrame:

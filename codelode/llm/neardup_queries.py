@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.llm import neardup as N
-from codelode.sources.tables import latest, table
+from codelode.sources.tables import latest, spread, table
 
 #: files: 60 words are at least 1 distinct run of five; duplicate records: at least 5 classes
 FILES, DUPS = N.Plan(0.6, 1), N.Plan(0.7, 5)
@@ -12,7 +12,7 @@ FILE_WORDS = 60
 
 
 def _files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, folder, "compress_files").select(F.col("file_id").alias("id"), F.col("raw").alias("text"), F.col("scanned_at").alias("version"))
+    rows = spread(table(spark, folder, "compress_files").select(F.col("file_id").alias("id"), F.col("raw").alias("text"), F.col("scanned_at").alias("version")))
     return N.near_duplicates(N.sketch_texts(rows, FILES, 5, FILE_WORDS), rows, lambda p: N.verify_texts(p, rows, FILES), FILES)
 
 

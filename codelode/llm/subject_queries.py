@@ -4,11 +4,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.llm.subjects import assign_subjects, train
-from codelode.sources.tables import current, table
+from codelode.sources.tables import current, spread, table
 
 
 def _assigned(spark: SparkSession, folder: str) -> DataFrame:
-    texts = table(spark, folder, "documents").select("doc_id", "text", F.col("loaded_at").alias("version"))
+    texts = spread(table(spark, folder, "documents").select("doc_id", "text", F.col("loaded_at").alias("version")))
     models = train(texts, table(spark, folder, "subject_labels"), table(spark, folder, "subjects"))
     return current(assign_subjects(texts, models), texts, "doc_id", "version")
 
