@@ -95,16 +95,21 @@ def usages(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     return edges.where((F.col("op") == CALL) & F.col("dst").contains(name)).select("repo", "src").distinct().join(classes, ["repo", "src"])
 
 
-def reachable(edges: DataFrame, starts: DataFrame, most_steps: int = 20, keep_every: int = 4) -> DataFrame:
-    """(start, alias, depth): least number of steps along edges(src, dst) from each start, breadth first.
+def reachable(edges: DataFrame, starts: DataFrame, steps: int | None = None, most_steps: int = 1000, keep_every: int = 4) -> DataFrame:
+    """(start, alias, depth): least number of steps along edges(src, dst) from each start, breadth first. See ``reach``."""
+    return reach(edges.select("src", target_base("dst").alias("dst")), starts, steps, most_steps, keep_every)
 
-    Each step joins the frontier with the edges and removes what is known; the lineage is cut every few steps. Ends when nothing new comes
-    or after ``most_steps``.
+
+def reach(links: DataFrame, starts: DataFrame, steps: int | None = None, most_steps: int = 1000, keep_every: int = 4) -> DataFrame:
+    """``reachable`` along links(src, dst) whose targets are taken as they are.
+
+    Each step joins the frontier with the links and removes what is known; the lineage is cut every few steps. Ends when nothing new comes, or
+    after ``steps`` where the question is about so many. Without, ``most_steps`` is a guard: a wider closure raises, it is never cut.
     """
-    links = cut(edges.select("src", target_base("dst").alias("dst")).where("src is not null and dst is not null and src <> dst").distinct())
+    links = cut(links.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
     known = cut(starts.select("start", F.col("start").alias("alias"), F.lit(0).alias("depth")).distinct())
     frontier = known
-    for step in range(1, most_steps + 1):
+    for step in range(1, (most_steps if steps is None else steps) + 1):
         new = frontier.select("start", F.col("alias").alias("src")).join(links, "src").select("start", F.col("dst").alias("alias")).distinct()
         new = cut(new.join(known.select("start", "alias"), ["start", "alias"], "left_anti").withColumn("depth", F.lit(step)))
         if new.isEmpty():
@@ -113,13 +118,17 @@ def reachable(edges: DataFrame, starts: DataFrame, most_steps: int = 20, keep_ev
         if step % keep_every == 0:
             known = cut(known)
         frontier = new
+    else:
+        if steps is None:
+            raise RuntimeError(f"the closure goes on after {most_steps} steps")
     return known
 
 
-def call_chain(edges: DataFrame, start: str, goal: str, most_steps: int = 20) -> list[str] | None:
+def call_chain(edges: DataFrame, start: str, goal: str, most_steps: int = 1000) -> list[str] | None:
     """A shortest chain of aliases from start to goal (an alias, a full target or a member), or None.
 
-    The reached aliases stay distributed with their predecessors; only the one chain comes to the driver, a row for each step.
+    The reached aliases stay distributed with their predecessors; only the one chain comes to the driver, a row for each step. None means that
+    nothing new was reached; ``most_steps`` is a guard that raises.
     """
     links = cut(edges.select("src", "dst", target_base("dst").alias("base")).where("src is not null and dst is not null").distinct())
     spark = edges.sparkSession
@@ -140,7 +149,7 @@ def call_chain(edges: DataFrame, start: str, goal: str, most_steps: int = 20) ->
         if new.isEmpty():
             return None
         known, frontier = cut(known.unionByName(new)), new
-    return None
+    raise RuntimeError(f"the search goes on after {most_steps} steps")
 
 
 def skeleton(nodes: DataFrame) -> DataFrame:

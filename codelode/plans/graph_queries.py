@@ -51,12 +51,21 @@ def graph_usages(spark, folder):
     return G.usages(nodes(spark, folder), edges(spark, folder), "Pipe").select("repo", "src", "node_name")
 
 
+def _calls(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(links, starts): calls between aliases of one repo, and every 20th node."""
+    name = lambda alias: F.concat("repo", F.lit("/"), alias)
+    own = edges(spark, folder).where(F.col("op") == G.CALL).select(name(F.col("src")).alias("src"), name(G.target_base("dst")).alias("dst"))
+    return own, table(spark, folder, "graph_nodes").where("node_id % 20 = 0 and repo is not null and alias is not null").select(name(F.col("alias")).alias("start"))
+
+
 def graph_reachable(spark, folder):
-    """Aliases reached along calls from every 20th node, all repos, three steps."""
-    own = edges(spark, folder).where(F.col("op") == G.CALL)
-    links = own.select(F.concat_ws("/", "repo", "src").alias("src"), F.concat_ws("/", "repo", G.target_base("dst")).alias("dst"))
-    starts = table(spark, folder, "graph_nodes").where("node_id % 20 = 0 and repo is not null and alias is not null").select(F.concat_ws("/", "repo", "alias").alias("start"))
-    return G.reachable(links.withColumn("dst", F.regexp_replace("dst", r"\.", "·")), starts, 3).select("start", "alias", "depth")
+    """Aliases reached along calls from every 20th node, all repos, three steps as in its SQL; graph_closure has all of them."""
+    return G.reach(*_calls(spark, folder), steps=3).select("start", "alias", "depth")
+
+
+def graph_closure(spark, folder):
+    """Aliases reached along calls from every 20th node, all repos, in any number of steps."""
+    return G.reach(*_calls(spark, folder)).select("start", "alias", "depth")
 
 
 def graph_skeleton(spark, folder):
@@ -100,7 +109,7 @@ def focus_zone(spark, folder):
     return G.focus_zone(nodes(spark, folder), files.withColumn("n", n).where("n <= 5").select("repo", "path_rel"))
 
 
-QUERIES = {f.__name__: f for f in (graph_orphans, graph_duplicate_methods, graph_usage_counts, graph_deps, graph_usages, graph_reachable, graph_skeleton, graph_stats, graph_legend, graph_call_edges, graph_inheritance, focus_zone)}
+QUERIES = {f.__name__: f for f in (graph_orphans, graph_duplicate_methods, graph_usage_counts, graph_deps, graph_usages, graph_reachable, graph_closure, graph_skeleton, graph_stats, graph_legend, graph_call_edges, graph_inheritance, focus_zone)}
 _LEGEND = """base AS (SELECT repo, name, ord, CASE WHEN length(rest) >= 2 THEN substr(rest, 1, 3) WHEN regexp_matches(name, '^[a-z]') AND cap <> '' THEN substr(name, 1, 1) || cap ELSE substr(name, 1, 2) END AS b
   FROM (SELECT *, regexp_replace(name, '[a-z]', '', 'g') AS rest, regexp_extract(name, '[A-Z]') AS cap FROM first)),
 legend AS (SELECT repo, name, b || CASE k WHEN 1 THEN '' ELSE (k - 1)::VARCHAR END AS alias FROM (SELECT *, row_number() OVER (PARTITION BY repo, b ORDER BY ord, name) AS k FROM base))
