@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.llm.neardup import components
 from codelode.session import cut
 
 REASONS = "file_id long, repo string, path_rel string, generated boolean, minified boolean, vendored boolean, data boolean, version timestamp"
@@ -187,21 +188,47 @@ def shared_subtrees(files: DataFrame, least_files: int = 2, least_chars: int = 2
     """(repo, dir): directories whose whole subtree also stands in an unrelated repository.
 
     Subtrees of fewer than ``least_files`` files or ``least_chars`` characters are too common to tell anything. Two repositories are related (a
-    fork, a move) if the subtrees they share hold more than ``related_share`` of the files of the smaller one. Every repository of a
-    group is compared with the first one of that group, never with all others.
+    fork, a move) if a subtree they share holds more than ``related_share`` of the files of the smaller one. A repository is compared with all that
+    hold the subtree: those of other families (``families``) are unrelated to it. Only where all holders are of one family, they are compared in
+    pairs, since two of a family need not be related themselves (both may be related to the small project that they copied).
     """
     dirs = cut(directory_hashes(files))
     size = files.where("repo is not null and path_rel is not null").select("repo", "path_rel").distinct().groupBy("repo").agg(F.count("*").alias("repo_files"))
     big = dirs.where((F.col("n_files") >= least_files) & (F.col("n_chars") >= least_chars))
-    groups = big.groupBy("h1", "h2", "n_files").agg(F.min("repo").alias("first"), F.max("repo").alias("last"))
-    shared = big.join(groups.where("first <> last"), ["h1", "h2", "n_files"]).withColumn("other", F.when(F.col("repo") == F.col("first"), F.col("last")).otherwise(F.col("first")))
+    key = ["h1", "h2", "n_files"]
+    holders = big.select(*key, "repo").distinct()
+    groups = holders.groupBy(*key).agg(F.count("*").alias("n_repos"), F.bit_xor(F.xxhash64("repo")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "repo")).alias("y")).where("n_repos > 1")
+    shared = cut(big.join(groups, key).select(*key, "repo", F.array_join("parts", "/").alias("dir"), F.struct("n_repos", "x", "y").alias("holders")))
+    if shared.isEmpty():
+        return shared.select("repo", "dir")
+    # subtrees with the same holders say the same, but for the largest: it decides who is related
+    most = shared.groupBy("holders").agg(F.max("n_files").alias("n_files"))
+    sets = cut(shared.select("holders", "repo").distinct().join(most, "holders").join(size, "repo").select("holders", "repo", (F.col("n_files") > related_share * F.col("repo_files")).alias("small")))
+    foreign = unrelated_holders(sets)
+    return shared.join(foreign, ["holders", "repo"], "left_semi").select("repo", "dir").distinct()
+
+
+def families(sets: DataFrame) -> DataFrame:
+    """(repo, family) of the related repos in sets(holders, repo, small). A repo that a shared subtree makes the most of is related to all holders, so one star links a set."""
+    hub = sets.where("small").groupBy("holders").agg(F.min("repo").alias("hub"))
+    links = sets.join(hub, "holders").select(F.col("repo").alias("id_a"), F.col("hub").alias("id_b"))
+    return components(links).select(F.col("id").alias("repo"), F.col("group").alias("family"))
+
+
+def unrelated_holders(sets: DataFrame) -> DataFrame:
+    """(holders, repo) of sets(holders, repo, small) for repos that are unrelated to another holder of the set. Two repos are related if either is small in a set that has both."""
+    own = cut(sets.join(families(sets), "repo", "left").withColumn("family", F.coalesce("family", "repo")))
+    spread = own.groupBy("holders").agg(F.count_distinct("family").alias("n_families"))
+    apart = own.join(spread.where("n_families > 1"), "holders").select("holders", "repo")
+    left = own.join(spread.where("n_families = 1"), "holders").where("not small").select("holders", "repo")
+    pairs = cut(left.join(left.select("holders", F.col("repo").alias("other")), "holders").where("repo <> other"))
+    linking = sets.join(sets.where("small").select(F.col("holders")).distinct(), "holders", "left_semi").withColumnRenamed("holders", "by")
     related = (
-        shared.groupBy("repo", "other").agg(F.max("n_files").alias("shared_files"))
-        .join(size, "repo").join(size.select(F.col("repo").alias("other"), F.col("repo_files").alias("other_files")), "other")
-        .where(F.col("shared_files") > related_share * F.least("repo_files", "other_files"))
-        .select("repo", "other")
+        pairs.select("repo", "other").distinct().join(linking.select("by", "repo", "small"), "repo")
+        .join(linking.select("by", F.col("repo").alias("other"), F.col("small").alias("other_small")), ["by", "other"])
+        .where("small or other_small").select("repo", "other").distinct()
     )
-    return shared.join(related, ["repo", "other"], "left_anti").select("repo", F.array_join("parts", "/").alias("dir")).distinct()
+    return apart.unionByName(pairs.join(related, ["repo", "other"], "left_anti").select("holders", "repo").distinct())
 
 
 def vendored_by_tree(files: DataFrame) -> DataFrame:
