@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions.text import content_hash, glob_regex, token_estimate
+from codelode.session import cut
 
 #: rules are rows: bounded by the rule files, so they are broadcast; more than this many are refused
 MOST_RULES = 5000
@@ -145,36 +146,80 @@ def health_rating(score: Column) -> Column:
     return F.when(score >= 90, "excellent").when(score >= 70, "good").when(score >= 50, "warning").otherwise("critical")
 
 
-def similarity(threshold: int = 60) -> Column:
+def similarity(threshold: int = 60, a: str = "a", b: str = "b") -> Column:
     """Score of two functions a_* and b_*: 30 for equal parameter counts, 20 shared parameter names, 10 both async or not, 25 control flow, 15 shared calls.
 
     Columns: name, path, params array, is_async, structure (tokens joined by |), calls array. What is shared counts repeats of the left side only.
     """
-    share = lambda a, b, most: F.when(F.greatest(F.size(a), F.size(b)) > 0, F.floor(most * F.size(F.filter(a, lambda x: F.array_contains(b, x))) / F.greatest(F.size(a), F.size(b)) + 0.5)).otherwise(0)
+    share = lambda p, q, most: F.when(F.greatest(F.size(p), F.size(q)) > 0, F.floor(most * F.size(F.filter(p, lambda x: F.array_contains(q, x))) / F.greatest(F.size(p), F.size(q)) + 0.5)).otherwise(0)
     tokens = lambda c: F.filter(F.split(c, r"\|"), lambda x: x != "")
-    structure = F.when((F.col("a_structure") == F.col("b_structure")) & (F.col("a_structure") != ""), 25).otherwise(share(tokens(F.col("a_structure")), tokens(F.col("b_structure")), 25))
+    structure = F.when((F.col(f"{a}_structure") == F.col(f"{b}_structure")) & (F.col(f"{a}_structure") != ""), 25).otherwise(share(tokens(F.col(f"{a}_structure")), tokens(F.col(f"{b}_structure")), 25))
     return (
-        F.when(F.size("a_params") == F.size("b_params"), 30).otherwise(0) + share(F.col("a_params"), F.col("b_params"), 20) + F.when(F.col("a_is_async") == F.col("b_is_async"), 10).otherwise(0)
-        + structure + share(F.col("a_calls"), F.col("b_calls"), 15)
+        F.when(F.size(f"{a}_params") == F.size(f"{b}_params"), 30).otherwise(0) + share(F.col(f"{a}_params"), F.col(f"{b}_params"), 20) + F.when(F.col(f"{a}_is_async") == F.col(f"{b}_is_async"), 10).otherwise(0)
+        + structure + share(F.col(f"{a}_calls"), F.col(f"{b}_calls"), 15)
     ).cast("int")
 
 
+def _skipped(a: str, b: str) -> Column:
+    """Two functions without control flow to speak of are not compared, whatever else they share."""
+    return (F.length(f"{a}_structure") < 3) & (F.length(f"{b}_structure") < 3)
+
+
+def similar_classes(functions: DataFrame, threshold: int = 60, most_in_block: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(links, members): all pairs of functions of one repo whose score reaches the threshold, told by classes.
+
+    functions(repo, ord, name, path, params, is_async, structure, calls); ord is unique in a repo and may be of any type that can be compared. A
+    class has the same parameters, async flag, control flow and calls; its name is its least ord. members(repo, rep, ord, name, path) has every function.
+    links(repo, a_rep, b_rep, score, back_score, n_links): a_rep <= b_rep; score if the function of a comes first, back_score if that of b does (they
+    differ where control flow is repeated); n_links pairs of functions reach the threshold. Pairs of the same path and name are not counted. Classes are
+    compared in pairs of blocks of a repo, so no task has a whole large repo; none is left out. Rows with a null repo are.
+    """
+    keys = ["params", "is_async", "structure", "calls"]
+    own = functions.where("repo is not null").select("repo", "ord", "name", "path", F.array_sort("params").alias("params"), "is_async", "structure", F.array_sort("calls").alias("calls"))
+    own = own.withColumn("rep", F.min("ord").over(Window.partitionBy("repo", *keys)))
+    own = cut(own)
+    members = own.select("repo", "rep", "ord", "name", "path")
+    tokens = F.filter(F.split("structure", r"\|"), lambda x: x != "")
+    repeats = lambda c: F.size(F.array_distinct(c)) < F.size(c)
+    reps = own.groupBy("repo", "rep", *keys).agg(F.count("*").alias("n")).withColumn("repeated", repeats(F.col("params")) | repeats(tokens) | repeats(F.col("calls")))
+    blocks = reps.groupBy("repo").agg(F.ceil(F.count("*") / most_in_block).cast("int").alias("n_blocks"))
+    reps = cut(reps.join(blocks, "repo").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")))
+    side = lambda x: reps.select("repo", *[F.col(c).alias(f"{x}_{c}") for c in ("rep", *keys, "n", "repeated", "block")], "n_blocks")
+    a = side("a").withColumn("b_block", F.explode(F.sequence("a_block", F.col("n_blocks") - 1))).drop("n_blocks")
+    b = side("b").withColumn("a_block", F.explode(F.sequence(F.lit(0), "b_block"))).drop("n_blocks")
+    pairs = a.join(b, ["repo", "a_block", "b_block"]).where(((F.col("a_block") < F.col("b_block")) | (F.col("a_rep") <= F.col("b_rep"))) & ~_skipped("a", "b"))
+    pairs = pairs.where((F.col("a_rep") != F.col("b_rep")) | (F.col("a_n") > 1)).withColumn("score", similarity())
+    pairs = pairs.withColumn("back", F.when(F.col("a_repeated") | F.col("b_repeated"), similarity(a="b", b="a")).otherwise(F.col("score"))).where((F.col("score") >= threshold) | (F.col("back") >= threshold))
+    turned = F.col("a_rep") > F.col("b_rep")
+    turn = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    links = cut(pairs.select("repo", turn("a_rep", "b_rep").alias("a_rep"), turn("b_rep", "a_rep").alias("b_rep"), turn("score", "back").alias("score"), turn("back", "score").alias("back_score"), "a_n", "b_n"))
+    reached = lambda c: F.col(c) >= threshold
+    both = reached("score") & reached("back_score")
+    half = lambda x: members.select("repo", *[F.col(c).alias(f"{x}_{c}") for c in ("rep", "ord", "name", "path")])
+    # where only one order reaches the threshold, the pairs in that order are counted
+    apart = links.where(~both).join(half("a"), ["repo", "a_rep"]).join(half("b"), ["repo", "b_rep"])
+    apart = apart.where(reached("score") == (F.col("a_ord") < F.col("b_ord"))).where(~(F.col("a_name").eqNullSafe(F.col("b_name")) & F.col("a_path").eqNullSafe(F.col("b_path"))))
+    counted = apart.groupBy("repo", "a_rep", "b_rep").agg(F.count("*").alias("n_apart"))
+    same = half("a").join(half("b").withColumnRenamed("repo", "r"), (F.col("repo") == F.col("r")) & F.col("a_name").eqNullSafe(F.col("b_name")) & F.col("a_path").eqNullSafe(F.col("b_path")) & (F.col("a_ord") < F.col("b_ord")))
+    same = same.groupBy("repo", F.least("a_rep", "b_rep").alias("a_rep"), F.greatest("a_rep", "b_rep").alias("b_rep")).agg(F.count("*").alias("n_same"))
+    every = F.when(F.col("a_rep") == F.col("b_rep"), (F.col("a_n") * (F.col("a_n") - 1) / 2).cast("long")).otherwise(F.col("a_n") * F.col("b_n"))
+    n = F.when(both, every - F.coalesce("n_same", F.lit(0))).otherwise(F.coalesce("n_apart", F.lit(0)))
+    out = links.join(counted, ["repo", "a_rep", "b_rep"], "left").join(same, ["repo", "a_rep", "b_rep"], "left")
+    return out.withColumn("n_links", n.cast("long")).where("n_links > 0").select("repo", "a_rep", "b_rep", "score", "back_score", "n_links"), members
+
+
 def similar_functions(functions: DataFrame, threshold: int = 60) -> DataFrame:
     """Pairs of functions of one repo whose score reaches the threshold: (repo, a_ord, b_ord, a_name, b_name, score), a before b.
 
-    From 71 on the parameter counts must be equal, from 91 on also async: then these are keys of the join. Below, the join is by repo alone, which
-    is meant for single projects, as the analysis is. Pairs of the same file and name, and of two functions without control flow, are left out.
+    ``similar_classes`` with every pair written out, so the rows grow with the square of a class.
     """
-    side = lambda x: functions.select("repo", *[F.col(c).alias(f"{x}_{c}") for c in ("ord", "name", "path", "params", "is_async", "structure", "calls")])
-    a, b = side("a"), side("b")
-    on = (F.col("repo") == F.col("b_repo")) & (F.col("a_ord") < F.col("b_ord"))
-    if threshold > 70:
-        on = on & (F.size("a_params") == F.size("b_params"))
-    if threshold > 90:
-        on = on & (F.col("a_is_async") == F.col("b_is_async"))
-    pairs = a.join(b.withColumnRenamed("repo", "b_repo"), on)
-    pairs = pairs.where(~((F.col("a_path") == F.col("b_path")) & (F.col("a_name") == F.col("b_name"))) & ~((F.length("a_structure") < 3) & (F.length("b_structure") < 3) & (F.col("a_structure") != F.col("b_structure"))))
-    return pairs.withColumn("score", similarity(threshold)).where(F.col("score") >= threshold).select("repo", "a_ord", "b_ord", "a_name", "b_name", "score")
+    links, members = similar_classes(functions, threshold)
+    half = lambda x: members.select("repo", *[F.col(c).alias(f"{x}_{c}") for c in ("rep", "ord", "name", "path")])
+    pairs = links.join(half("a"), ["repo", "a_rep"]).join(half("b"), ["repo", "b_rep"])
+    pairs = pairs.where(((F.col("a_rep") != F.col("b_rep")) | (F.col("a_ord") < F.col("b_ord"))) & ~(F.col("a_name").eqNullSafe(F.col("b_name")) & F.col("a_path").eqNullSafe(F.col("b_path"))))
+    first = F.col("a_ord") < F.col("b_ord")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return pairs.select("repo", pick("a_ord", "b_ord").alias("a_ord"), pick("b_ord", "a_ord").alias("b_ord"), pick("a_name", "b_name").alias("a_name"), pick("b_name", "a_name").alias("b_name"), pick("score", "back_score").alias("score")).where(F.col("score") >= threshold)
 
 
 def shape_classes(functions: DataFrame) -> DataFrame:

@@ -75,12 +75,35 @@ def code_similar_shapes(spark, folder):
     return A.shape_classes(f).groupBy("repo", "shape").agg(F.count("*").alias("n_functions"))
 
 
+def comparable(functions: DataFrame) -> DataFrame:
+    """Functions as the similarity wants them, in order of path and place: declarations and public methods, without constructors and accessors."""
+    method = F.col("owner").isNotNull()
+    out = functions.where(~(method & (F.col("name").startswith("_") | F.coalesce(F.col("accessor").isin("get", "set", "constructor"), F.lit(False)))))
+    return out.select("repo", F.struct("path_rel", "file_id", "ord").alias("ord"), "name", F.col("path_rel").alias("path"), "params", "is_async", "structure", "calls")
+
+
+def _similar(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    links, members = A.similar_classes(comparable(X.functions(facts(spark, folder))))
+    place = lambda df, c, x: df.select("*", F.col(f"{c}.file_id").alias(f"{x}file_id"), F.col(f"{c}.ord").alias(f"{x}n")).drop(c)
+    return place(place(links, "a_rep", "a_"), "b_rep", "b_"), place(place(members, "rep", "class_"), "ord", "")
+
+
+def code_similar_functions(spark, folder):
+    """All pairs of functions that score 60 or more, told by pairs of classes of equal shape (code_similar_members), with the number of such pairs of functions."""
+    return _similar(spark, folder)[0]
+
+
+def code_similar_members(spark, folder):
+    """The class of each function that code_similar_functions compares: file and number of its first function."""
+    return _similar(spark, folder)[1].select("repo", "class_file_id", "class_n", "file_id", "n", "name")
+
+
 def ddl_columns(spark, folder):
     """Columns of the tables that scripts create."""
     return X.tables(facts(spark, folder)).select("file_id", "table_name", "line", "col_name", "col_type")
 
 
-_NAMES = "code_functions code_classes code_imports code_complexity code_undocumented code_doc_mismatch code_outdated code_dead code_similar_shapes ddl_columns".split()
+_NAMES = "code_functions code_classes code_imports code_complexity code_undocumented code_doc_mismatch code_outdated code_dead code_similar_shapes code_similar_functions code_similar_members ddl_columns".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 ORACLE = {}
 
