@@ -18,6 +18,8 @@ CALL = re.compile(rf"(?<![\w$#])((?:new\s+)?)((?:{NAME}\s*\??\.\s*)*)(#?{NAME})\
 IMPORT = re.compile(rf"(?<![\w$.])import\s*(?:type\s+)?((?:{NAME}\s*,?\s*)?(?:\*\s*as\s+{NAME}|\{{[^}}]*\}})?)\s*(?:from)?\s*(?={ecma.STR})")
 EXPORT_NAMES = re.compile(r"(?<![\w$.])export\s*\{([^}]*)\}")
 EXPORT_DECL = re.compile(rf"(?<![\w$.])export\s+(?:default\s+)?(?:(?:async\s+)?function\s*\*?|(?:abstract\s+)?class|const|let|var|interface|type|enum)\s+({NAME})")
+NAMED_EXPORT = re.compile(rf"(?<![\w$.])export\s+((?:async\s+)?function\s*\*?|(?:abstract\s+)?class|const\s+enum|const|let|var|interface|type|enum)\s+({NAME})")
+BARE_NEW = re.compile(rf"(?<![\w$.])new\s+({NAME})(?!\s*[\w$.])")
 NO_CALL = {"if", "for", "while", "switch", "catch", "with", "function", "return", "typeof", "await", "super", "import", "void", "delete", "throw", "new", "do", "else", "in", "of", "instanceof", "case", "yield", "constructor"}
 DECISION = re.compile(r"(?<![\w$.])(?:if|for|while|case|catch)(?![\w$])|&&(?!=)|\|\|(?!=)|\?(?![.?:)\],=])(?<!\?\?)")
 SHAPE = re.compile(r"(?<![\w$.])(if|for|while|switch|try|return|throw|await)(?![\w$])")
@@ -79,6 +81,39 @@ def calls_in(body: str, most: int | None = None) -> list[str]:
     return list(out)
 
 
+def uses_in(s: str, defined: set[int]) -> list[str]:
+    """Names that a text calls, makes with new, whose members it calls, or that it gives as arguments. ``defined``: places of the names of declared functions."""
+    out = {}
+    for m in CALL.finditer(s):
+        if m.start(3) in defined or m.group(3) in NO_CALL and not m.group(2):
+            continue
+        end = balanced(s, m.end() - 1)
+        if not m.group(2) and not m.group(1) and s[end : end + 40].lstrip()[:1] == "{":
+            continue  # a method
+        owner = [x for x in re.split(r"\s*\??\.\s*", m.group(2)) if x]
+        if len(owner) < 2 and not (owner and m.group(1)):
+            out.setdefault(owner[0] if owner else m.group(3))
+        if not m.group(1):
+            out.update(dict.fromkeys(x for x in split_top(s[m.end() : end - 1]) if re.fullmatch(NAME, x)))
+    out.update(dict.fromkeys(BARE_NEW.findall(s)))
+    return list(out)
+
+
+def named_exports(s: str) -> list[str]:
+    """Names under which a file exports, default ones left out."""
+    out = {m.group(2) for m in NAMED_EXPORT.finditer(s)}
+    for m in EXPORT_NAMES.finditer(s):
+        out.update(re.sub(r"^type\s+", "", x).split(" as ")[-1].strip() for x in split_top(m.group(1)))
+    return sorted(x for x in out if x and x != "default")
+
+
+def imported_names(clause: str) -> list[str]:
+    """What an import clause asks the other file for: exported names, and default. A namespace asks for no name."""
+    named = re.search(r"\{([^}]*)\}", clause)
+    out = [re.sub(r"^type\s+", "", x).split(" as ")[0].strip() for x in split_top(named.group(1))] if named else []
+    return out + (["default"] if re.match(NAME, clause.strip()) else [])
+
+
 def shape_of(body: str) -> str:
     out = []
     for m in SHAPE.finditer(body):
@@ -131,7 +166,7 @@ def facts(text: str, typescript: bool, jsx: bool) -> dict:
         end = re.compile(rf"{ecma.STR} *").match(s, at).end()
         source_name = source[at:end].strip()[1:-1]
         names = [re.sub(r"^type\s+", "", x).split(" as ")[-1].strip() for x in split_top(m.group(1).replace("{", ",").replace("}", "").replace("*", "")) if x.strip()]
-        imports.append({"source": source_name, "names": [n.replace("as ", "").strip() for n in names], "line": line_of(m.start())})
+        imports.append({"source": source_name, "asked": imported_names(m.group(1)), "names": [n.replace("as ", "").strip() for n in names], "line": line_of(m.start())})
 
     def function(name, at, paren, is_async, owner, exported):
         end = balanced(s, paren)
@@ -155,8 +190,9 @@ def facts(text: str, typescript: bool, jsx: bool) -> dict:
             "doc_returns": bool(doc and re.search(r"@returns?\s", doc)), "has_return": bool(re.search(r"(?<![\w$.])return\s+[^;\s}]", body)), "start": brace, "stop": stop,
         }
 
-    functions = []
+    functions, defined = [], set()
     for m in FUNCTION.finditer(s):
+        defined.add(m.start(3))
         f = function(m.group(3), m.start(3), m.end() - 1, bool(m.group(2)), None, bool(m.group(1).strip()) or m.group(3) in exports)
         if f:
             functions.append(f)
@@ -211,7 +247,7 @@ def facts(text: str, typescript: bool, jsx: bool) -> dict:
         f.pop("start")
         f.pop("stop")
         f.setdefault("accessor", None)
-    return {"functions": functions, "classes": classes, "imports": imports, "exports": sorted(e for e in exports if e), "findings": findings, "unused_imports": unused, "unused_variables": unused_variables}
+    return {"functions": functions, "classes": classes, "imports": imports, "exports": sorted(e for e in exports if e), "findings": findings, "unused_imports": unused, "unused_variables": unused_variables, "uses": uses_in(s, defined), "named_exports": named_exports(s)}
 
 
 __all__ = ["Bad", "balanced", "calls_in", "facts", "parameter", "shape_of", "split_top"]

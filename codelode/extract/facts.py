@@ -16,8 +16,8 @@ FUNCTION = "struct<name:string,owner:string,line:int,n_lines:int,params:array<st
 CLASS = "struct<name:string,extends:string,line:int,methods:array<string>,properties:array<string>,calls:array<string>,exported:boolean,has_doc:boolean>"
 TABLE = "struct<name:string,line:int,columns:array<struct<name:string,type:string>>>"
 FACTS = (
-    f"file_id long, repo string, path_rel string, functions array<{FUNCTION}>, classes array<{CLASS}>, imports array<struct<source:string,names:array<string>,line:int>>, exports array<string>, "
-    f"findings array<struct<rule:string,severity:string,line:int>>, unused_imports array<string>, unused_variables array<string>, tables array<{TABLE}>, parse_error string"
+    f"file_id long, repo string, path_rel string, functions array<{FUNCTION}>, classes array<{CLASS}>, imports array<struct<source:string,names:array<string>,line:int,asked:array<string>>>, exports array<string>, "
+    f"findings array<struct<rule:string,severity:string,line:int>>, unused_imports array<string>, unused_variables array<string>, tables array<{TABLE}>, parse_error string, uses array<string>, named_exports array<string>"
 )
 
 
@@ -47,10 +47,12 @@ def extract(files: DataFrame) -> DataFrame:
                 error = None
                 try:
                     x = facts_of(ext, raw)
+                    for i in x["imports"]:
+                        i.setdefault("asked", i["names"])
                 except (Bad, RecursionError) as e:
                     x, error = EMPTY, f"not closed: {e}"[:200]
-                rows.append((f, repo, path, x["functions"], x["classes"], x["imports"], x["exports"], x["findings"], x["unused_imports"], x["unused_variables"], x.get("tables", []), error))
-            yield pd.DataFrame(rows, columns=["file_id", "repo", "path_rel", "functions", "classes", "imports", "exports", "findings", "unused_imports", "unused_variables", "tables", "parse_error"])
+                rows.append((f, repo, path, x["functions"], x["classes"], x["imports"], x["exports"], x["findings"], x["unused_imports"], x["unused_variables"], x.get("tables", []), error, x.get("uses", []), x.get("named_exports", [])))
+            yield pd.DataFrame(rows, columns=["file_id", "repo", "path_rel", "functions", "classes", "imports", "exports", "findings", "unused_imports", "unused_variables", "tables", "parse_error", "uses", "named_exports"])
 
     rows = files.where("file_id is not null").select("file_id", "repo", "path_rel", F.coalesce(F.lower("ext"), F.lit("")).alias("ext"), F.coalesce("raw", F.lit("")).alias("raw"))
     return rows.mapInPandas(run, FACTS)

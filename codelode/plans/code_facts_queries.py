@@ -61,12 +61,41 @@ def code_outdated(spark, folder):
 
 
 def code_dead(spark, folder):
-    """Dead code per file: functions that are not exported and that nothing in the repo calls, unused imports and variables."""
-    x = facts(spark, folder)
+    """Dead code per file: functions that are not exported and that nothing in the repo calls, unused imports and variables, classes and exports (``dead_classes_and_exports``)."""
+    return dead_code(facts(spark, folder))
+
+
+def dead_classes_and_exports(x: DataFrame) -> DataFrame:
+    """(repo, path_rel, type, name) of JavaScript and TypeScript files, as for these languages only.
+
+    class: neither exported nor, anywhere in the repo, exported by that name, called, made, or given as an argument; a class that is only extended
+    counts as dead, as in the reference. export: a named export that no relative import of the repo asks for and its own file does not use; a namespace import
+    asks for no name. Tests are left out, style and template files for classes. Paths are compared without their extension; a folder is its index.
+    """
+    bare = lambda p: F.regexp_replace(p, r"(?:\.d)?\.(?:[jt]sx?|[cm][jt]s)$", "")
+    own = x.where(F.col("repo").isNotNull() & F.col("path_rel").rlike(r"\.(?:[jt]sx?|mjs)$"))
+    path = F.regexp_replace("path_rel", r"^(?:\./|/)+", "")
+    kept = own.where(~F.col("path_rel").contains(".test.") & ~F.col("path_rel").contains("/tests/"))
+    names = lambda c: own.select("repo", F.explode(c).alias("name"))
+    used = names("uses").unionByName(names("exports")).unionByName(names("named_exports")).distinct()
+    shown = X.classes(kept.where(~F.col("path_rel").rlike(r"\.(?:css|tpl)\.js$"))).where("not exported")
+    dead = shown.join(used, ["repo", "name"], "left_anti").select("repo", "path_rel", F.lit("class").alias("type"), "name")
+    asked = own.select("repo", F.array_append(F.slice(F.split(path, "/+"), F.lit(1), F.size(F.split(path, "/+")) - 1), F.lit("")).alias("at"), F.explode("imports").alias("i")).where("startswith(i.source, '.')")
+    # a/b + ../c: empty and . segments go, .. takes the segment before
+    steps = F.concat("at", F.split("i.source", "/+"))
+    target = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, s: F.when((s == "") | (s == "."), acc).when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, s)))
+    asked = asked.select("repo", bare(F.array_join(target, "/")).alias("target"), F.explode("i.asked").alias("name"))
+    asked = asked.unionByName(asked.withColumn("target", F.regexp_replace(F.concat_ws("/", F.when(F.col("target") != "", F.col("target")), F.lit("index")), "^/", ""))).distinct()
+    open_names = kept.withColumn("target", bare(path)).select("repo", "path_rel", "target", "uses", F.explode("named_exports").alias("name")).where(~F.array_contains("uses", F.col("name")))
+    return dead.unionByName(open_names.join(asked, ["repo", "target", "name"], "left_anti").select("repo", "path_rel", F.lit("export").alias("type"), "name"))
+
+
+def dead_code(x: DataFrame) -> DataFrame:
+    """All five kinds of dead code in facts."""
     called = X.functions(x).select("repo", F.explode("calls").alias("c")).unionByName(X.classes(x).select("repo", F.explode("calls").alias("c"))).select("repo", F.substring_index("c", ".", -1).alias("name")).distinct()
     functions = X.functions(x).where("owner is null and not exported and not startswith(name, '_')").join(called, ["repo", "name"], "left_anti").select("repo", "path_rel", F.lit("function").alias("type"), "name")
     listed = lambda col, kind: x.select("repo", "path_rel", F.explode(col).alias("name")).select("repo", "path_rel", F.lit(kind).alias("type"), "name")
-    return functions.unionByName(listed("unused_imports", "import")).unionByName(listed("unused_variables", "variable"))
+    return functions.unionByName(listed("unused_imports", "import")).unionByName(listed("unused_variables", "variable")).unionByName(dead_classes_and_exports(x))
 
 
 def code_similar_shapes(spark, folder):
