@@ -208,6 +208,13 @@ def similar_classes(functions: DataFrame, threshold: int = 60, most_in_block: in
     return out.withColumn("n_links", n.cast("long")).where("n_links > 0").select("repo", "a_rep", "b_rep", "score", "back_score", "n_links"), members
 
 
+def comparable(functions: DataFrame) -> DataFrame:
+    """Functions as the similarity wants them, in order of path and place: declarations and public methods, without constructors and accessors."""
+    method = F.col("owner").isNotNull()
+    out = functions.where(~(method & (F.col("name").startswith("_") | F.coalesce(F.col("accessor").isin("get", "set", "constructor"), F.lit(False)))))
+    return out.select("repo", F.struct("path_rel", "file_id", "ord").alias("ord"), "name", F.col("path_rel").alias("path"), "params", "is_async", "structure", "calls")
+
+
 def similar_functions(functions: DataFrame, threshold: int = 60) -> DataFrame:
     """Pairs of functions of one repo whose score reaches the threshold: (repo, a_ord, b_ord, a_name, b_name, score), a before b.
 
@@ -272,7 +279,7 @@ def style_findings(files: DataFrame, functions: DataFrame, most_long_names: int
 def full_analysis(functions: DataFrame, dead: DataFrame, findings: DataFrame, files: DataFrame) -> DataFrame:
     """One row for each repo: the parts, score, rating and the up to five worst topics.
 
-    functions as extracted, dead(repo), findings(repo, severity), files(repo, rating of size).
+    functions as extracted, dead(repo), findings(repo, severity), files(repo, rating of size). Similar pairs are those of ``similar_classes`` at 70.
     """
     f = functions.groupBy("repo").agg(
         F.count_if(F.col("complexity") > 20).alias("critical"), F.count_if((F.col("complexity") > 10) & (F.col("complexity") <= 20)).alias("high"),
@@ -282,9 +289,10 @@ def full_analysis(functions: DataFrame, dead: DataFrame, findings: DataFrame, fi
     d = dead.groupBy("repo").agg(F.count("*").alias("dead"))
     p = findings.groupBy("repo").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
     s = files.groupBy("repo").agg(F.count_if(F.col("rating") == "critical").alias("critical_files"), F.count_if(F.col("rating") == "warning").alias("warning_files"))
-    rows = s.join(f, "repo", "left").join(d, "repo", "left").join(p, "repo", "left").na.fill(0)
+    m = similar_classes(comparable(functions), 70)[0].groupBy("repo").agg(F.sum("n_links").alias("similar"))
+    rows = s.join(f, "repo", "left").join(m, "repo", "left").join(d, "repo", "left").join(p, "repo", "left").na.fill(0)
     c = F.col
-    score = health(c("dead"), c("undocumented"), F.lit(0), c("critical"), c("high"), c("critical_files"), c("warning_files"), c("errors"), c("warnings"), c("doc_errors"), c("doc_warnings"))
-    topics = [("dead", 2.0, "dead code"), ("undocumented", 0.5, "undocumented functions"), ("critical", 5.0, "critical complexity"), ("critical_files", 4.0, "critical files"), ("errors", 3.0, "outdated patterns"), ("doc_errors", 2.0, "documentation that does not fit")]
+    score = health(c("dead"), c("undocumented"), c("similar"), c("critical"), c("high"), c("critical_files"), c("warning_files"), c("errors"), c("warnings"), c("doc_errors"), c("doc_warnings"))
+    topics = [("dead", 2.0, "dead code"), ("undocumented", 0.5, "undocumented functions"), ("similar", 3.0, "similar pairs"), ("critical", 5.0, "critical complexity"), ("critical_files", 4.0, "critical files"), ("errors", 3.0, "outdated patterns"), ("doc_errors", 2.0, "documentation that does not fit")]
     worst = F.slice(F.reverse(F.array_sort(F.filter(F.array(*[F.struct((c(n) * w).alias("w"), F.concat(c(n).cast("string"), F.lit(f" {t}")).alias("t")) for n, w, t in topics]), lambda x: x["w"] > 0))), 1, 5)
     return rows.withColumn("score", score).withColumn("rating", health_rating(c("score"))).withColumn("topics", F.array_join(F.transform(worst, lambda x: x["t"]), "; "))

@@ -256,7 +256,10 @@ def dead_exports(spark, folder):
 
 
 def health_score(spark, folder):
-    """A score for each repo from its orphans, repeated texts, large files, findings and errors."""
+    """A score for each repo from its orphans, large files and findings of the checks, as its SQL has it.
+
+    Undocumented functions, similar pairs, complexity and documentation, up to 65 points, are not in it; code_full_analysis has them.
+    """
     from codelode.operators.graph import orphans
     from codelode.plans.graph_queries import nodes
 

@@ -104,15 +104,8 @@ def code_similar_shapes(spark, folder):
     return A.shape_classes(f).groupBy("repo", "shape").agg(F.count("*").alias("n_functions"))
 
 
-def comparable(functions: DataFrame) -> DataFrame:
-    """Functions as the similarity wants them, in order of path and place: declarations and public methods, without constructors and accessors."""
-    method = F.col("owner").isNotNull()
-    out = functions.where(~(method & (F.col("name").startswith("_") | F.coalesce(F.col("accessor").isin("get", "set", "constructor"), F.lit(False)))))
-    return out.select("repo", F.struct("path_rel", "file_id", "ord").alias("ord"), "name", F.col("path_rel").alias("path"), "params", "is_async", "structure", "calls")
-
-
 def _similar(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    links, members = A.similar_classes(comparable(X.functions(facts(spark, folder))))
+    links, members = A.similar_classes(A.comparable(X.functions(facts(spark, folder))))
     place = lambda df, c, x: df.select("*", F.col(f"{c}.file_id").alias(f"{x}file_id"), F.col(f"{c}.ord").alias(f"{x}n")).drop(c)
     return place(place(links, "a_rep", "a_"), "b_rep", "b_"), place(place(members, "rep", "class_"), "ord", "")
 
@@ -144,7 +137,7 @@ def code_full_analysis(spark, folder):
     parts = x.select("file_id", F.size("functions").alias("n_functions"), F.size("classes").alias("n_classes"), F.size("exports").alias("n_exports"))
     rated = A.large_files(sized.join(parts, "file_id", "left")).select("repo", "rating")
     findings = x.select("repo", F.explode("findings").alias("f")).select("repo", "f.severity")
-    return A.full_analysis(X.functions(x), code_dead(spark, folder), findings, rated).select("repo", "dead", "undocumented", "critical", "high", "doc_errors", "score", "rating", "topics")
+    return A.full_analysis(X.functions(x), code_dead(spark, folder), findings, rated).select("repo", "dead", "undocumented", "critical", "high", "doc_errors", "similar", "score", "rating", "topics")
 
 
 def code_style(spark, folder):

@@ -30,3 +30,13 @@ def test_all_pairs_in_blocks(spark):
     assert {(x["repo"], x["a_ord"], x["b_ord"], x["score"]) for x in A.similar_functions(f).collect()} == want
     links, members = A.similar_classes(f, 70, most_in_block=7)
     assert links.agg(F.sum("n_links")).first()[0] == len(pairs(rows, 70)) and members.count() == len(rows)
+
+
+def test_similar_pairs_lower_the_score(spark):
+    from codelode.extract import facts as X
+
+    text = "".join(f"/** Adds. @param a {{number}} @returns {{number}} */\nexport function f{k}(a) {{ if (a) {{ return g(a); }} return h(a); }}\n" for k in range(3))
+    files = spark.createDataFrame([(1, "r", "a.js", ".js", text)], "file_id long, repo string, path_rel string, ext string, raw string")
+    empty = spark.createDataFrame([], "repo string, severity string")
+    row = A.full_analysis(X.functions(X.extract(files)), empty.select("repo"), empty, spark.createDataFrame([("r", "ok")], "repo string, rating string")).first()
+    assert row["similar"] == 3 and "3 similar pairs" in row["topics"] and row["score"] <= 91
