@@ -79,6 +79,12 @@ def test_provenance_rules():
     assert j("\n".join(f"const $$S{k}_x = [{k}, 'a', 0x1f];" for k in range(6)) + "\n" + hand)[0] and j(hand, "src/a.pb.js")[0]
     assert j(";".join(f"function a{k}(b){{return b.c*{k}+d[{k}]}}" for k in range(40)))[1]
     assert j(hand, "node_modules/x/a.js")[2] and not j(hand, "src/vendors/a.js")[2] and not j(hand, "src/vendor-portal/a.js")[2] and j("// xkit v1.2.3 | (c) the xkit contributors | MIT License\n" + hand)[2]
+    small = "function a(b){return b.c};var d=1;function e(f){return f+d}"
+    assert all(V.is_minified(small * n, ".js") for n in (1, 4, 8)) and not any(V.is_minified(hand * n, ".js") for n in (1, 4, 8)) and not V.is_minified("run();", ".js")
+    rows = "[\n  1, 2, 3,\n  4, 5, 6,\n  7, 8, 9\n]\n"
+    assert all(V.is_data(rows * n) for n in (1, 4, 8)) and not any(V.is_data(t * n) for n in (1, 4, 8) for t in ("'use strict';\n", '"""What it is for."""\n', "const a = 1;\nconst b = 'x';\n", ""))
+    assert V.is_data("INSERT INTO a_b VALUES (0, 'some words', 3, NULL);\nINSERT INTO a_b (x, y) VALUES (1, 'more', 4);\n") and not V.is_data("CREATE TABLE a (\n  b INT,\n  c TEXT\n);\nINSERT INTO a VALUES (1, 'x');\n")
+    assert V.is_data("package data\n\nvar t = []float64{\n" + "  1, 2, 3,\n" * 9 + "}\n")
     assert j("export default [\n" + "  1.5, -2.25, 3.125,\n" * 40 + "];\n")[3] and not j(hand + "const RAW = '" + "word " * 40 + "';\n")[3]
 
 
