@@ -8,9 +8,9 @@ intervals. A reference with no open interval is an orphan:
 * ``late``    - the first parent record begins only after the reference;
 * ``deleted`` - a parent was there before, its interval has ended.
 
-Hot keys: the keys that hold more references than ``hot_rows`` are found by a counting pass that aggregates
-before its shuffle. There are at most rows / hot_rows of them. Their references are spread over ``salts``
-sub-partitions and their few parent rows copied to each of these.
+Hot keys, those with more references than ``hot_rows`` and a thousandth of all, are found by a counting pass that aggregates before its
+shuffle; there are at most a thousand. Their references are spread over as many sub-partitions as their number asks for, and their few
+parent rows copied to each of these.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelode.operators.skew import hot_keys
+
 #: the columns of a reference and of a parent
 REF = ["ref_table", "row_id", "ref_field", "kind", "repo", "key", "at"]
 PARENT = ["kind", "repo", "key", "valid_from", "valid_to"]
@@ -29,7 +31,7 @@ def table_key(name: Column) -> Column:
     return F.substring_index(bare, ".", -1)
 
 
-def merge_references(refs: DataFrame, parents: DataFrame, hot_rows: int = 200_000, salts: int = 32) -> DataFrame:
+def merge_references(refs: DataFrame, parents: DataFrame, hot_rows: int = 200_000, counted: DataFrame | None = None) -> DataFrame:
     """Every reference with its ``status``: ok, missing, late or deleted.
 
     refs: REF columns, ``at`` null where the parent counts at any time. parents: PARENT columns; ``valid_to`` null means
@@ -37,19 +39,17 @@ def merge_references(refs: DataFrame, parents: DataFrame, hot_rows: int = 200_00
 
     Nulls: a reference with a null key is no reference and is dropped; with a null repo it is missing. A parent with a null
     repo or key is nobody's parent. A parent whose ``valid_from`` is null counts from the beginning. Repeated references
-    give repeated rows, repeated parents change nothing. Empty tables give an empty result, or all missing.
+    give repeated rows, repeated parents change nothing. ``counted`` (kind, repo, key), by default the references, is what hot keys are told by: any frame
+    with at least as many rows of each key will do, such as the rows before they were made unique. Empty tables give an empty result, or all missing.
     """
     keys = ["kind", "repo", "key"]
     refs = refs.select(*REF).where(F.col("key").isNotNull())
     parents = parents.select(*PARENT).where(F.col("repo").isNotNull() & F.col("key").isNotNull())
-    hot = (
-        refs.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys, F.lit(True).alias("hot"))
-    )
-    hot = hot.where(F.col("repo").isNotNull())
-    salted = refs.join(_small(hot), keys, "left").withColumn(
-        "salt",
-        F.when(F.col("hot") | F.col("repo").isNull(), F.pmod(F.xxhash64("row_id"), F.lit(salts))).otherwise(F.lit(0)).cast("int"),
-    )
+    hot = hot_keys(refs if counted is None else counted, keys, hot_rows)
+    salts = lambda df: df.withColumn("salts", F.lit(1)) if hot is None else df.join(F.broadcast(hot.select(*keys, F.ceil(F.col("n_rows") / hot_rows).cast("int").alias("salts"))), keys, "left")
+    # references without a repo have no parent, wherever they are sent
+    salt = F.pmod(F.xxhash64("row_id"), F.coalesce("salts", F.lit(1)))
+    salted = salts(refs).withColumn("salt", F.when(F.col("repo").isNull(), F.pmod(F.xxhash64("row_id"), F.lit(1 << 16))).otherwise(salt).cast("int"))
     far_past = F.lit("0001-01-01 00:00:00").cast("timestamp")
     some_time = lambda c: c.cast("timestamp")
     marks = F.array(
@@ -58,10 +58,9 @@ def merge_references(refs: DataFrame, parents: DataFrame, hot_rows: int = 200_00
         # the header: sorts before every time, says that the key is known at all
         F.struct(F.lit(None).cast("timestamp").alias("t"), F.lit(0).alias("d")),
     )
-    spread = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     events = (
-        parents.join(_small(hot), keys, "left")
-        .withColumn("salt", F.explode(spread))
+        salts(parents)
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
         .withColumn("m", F.explode(marks))
         .where((F.col("m.d") >= 0) | F.col("m.t").isNotNull())
         .select(*keys, "salt", F.col("m.t").alias("t"), F.lit(0).alias("is_ref"), F.col("m.d").alias("d"),
@@ -83,11 +82,6 @@ def merge_references(refs: DataFrame, parents: DataFrame, hot_rows: int = 200_00
     return merged.where("is_ref = 1").select("ref_table", "row_id", "ref_field", "repo", "key", "at", status.alias("status"))
 
 
-def _small(hot: DataFrame) -> DataFrame:
-    """Hot keys number at most rows / hot_rows, so they are broadcast."""
-    return F.broadcast(hot)
-
-
 def orphan_counts(found: DataFrame) -> DataFrame:
     """Orphans per table, field, month and status; the month is null where the reference has no time."""
     return (

@@ -9,7 +9,8 @@ from codelode.operators.references import PARENT, REF, merge_references, orphan_
 from codelode.sources.tables import latest, table
 
 
-def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(references, parents, the keys of all rows of edges, repeated ones included)."""
     edges = latest(table(spark, folder, "graph_edges"), "edge_id", "loaded_at", ["repo", "src", "op", "dst", "observed_at"])
     nodes = latest(table(spark, folder, "graph_nodes"), "node_id", "loaded_at", ["repo", "alias", "path_rel", "seen_from", "seen_to"])
     tables = latest(table(spark, folder, "db_tables"), "table_id", "loaded_at", ["repo", "table_name", "file_path", "seen_from", "seen_to"])
@@ -26,11 +27,13 @@ def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
         F.when(is_node, base).when(is_table, table_key(F.col("dst"))).alias("key"),
     )
     source = F.struct(F.lit("src").alias("ref_field"), F.lit("node").alias("kind"), F.col("src").alias("key"))
-    edge_refs = edges.withColumn("r", F.explode(F.array(source, target))).select(
+    split = lambda df: df.withColumn("r", F.explode(F.array(source, target)))
+    edge_refs = split(edges).select(
         F.lit("graph_edges").alias("ref_table"), F.col("edge_id").alias("row_id"), "r.ref_field", "r.kind", "repo", "r.key",
         # an edge of unknown time sees nothing that existed then
         F.coalesce("observed_at", F.lit("0001-01-01").cast("timestamp")).alias("at"),
     )
+    counted = split(table(spark, folder, "graph_edges").select("repo", "src", "op", "dst")).select("r.kind", "repo", "r.key")
 
     def path_refs(df, name, key, field):
         return df.select(F.lit(name).alias("ref_table"), F.col(key).alias("row_id"), F.lit(field).alias("ref_field"),
@@ -43,11 +46,12 @@ def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
         .unionByName(tables.where("seen_from is not null").select(F.lit("table").alias("kind"), "repo", table_key(F.col("table_name")).alias("key"), F.col("seen_from").alias("valid_from"), F.col("seen_to").alias("valid_to")))
         .unionByName(files.select(F.lit("file").alias("kind"), "repo", F.col("path_rel").alias("key"), always.alias("valid_from"), always.alias("valid_to")))
     )
-    return refs.select(*REF), parents.select(*PARENT)
+    return refs.select(*REF), parents.select(*PARENT), counted
 
 
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
-    return merge_references(*_references(spark, folder))
+    refs, parents, counted = _references(spark, folder)
+    return merge_references(refs, parents, counted=counted)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
