@@ -42,10 +42,18 @@ def current(results: DataFrame, rows: DataFrame, key: str, version: str) -> Data
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over at least as many partitions as there are cores, for costly work in Python on few large row groups.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows of a table over at least as many partitions as there are cores, for costly work in Python on few large row groups.
 
-    A table that is read in enough partitions, as any large one is, stays as it is and is not shuffled.
+    A row group can't be split and texts are not worth a shuffle, so a table with fewer partitions than cores is read as often as it takes to
+    give each core a slice of the keys: reading is far cheaper than the work that follows. Any table with enough partitions stays as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    cores, n = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if n >= cores or not n:
+        return df
+    slices = -(-cores // n)
+    parts = [df.where(F.pmod(F.xxhash64(key), F.lit(slices)) == k) for k in range(slices)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
