@@ -9,7 +9,7 @@ from codelode.sources.tables import current, spread, table
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "compress_files").select("file_id", "repo", "path_rel", "ext", "raw", F.col("scanned_at").alias("version")))
+    return spread(table(spark, folder, "compress_files").select("file_id", "repo", "path_rel", "ext", "raw", F.col("scanned_at").alias("version")), "file_id")
 
 
 def _verdicts(spark: SparkSession, folder: str) -> DataFrame:

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.operators.skew import hot_keys
 from codelode.session import cut
 
 WORD = re.compile(r"[A-Za-z0-9_]+")
@@ -167,10 +168,26 @@ def _version():
 
 
 def pairs_within(members: DataFrame, keys: list[str], block_rows: int = 2000) -> DataFrame:
-    """(id_a, id_b), id_a < id_b, of members that share the keys. Keys with more than ``block_rows`` members are worked off in pairs of blocks."""
-    rows = members.select(*keys, "id").repartition(*keys)
-    many = rows.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1").withColumn("blocks", F.ceil(F.col("c") / block_rows).cast("int"))
-    own = rows.join(many.drop("c"), keys).withColumn("x", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    """(id_a, id_b), id_a < id_b, of members that share the keys.
+
+    Keys with more members than ``block_rows`` and a thousandth of all are known before anything is moved (``hot_keys``): their members go to blocks, and
+    pairs of blocks to tasks, so none of their groups ever stands in one partition. The other keys meet in their partition, those with more than
+    ``block_rows`` members in pairs of blocks, too. No pair is left out.
+    """
+    rows = members.select(*keys, "id")
+    hot = hot_keys(rows, keys, block_rows)
+    cold = rows if hot is None else rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    cold = cold.repartition(*keys)
+    many = cold.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1").withColumn("blocks", F.ceil(F.col("c") / block_rows).cast("int"))
+    out = _block_pairs(cold.join(many.drop("c"), keys), keys)
+    if hot is None:
+        return out
+    return out.unionByName(_block_pairs(rows.join(F.broadcast(hot.select(*keys, F.ceil(F.col("n_rows") / block_rows).cast("int").alias("blocks"))), keys), keys))
+
+
+def _block_pairs(members: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of members(keys, id, blocks) with the same keys: each row is sent to all pairs of blocks that its own block is in."""
+    own = members.withColumn("x", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     spread = own.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = spread.where("x <= y").select(*keys, F.col("x").alias("i"), F.col("y").alias("j"), F.col("id").alias("p"))
     right = spread.where("y <= x").select(*keys, F.col("y").alias("i"), F.col("x").alias("j"), F.col("id").alias("q"))
@@ -216,16 +233,49 @@ def survivors(pairs: DataFrame, sketches: DataFrame, reps: DataFrame, plan: Plan
     return known.select("id_a", "id_b", "sig_a", "sig_b").mapInPandas(test, "id_a long, id_b long")
 
 
+class IdFilter:
+    """A Bloom filter of ids with a fixed number of bits, whatever their number: false positives cost work, nothing else."""
+
+    LOG_WORDS, PROBES = 17, 4
+
+    def __init__(self, ids: DataFrame):
+        """Bits are set where the ids are and united before they come to the driver: at most 2 ** LOG_WORDS words of 64 bits, one megabyte."""
+        hashes = [F.xxhash64(F.lit(k), "id") for k in range(self.PROBES)]
+        places = ids.select(F.explode(F.array(*hashes)).alias("h")).select(F.shiftrightunsigned("h", 64 - self.LOG_WORDS).cast("int").alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+        words = places.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+        table = np.zeros(1 << self.LOG_WORDS, dtype=np.int64)
+        table[[r["word"] for r in words]] = [r["bits"] for r in words]
+        self.table = ids.sparkSession.sparkContext.broadcast(table)
+
+    def probes(self):
+        """The column the Python side is given: the hashes of the id."""
+        return F.array(*[F.xxhash64(F.lit(k), "id") for k in range(self.PROBES)])
+
+    def has(self, probes) -> np.ndarray:
+        h = np.array(list(probes), dtype=np.int64).reshape(-1, self.PROBES).view(np.uint64)
+        word = self.table.value.view(np.uint64)[(h >> np.uint64(64 - self.LOG_WORDS)).astype(np.int64)]
+        return ((word >> (h & np.uint64(63))) & np.uint64(1)).all(axis=1)
+
+
 def verify_texts(pairs: DataFrame, texts: DataFrame, plan: Plan, size: int = 5) -> DataFrame:
-    """(id_a, id_b, similarity) of pairs of texts whose similarity reaches the threshold; only texts that occur in a pair are moved."""
+    """(id_a, id_b, similarity) of pairs of texts whose similarity reaches the threshold.
+
+    Texts are turned into sets where they are read, and only those that the Bloom filter of the paired ids lets through; no text is ever shuffled. The
+    sets of paired ids of the last version are moved to their pairs.
+    """
     ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    own = texts.select("id", _version(), "text").where("text is not null").join(ids, "id", "left_semi").groupBy("id").agg(F.max_by("text", "version").alias("text"))
+    known = IdFilter(ids)
 
     def hashed(batches):
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "s": [b"" if (s := word_shingles(t, size, 0)) is None else s.tobytes() for t in pdf["text"]]})
+            pdf = pdf[known.has(pdf["probes"])] if len(pdf) else pdf
+            if len(pdf):
+                yield pd.DataFrame({"id": pdf["id"], "version": pdf["version"], "s": [b"" if (s := word_shingles(t, size, 0)) is None else s.tobytes() for t in pdf["text"]]})
 
-    return _exact(pairs, own.mapInPandas(hashed, "id long, s binary"), plan)
+    sets = texts.where("text is not null and id is not null").select("id", _version(), "text", known.probes().alias("probes")).mapInPandas(hashed, "id long, version timestamp, s binary")
+    last = texts.where("id is not null").select("id", _version()).groupBy("id").agg(F.max("version").alias("version")).join(ids, "id", "left_semi")
+    own = sets.join(last, ["id", "version"]).groupBy("id").agg(F.first("s").alias("s"))
+    return _exact(pairs, cut(own), plan)
 
 
 def verify_sets(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
@@ -276,14 +326,14 @@ def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return between.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")).unionByName(pairs_within(members, ["rep"]))
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, group) for each id in links(id_a, id_b): the group is its least id. Alternates large-star and small-star until nothing changes.
 
-    Neighbourhoods are only aggregated (minimum), never collected.
+    Neighbourhoods are only aggregated (minimum), never collected. The number of rounds grows with the logarithm of the links.
     """
     edges = cut(links.select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).where("u <> v").distinct())
     state = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -296,6 +346,4 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("group")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("group")).distinct())

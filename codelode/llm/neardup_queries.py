@@ -12,7 +12,7 @@ FILE_WORDS = 60
 
 
 def _files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows = spread(table(spark, folder, "compress_files").select(F.col("file_id").alias("id"), F.col("raw").alias("text"), F.col("scanned_at").alias("version")))
+    rows = spread(table(spark, folder, "compress_files").select(F.col("file_id").alias("id"), F.col("raw").alias("text"), F.col("scanned_at").alias("version")), "id")
     return N.near_duplicates(N.sketch_texts(rows, FILES, 5, FILE_WORDS), rows, lambda p: N.verify_texts(p, rows, FILES), FILES)
 
 

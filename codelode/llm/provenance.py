@@ -176,7 +176,7 @@ def leaves(files: DataFrame) -> DataFrame:
     )
 
 
-def directory_hashes(files: DataFrame, checkpoint_every: int = 6, shallow: int = 48) -> DataFrame:
+def directory_hashes(files: DataFrame, checkpoint_every: int = 8, shallow: int = 48) -> DataFrame:
     """(repo, parts, h1, h2, n_files, n_chars) of every file (its leaf, hashed with its name) and every directory, the root (no segments) among them, bottom-up.
 
     One aggregation for each level, from the deepest path up. The lineage is cut every few levels, so the plan does not grow with the depth; the

@@ -8,7 +8,7 @@ from codelode.sources.tables import current, spread, table
 
 
 def _assigned(spark: SparkSession, folder: str) -> DataFrame:
-    texts = spread(table(spark, folder, "documents").select("doc_id", "text", F.col("loaded_at").alias("version")))
+    texts = spread(table(spark, folder, "documents").select("doc_id", "text", F.col("loaded_at").alias("version")), "doc_id")
     models = train(texts, table(spark, folder, "subject_labels"), table(spark, folder, "subjects"))
     return current(assign_subjects(texts, models), texts, "doc_id", "version")
 

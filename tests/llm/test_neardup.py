@@ -68,6 +68,10 @@ def test_sets_blocks_and_empty(spark):
     keyed = spark.createDataFrame([(1, i) for i in range(30)] + [(2, 50), (3, 1), (3, 2)], "k int, id long")
     got = sorted((r["id_a"], r["id_b"]) for r in N.pairs_within(keyed, ["k"], block_rows=4).collect())
     assert got == sorted([(i, j) for i in range(30) for j in range(i + 1, 30)] + [(1, 2)])
+    # one key of a third of all rows: its members never stand in one partition
+    third = spark.range(9000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), "id")
+    spread = N.hot_keys(third, ["k"], 500).select("k", F.ceil(F.col("n_rows") / 500).cast("int").alias("blocks"))
+    assert [tuple(r) for r in spread.collect()] == [(-1, 6)] and N.pairs_within(third, ["k"], block_rows=500).count() == 3000 * 2999 // 2
     none = df.limit(0)
     pairs, members = N.near_duplicates(N.sketch_sets(none, plan), none, lambda p: N.verify_sets(p, none, plan), plan)
     assert N.expand(pairs, members).count() == 0
@@ -96,3 +100,15 @@ def test_pruning_bounds():
     plan = N.Plan(0.6, 1)
     steps = plan.least_matches()
     assert steps[-1][0] == plan.hashes and all(0 <= m <= 0.7 * n for n, m in steps) and 1 - (1 - 0.6**4) ** plan.bands >= 1 - plan.miss
+
+
+def test_id_filter_and_plans_without_texts(spark):
+    ids = spark.range(0, 3000, 3)
+    known = N.IdFilter(ids)
+    pdf = spark.range(3000).select("id", known.probes().alias("p")).toPandas()
+    has = known.has(pdf["p"])
+    assert has[::3].all() and has.sum() < 1100
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts())], "id long, text string, version timestamp")
+    pairs = spark.createDataFrame([(0, 1)], "id_a long, id_b long")
+    out = N.verify_texts(pairs, df, N.Plan(0.6, 1))
+    assert out.count() <= 1 and "text" not in "".join(x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x)
