@@ -272,9 +272,9 @@ def verify_texts(pairs: DataFrame, texts: DataFrame, plan: Plan, size: int = 5)
             if len(pdf):
                 yield pd.DataFrame({"id": pdf["id"], "version": pdf["version"], "s": [b"" if (s := word_shingles(t, size, 0)) is None else s.tobytes() for t in pdf["text"]]})
 
-    sets = texts.where("text is not null and id is not null").select("id", _version(), "text", known.probes().alias("probes")).mapInPandas(hashed, "id long, version timestamp, s binary")
+    sets = texts.where("text is not null and id is not null").select("id", "version", "text", known.probes().alias("probes")).mapInPandas(hashed, "id long, version timestamp, s binary")
     last = texts.where("id is not null").select("id", _version()).groupBy("id").agg(F.max("version").alias("version")).join(ids, "id", "left_semi")
-    own = sets.join(last, ["id", "version"]).groupBy("id").agg(F.first("s").alias("s"))
+    own = sets.select("id", _version(), "s").join(last, ["id", "version"]).groupBy("id").agg(F.first("s").alias("s"))
     return _exact(pairs, cut(own), plan)
 
 
