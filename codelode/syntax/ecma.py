@@ -323,19 +323,30 @@ class Grammar:
         self.groups = Groups(self.classify)
         self.statements: dict[str, int | None] = {}
 
-    def check(self, text: str) -> bool:
+    def check(self, text: str) -> bool | None:
+        """Whether the text is valid; None if it is nested too deep for the parser to tell."""
         try:
             if not text.strip(BOM + " \t\r\n"):
                 return True
             self.lexer = Lexer(text, self.jsx)
             self.masked = self.lexer.run()
-            t = self.groups.fold(finish(self.masked))
+            return self.check_tokens(finish(self.masked))
+        except Bad:
+            return False
+        except RecursionError:
+            return None
+
+    def check_tokens(self, tokens: str) -> bool | None:
+        """``check`` on what the lexer and ``finish`` make of a text."""
+        try:
+            t = self.groups.fold(tokens)
             if len(self.statements) > 100_000:
                 self.statements.clear()
-            flags = self.block(t, True)
-            return not flags & ~AWAIT
-        except (Bad, RecursionError):
+            return not self.block(t, True) & ~AWAIT
+        except Bad:
             return False
+        except RecursionError:
+            return None
 
     # a group: (roles, flags)
     def classify(self, g: str):
@@ -348,7 +359,7 @@ class Grammar:
             try:
                 f(p, *args)
                 p.at_end()
-            except (Bad, RecursionError):
+            except Bad:
                 return
             roles |= role
             flags |= p.flags
@@ -387,7 +398,7 @@ class Grammar:
                 f = self.block(inside, False)
                 roles |= BLOCK
                 flags |= f
-            except (Bad, RecursionError):
+            except Bad:
                 pass
             if ";" not in inside or self.ts:
                 attempt(OBJECT, Parser.object)
@@ -422,7 +433,7 @@ class Grammar:
                 try:
                     p.whole_line(top)
                     f = p.flags
-                except (Bad, RecursionError):
+                except Bad:
                     f = None
                 if len(line) < 400:
                     known[key] = f
@@ -1837,3 +1848,11 @@ STATEMENTS = {
 EXPORTED = {P.var_, P.function_, P.async_, P.class_, P.decorator_}
 TS_EXPORTED = {K[w] for w in ("type", "interface", "enum", "namespace", "module", "declare", "abstract", "import")}
 DECLARABLE = {K[w] for w in ("var", "let", "const", "function", "async", "class", "enum", "type", "interface", "namespace", "module", "abstract", "global")}
+
+
+def tokens_of(text: str, jsx: bool) -> str | None:
+    """What ``check_tokens`` wants; None if the lexer does not take the text."""
+    try:
+        return finish(Lexer(text, jsx).run())
+    except Bad:
+        return None

@@ -39,7 +39,7 @@ class Groups:
 
     def fold(self, text: str) -> str:
         """The text with every bracket group replaced; raises Bad if a bracket is left or a group can be nothing."""
-        if len(self.by_text) > self.limit:
+        if len(self.by_text) > self.limit or len(self.by_kind) > (LAST - FIRST) // 2:
             self.clear()
         by_text = self.by_text
 
@@ -79,6 +79,8 @@ class Groups:
             raise Bad("group")
         c = self.by_kind.get(kind)
         if c is None:
+            if FIRST + len(self.by_kind) > LAST:
+                raise RecursionError("more kinds of groups in one file than there are characters for them")
             c = chr(FIRST + len(self.by_kind))
             self.by_kind[kind] = c
             self.kind[c] = kind

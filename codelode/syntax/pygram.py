@@ -1,28 +1,29 @@
-"""Python source files: the interpreter's own parser and symbol table, no code is made or run."""
+"""Python source files: the interpreter's own parser, symbol table and compiler; no code is run."""
 
 from __future__ import annotations
 
-import re
-import symtable
 import warnings
 
 BOM = chr(0xFEFF)
-#: what only the compiler proper rejects
-OUTSIDE = re.compile(r"^(?:return|break|continue|yield|await)\b", re.M)
 
 
 class Grammar:
     def __init__(self, name: str = "py"):
         pass
 
-    def check(self, text: str) -> bool:
-        text = text.removeprefix(BOM)
+    def check(self, text: str) -> bool | None:
+        """Whether the text is valid; None if it is nested too deep for the parser to tell.
+
+        The stages behind the parser may give up on a deep tree, too, but only after the parser has taken the text: that is valid.
+        """
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             try:
-                symtable.symtable(text, "file", "exec")
-                if OUTSIDE.search(text):
-                    compile(text, "file", "exec", dont_inherit=True)
+                compile(text.removeprefix(BOM), "file", "exec", dont_inherit=True)
+                return True
+            except RecursionError:
                 return True
-            except (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError):
-                return False
+            except (MemoryError, OverflowError):
+                return None
+            except (SyntaxError, ValueError) as e:
+                return None if "too many nested" in str(e) or "too complex" in str(e) else False

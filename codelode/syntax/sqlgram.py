@@ -16,9 +16,8 @@ RESERVED = set("""select from where group having order limit union intersect exc
 join on using and or not in is null as case when then else end between exists all any some distinct primary foreign references check unique
 constraint default with by cross inner natural full left right""".split())
 BINARY = {"or": 1, "and": 2, "=": 4, "<>": 4, "!=": 4, "<": 4, ">": 4, "<=": 4, ">=": 4, "<=>": 4, "|": 5, "&": 5, "#": 5, "^": 5, "||": 6, "->": 6, "->>": 6, "~": 4, "+": 7, "-": 7, "*": 8, "/": 8, "%": 8, ":=": 1}
-#: statements whose inner form differs too much between dialects: any tokens with closed parentheses are taken
-LOOSE = set("""grant revoke comment set show use pragma analyze vacuum explain begin start commit rollback savepoint release truncate copy call execute lock reindex
-refresh declare do merge replace describe desc attach detach optimize load unload prepare deallocate reset discard listen notify cluster go end""".split())
+#: statements with an inner language or forms of one dialect each: any tokens with closed parentheses are taken
+LOOSE = set("copy pragma attach detach optimize load unload cluster go do declare prepare".split())
 LOOSE_CREATE = set("""function procedure trigger database schema role user extension sequence type domain policy aggregate operator collation publication
 subscription server language rule event cast""".split())
 
@@ -144,7 +143,12 @@ class Parser:
             self.eat("concurrently")
             self.eat("if", "exists")
             self.list(self.name)
-            self.balanced()
+            while self.eat("on"):
+                self.name()
+            while self.eat("cascade") or self.eat("restrict") or self.eat("purge"):
+                pass
+            if w == "drop" and self.t[self.i] == "(":
+                self.in_parens(self.type)  # of a function
         elif w == "alter":
             self.i += 1
             if not self.t[self.i].isalpha():
@@ -163,7 +167,11 @@ class Parser:
                     self.need("add")
                     self.eat("column")
                     self.table_item()
-            self.balanced()
+            else:
+                self.balanced()
+        elif w in OTHER:
+            self.i += 1
+            OTHER[w](self)
         elif w in LOOSE:
             self.i += 1
             self.balanced()
@@ -188,17 +196,23 @@ class Parser:
                 self.query()
                 return
             self.in_parens(self.table_item)
-            if self.eat("as"):
-                self.query()
-            self.balanced()
+            if not self.eat("as"):
+                self.table_options()
+                if not self.eat("as"):
+                    return
+            self.query()
         elif w == "view":
             self.eat("if", "not", "exists")
             self.name()
             if self.t[self.i] == "(":
                 self.in_parens(self.name)
+            if self.eat("with"):
+                self.in_parens(self.option)
             self.need("as")
             self.query()
-            self.balanced()
+            if self.eat("with"):
+                while self.t[self.i].isalpha():
+                    self.i += 1
         elif w == "index":
             self.eat("concurrently")
             self.eat("if", "not", "exists")
@@ -209,9 +223,14 @@ class Parser:
             if self.eat("using"):
                 self.name()
             self.in_parens(self.ordered)
+            if self.eat("include"):
+                self.in_parens(self.name)
+            if self.eat("with"):
+                self.in_parens(self.option)
+            if self.eat("tablespace"):
+                self.name()
             if self.eat("where"):
                 self.expression()
-            self.balanced()
         elif w in LOOSE_CREATE:
             if self.i == len(self.t) - 4:
                 raise Bad
@@ -219,6 +238,259 @@ class Parser:
         else:
             raise Bad
 
+    def at_end(self):
+        return self.i >= len(self.t) - 4
+
+    def plain(self):
+        """One value of an option: a name, word, number or string."""
+        if self.t[self.i] in ("-", "+"):
+            self.i += 1
+        if not (self.t[self.i] in ("'", "0", '"', "?") or self.t[self.i][:1].isalpha()):
+            raise Bad
+        self.i += 1
+
+    def option(self):
+        self.name() if self.t[self.i] != "'" else self.plain()
+        if self.eat("="):
+            self.plain()
+
+    def words(self, allowed: str):
+        """Words of the list, at least one."""
+        known, at = allowed.split(), self.i
+        while self.t[self.i] in known:
+            self.i += 1
+        if self.i == at:
+            raise Bad
+
+    def table_options(self):
+        """What may stand behind the columns of a table."""
+        while not self.at_end() and self.t[self.i] != "as":
+            w = self.t[self.i]
+            self.i += 1
+            if w == "with":
+                self.in_parens(self.option)
+            elif w == "without":
+                self.words("oids rowid")
+            elif w in ("partition", "partitioned", "cluster", "clustered", "distributed", "sorted", "order", "subpartition"):
+                self.need("by")
+                while self.t[self.i] in ("range", "list", "hash", "key", "linear", "columns"):
+                    self.i += 1
+                if self.t[self.i] == "(":
+                    self.in_parens(self.partition_key)
+                elif not self.eat("random"):
+                    self.name()
+                if self.eat("into"):
+                    self.need("0", "buckets")
+            elif w == "inherits":
+                self.in_parens(self.name)
+            elif w == "on":
+                self.need("commit")
+                self.words("preserve delete rows drop")
+            elif w == "stored":
+                self.need("as")
+                self.name()
+            elif w in ("tblproperties", "options"):
+                self.in_parens(self.option)
+            elif w == "strict":
+                pass
+            elif w == "default" or w == "character":
+                if w == "default" and not (self.eat("charset") or self.eat("collate")):
+                    self.need("character")
+                    self.need("set")
+                elif w == "character":
+                    self.need("set")
+                self.eat("=")
+                self.plain()
+            elif w in ("tablespace", "using", "comment", "location", "engine", "charset", "collate") or self.t[self.i] == "=" and w[:1].isalpha():
+                self.eat("=")
+                self.plain()
+            else:
+                raise Bad
+            if self.eat(",") and self.at_end():
+                raise Bad
+
+    def partition_key(self):
+        self.expression()
+        if not self.t[self.i] in (",", ")"):
+            self.type()
+
+    # statements of other kinds, behind their first word
+    def grant(self):
+        if self.eat("grant", "option") or self.eat("admin", "option"):
+            self.need("for")
+        self.list(self.privilege)
+        if self.eat("on"):
+            if self.t[self.i] in ("table", "schema", "database", "function", "procedure", "sequence", "type", "language", "domain", "tablespace", "all"):
+                self.i += 1
+                if self.t[self.i - 1] == "all":
+                    self.words("tables sequences functions procedures routines in schema")
+            self.list(self.granted)
+        if not self.eat("to"):
+            self.need("from")
+        self.list(self.role)
+        if self.eat("with"):
+            self.words("grant admin option")
+        if self.eat("cascade") or self.eat("restrict"):
+            pass
+
+    def privilege(self):
+        at = self.i
+        while self.t[self.i][:1].isalpha() and self.t[self.i] not in ("on", "to", "from"):
+            self.i += 1
+        if not 0 < self.i - at <= 3:
+            raise Bad
+        if self.t[self.i] == "(":
+            self.in_parens(self.name)
+
+    def granted(self):
+        if self.eat("*"):
+            if self.eat("."):
+                self.need("*")
+            return
+        self.name()
+        if self.eat("."):
+            self.need("*")
+        if self.t[self.i] == "(":
+            self.i += 1
+            if not self.eat(")"):
+                self.list(self.type)
+                self.need(")")
+
+    def role(self):
+        self.eat("group") or self.eat("role")
+        self.eat("'") or self.name()
+        if self.eat("@"):
+            self.eat("'") or self.name()
+
+    def comment(self):
+        self.need("on")
+        self.words("table column view index schema database function procedure sequence type domain constraint trigger role extension materialized foreign policy rule")
+        self.name()
+        if self.t[self.i] == "(":
+            self.granted_arguments()
+        if self.eat("on"):
+            self.name()
+        self.need("is")
+        if not self.eat("null"):
+            self.need("'")
+
+    def granted_arguments(self):
+        self.need("(")
+        if not self.eat(")"):
+            self.list(self.type)
+            self.need(")")
+
+    def merge(self):
+        self.eat("into")
+        self.source()
+        self.need("using")
+        self.source()
+        self.need("on")
+        self.expression()
+        while True:
+            self.need("when")
+            self.eat("not")
+            self.need("matched")
+            if self.eat("by"):
+                self.words("source target")
+            if self.eat("and"):
+                self.expression()
+            self.need("then")
+            if self.eat("update"):
+                self.need("set")
+                self.eat("*") or self.list(self.assignment)
+            elif self.eat("insert"):
+                if not self.eat("*"):
+                    if self.t[self.i] == "(":
+                        self.in_parens(self.name)
+                    self.need("values")
+                    self.row()
+            elif not self.eat("delete"):
+                self.need("do", "nothing")
+            if self.at_end():
+                return
+
+    def transaction(self):
+        if self.eat("to"):
+            self.eat("savepoint")
+            self.name()
+        elif not self.at_end():
+            self.words("transaction work tran isolation level serializable repeatable read committed uncommitted write only immediate deferred exclusive and no chain prepared")
+            if self.eat("to"):
+                self.eat("savepoint")
+                self.name()
+
+    def one_name(self):
+        self.eat("savepoint")
+        self.name()
+
+    def names(self):
+        while self.t[self.i] in ("table", "full", "freeze", "verbose", "analyze", "only", "index", "schema", "database", "system", "concurrently", "materialized", "view", "extended", "formatted"):
+            self.i += 1
+        if not self.at_end():
+            self.list(self.granted)
+        while not self.at_end():
+            self.words("restart continue identity cascade restrict in access share exclusive mode row update nowait with no data")
+
+    def some_names(self):
+        if self.at_end():
+            raise Bad
+        self.names()
+
+    def explain(self):
+        while self.t[self.i] in ("analyze", "verbose", "query", "plan", "for", "extended", "formatted"):
+            self.i += 1
+        if self.t[self.i] == "(" and self.t[self.i + 1] not in ("select", "with", "("):
+            self.in_parens(self.plain_words)
+        self.statement()
+
+    def plain_words(self):
+        self.plain()
+        if self.t[self.i] not in (",", ")"):
+            self.plain()
+
+    def set_value(self):
+        while self.t[self.i] in ("session", "local", "global"):
+            self.i += 1
+        if self.eat("time", "zone"):
+            return self.plain()
+        if self.eat("transaction") or self.eat("characteristics"):
+            return self.words("transaction isolation level serializable repeatable read committed uncommitted write only as deferrable not")
+        self.eat("@")
+        self.name()
+        if not (self.eat("=") or self.eat("to") or self.eat(":=")):
+            return self.eat("'") or self.words("on off zone authorization default none utc")
+        self.list(self.setting)
+
+    def setting(self):
+        if not self.eat("on") and not self.eat("default"):
+            self.expression()
+
+    def call_statement(self):
+        self.name()
+        if self.t[self.i] == "(":
+            self.call()
+        elif not self.at_end():
+            self.list(self.value)
+
+    def all_or_names(self):
+        self.eat("all") or self.names()
+        if self.eat(","):
+            self.need("'")
+
+    def show(self):
+        while self.t[self.i] in ("create", "table", "from", "in", "like", "all", "tables", "columns", "databases", "schemas", "index", "status", "variables", "full") and not self.at_end():
+            self.i += 1
+        if not self.at_end():
+            self.eat("'") or self.name()
+        if not self.at_end():
+            self.words("from in like")
+            self.eat("'") or self.name()
+
+    def replace(self):
+        self.i -= 1
+        self.insert()
+
     def table_item(self):
         w = self.t[self.i]
         if w == "constraint":
@@ -337,7 +609,9 @@ class Parser:
         if self.eat("or"):
             self.i += 1
         self.eat("ignore")
-        self.need("into")
+        if not self.eat("into"):
+            self.need("overwrite")
+        self.eat("table")
         self.name()
         if self.eat("as"):
             self.name()
@@ -348,9 +622,30 @@ class Parser:
         else:
             self.query()
         if self.eat("on"):
-            self.balanced()
+            self.upsert()
         self.returning()
 
+    def upsert(self):
+        if self.eat("duplicate"):
+            self.need("key", "update")
+            self.list(self.assignment)
+            return
+        self.need("conflict")
+        if self.t[self.i] == "(":
+            self.in_parens(self.ordered)
+            if self.eat("where"):
+                self.expression()
+        elif self.eat("on"):
+            self.need("constraint")
+            self.name()
+        self.need("do")
+        if not self.eat("nothing"):
+            self.need("update")
+            self.need("set")
+            self.list(self.assignment)
+            if self.eat("where"):
+                self.expression()
+
     def returning(self):
         if self.eat("returning"):
             self.list(self.result)
@@ -684,3 +979,10 @@ class Parser:
                 self.list(self.ordered)
             else:
                 self.expression()
+
+
+OTHER = {
+    **dict.fromkeys(("grant", "revoke"), Parser.grant), "comment": Parser.comment, "merge": Parser.merge, **dict.fromkeys(("begin", "start", "commit", "rollback", "end", "abort"), Parser.transaction),
+    **dict.fromkeys(("savepoint", "release", "use"), Parser.one_name), **dict.fromkeys(("analyze", "vacuum"), Parser.names), **dict.fromkeys(("truncate", "lock", "reindex", "refresh", "describe", "desc"), Parser.some_names), "explain": Parser.explain,
+    "set": Parser.set_value, **dict.fromkeys(("call", "execute"), Parser.call_statement), **dict.fromkeys(("reset", "discard", "listen", "notify", "deallocate"), Parser.all_or_names), "show": Parser.show, "replace": Parser.replace,
+}

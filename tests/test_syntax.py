@@ -85,3 +85,42 @@ def test_truncated_texts_are_refused_almost_everywhere():
     text = "export function f(a) {\n  const b = a.map(x => x + 1);\n  return { b, c: [1, 2] };\n}\n"
     js = ecma.Grammar("js")
     assert js.check(text) and not any(js.check(text[:k]) for k in range(7, len(text) - 2))
+
+
+SQL_GOOD = """GRANT SELECT, INSERT (a, b) ON TABLE x.y TO joe, "Ann" WITH GRANT OPTION; REVOKE ALL PRIVILEGES ON ALL TABLES IN SCHEMA s FROM public CASCADE; GRANT admin TO joe; COMMENT ON COLUMN a.b IS 'x'; COMMENT ON TABLE a IS NULL;
+MERGE INTO t USING (SELECT 1 AS a) s ON t.a = s.a WHEN MATCHED AND s.b > 1 THEN UPDATE SET b = s.b WHEN NOT MATCHED THEN INSERT (a, b) VALUES (s.a, s.b);
+BEGIN; BEGIN TRANSACTION ISOLATION LEVEL SERIALIZABLE; COMMIT; ROLLBACK TO SAVEPOINT a; SAVEPOINT a; RELEASE SAVEPOINT a; TRUNCATE TABLE a, b RESTART IDENTITY CASCADE; SET search_path TO a, b; SET x.y = 'on'; SET TIME ZONE 'UTC'; SET NAMES 'utf8'; USE db; EXPLAIN ANALYZE SELECT 1; ANALYZE a; VACUUM FULL a; CALL f(1, 'x');
+CREATE TABLE a (b INT) ENGINE=InnoDB DEFAULT CHARSET=utf8 COMMENT='x'; CREATE TABLE a (b INT) WITH (fillfactor = 70) TABLESPACE t; CREATE TABLE a (b INT) PARTITION BY RANGE (b); CREATE TABLE a (b INT) INHERITS (c); CREATE TABLE a (b INT) WITHOUT ROWID; CREATE TABLE a (b INT) AS SELECT 1;
+CREATE TEMP TABLE a (b INT) ON COMMIT DROP; CREATE UNIQUE INDEX i ON a (b DESC) WHERE b > 1; CREATE VIEW v AS SELECT 1; CREATE VIEW v AS SELECT 1 WITH CHECK OPTION; DROP TABLE IF EXISTS a, b CASCADE; DROP INDEX i; ALTER TABLE a ADD COLUMN b INT; ALTER TABLE a RENAME TO b; ALTER TABLE a DROP COLUMN b, ALTER COLUMN c SET NOT NULL;
+INSERT INTO a VALUES (1) ON CONFLICT (a) DO UPDATE SET b = excluded.b WHERE a.b > 1 RETURNING a; INSERT INTO a VALUES (1) ON DUPLICATE KEY UPDATE b = 2; INSERT INTO a VALUES (1) ON CONFLICT DO NOTHING; REPLACE INTO a VALUES (1); CREATE FUNCTION f() RETURNS int AS $$ select 1 $$ LANGUAGE sql; LOCK TABLE a IN EXCLUSIVE MODE; REFRESH MATERIALIZED VIEW v; SHOW TABLES; DESCRIBE a; RESET ALL; REINDEX TABLE a; COMMENT ON FUNCTION f(int, text) IS 'x'; SET a = on"""
+SQL_BAD = """GRANT grant ON on TO to;MERGE a b c d e;COMMENT ON ON ON 5 5 5;CREATE TABLE a (x INT) CREATE TABLE b (y INT);CREATE TABLE a (x INT) foo bar = = 1;GRANT SELECT ON a TO;BEGIN CREATE TABLE a (b INT);TRUNCATE;SET = 5;DROP TABLE a b;COMMENT ON TABLE a IS;MERGE INTO t USING s ON t.a = s.a;INSERT INTO a VALUES (1) ON CONFLICT foo;CREATE VIEW v AS SELECT 1 CREATE VIEW w AS SELECT 2;REVOKE SELECT ON a;TRUNCATE"""
+
+
+def test_sql_statements_of_all_kinds():
+    from codelode.syntax import sqlgram
+
+    g = sqlgram.Grammar()
+    assert [x for x in SQL_GOOD.split(";") if not g.check(x + ";")] == []
+    assert [x for x in SQL_BAD.split(";") if g.check(x + ";")] == []
+
+
+def test_depth_is_no_error():
+    from codelode.syntax import ecma, pygram
+
+    p = pygram.Grammar()
+    assert p.check("x = " + " + ".join(["1"] * 20_000)) is True and p.check("x = " + "-" * 9_000 + "1") is None
+    assert not any(p.check(x) for x in ("def f():\n break", "class A:\n return 1", "(yield)", "a = *b, *c = 1", "if x:\n return 1", "def f():\n await x", "def f(:", "a\0b"))
+    assert ecma.Grammar("js").check("x = " + "!" * 50_000 + "1;") in (True, None) and ecma.Grammar("js").check("x = " + "[" * 5_000 + "]" * 5_000 + ";") is True
+
+
+def test_group_kinds_are_bounded(monkeypatch):
+    from codelode.syntax import groups
+
+    monkeypatch.setattr(groups, "LAST", groups.FIRST + 3)
+    g = groups.Groups(lambda t: t)
+    try:
+        g.fold("(a)(b)(c)(d)(e)(f)")
+        raise AssertionError
+    except RecursionError:
+        pass
+    assert len(g.fold("(a)(b)")) == 2
