@@ -30,6 +30,7 @@ STRINGS = {q: re.compile(rf"{q}(?:[^{q}\\\n]|\\(?:.|\n))*{q}") for q in "'\""}
 TEMPLATE_PART = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
 REGEXP = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
 JSX_NAME = re.compile(rf"\s*{IDENT}(?:-[\w$-]*)*(?:[.:]{IDENT}(?:-[\w$-]*)*)*")
+JSX_START = re.compile(r"<(?:>|[A-Za-z_$][\w$.:-]*(?!\s*(?:,|extends\b))[\s/>])")
 JSX_SPACE = re.compile(r"\s*")
 JSX_TEXT = re.compile(r"[^<>{}]*")
 WORD_BEFORE = re.compile(r"([\w$]+)\s*$")
@@ -130,7 +131,7 @@ class Lexer:
                     out.append("/")
                     i = j + 1
             elif c == "<":
-                if self.jsx and self.operand_next(out) and re.compile(r"<(?:>|[A-Za-z_$][\w$.:-]*(?!\s*(?:,|extends\b))[\s/>])").match(s, j):
+                if self.jsx and self.operand_next(out) and JSX_START.match(s, j):
                     out.append(JSX)
                     i = self.element(j, out)
                 else:
