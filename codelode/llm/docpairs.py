@@ -60,6 +60,10 @@ class Lines:
 
 
 BRACKET = re.compile(r"[()\[\]{}]")
+ENDS = re.compile(r"[()\[\]{};\n]")
+GOES_ON = re.compile(r"\s*[.?:+\-*/&|]")
+BLANKS = re.compile(r"[ \t\\]*")
+LINE_BEGIN = re.compile(r"^([ \t]*)\S", re.M)
 
 
 def balanced(s: str, at: int) -> int:
@@ -174,13 +178,13 @@ def ecma_declaration(s: str, i: int, ts: bool) -> tuple[str, int, int, int] | No
         if s.startswith("{", k):
             return m.group(1), m.start(1), k, balanced(s, k)
         e = k
-        for b in re.finditer(r"[()\[\]{};\n]", s[k:]):
-            c = k + b.start()
+        for b in ENDS.finditer(s, k):
+            c = b.start()
             if c < e:
                 continue
             if s[c] in "([{":
                 e = balanced(s, c)
-            elif s[c] in ";)]}" or s[c] == "\n" and not re.match(r"\s*[.?:+\-*/&|]", s[c:]):
+            elif s[c] in ";)]}" or s[c] == "\n" and not GOES_ON.match(s, c):
                 e = c
                 break
             else:
@@ -213,7 +217,7 @@ def ecma_pairs(text: str, masked: str, comments: list[tuple[int, int]], ts: bool
             i = SPACE.match(masked, m.end()).end()
             if masked.startswith("(", i):
                 i = SPACE.match(masked, balanced(masked, i)).end()
-        if i > stop and any(a2 < i for a2, _ in comments[n + 1 : n + 50]):
+        if i > stop and any(a2 < i for a2, _ in comments[n + 1 : n + 2]):
             continue  # another comment stands between
         d = ecma_declaration(masked, i, ts)
         if d:
@@ -266,7 +270,7 @@ def py_pairs(text: str) -> Iterator[tuple[str, int, int, int, int, str]]:
                 break
             doc += literal_text(literal)
             i = strings[i]
-            i += len(masked[i:]) - len(masked[i:].lstrip(" \t\\"))
+            i = BLANKS.match(masked, i).end()
         if i == first or i < len(masked) and masked[i] not in "\n;" or not doc:
             continue
         lines = doc.split("\n")
@@ -274,9 +278,9 @@ def py_pairs(text: str) -> Iterator[tuple[str, int, int, int, int, str]]:
         doc = "\n".join([lines[0].strip()] + [x[margin:].rstrip() for x in lines[1:]]).strip()
         indent = len(m.group(1).expandtabs())
         end = len(text)
-        for line in re.finditer(r"^([ \t]*)\S", masked[k:], re.M):
-            if line.start() and len(line.group(1).expandtabs()) <= indent:
-                end = k + line.start()
+        for line in LINE_BEGIN.finditer(masked, masked.find("\n", k) + 1 or len(masked)):
+            if len(line.group(1).expandtabs()) <= indent:
+                end = line.start()
                 break
         yield m.group(2), m.start(2), m.start(), k + 1, end, doc
 
@@ -363,7 +367,7 @@ def documented_functions(files: DataFrame, keep_trivial: bool = False) -> DataFr
             for f, ext, raw, v in pdf.itertuples(index=False, name=None):
                 own = GRAMMAR_OF[ext]
                 text = normal(raw)
-                if not text.strip() or not grammars[own].check(text):
+                if not text.strip() or grammars[own].check(text) is False:
                     continue
                 lines = None
                 for name, at, a, sig, end, doc in pairs_of(own, text, grammars[own]):

@@ -1,13 +1,14 @@
 """Source files that do not parse.
 
-Each file is parsed with the grammar of its extension. One that fails goes through all other grammars, in the order of a
-ranking by tokens: the first that takes it tells what the file really is (``foreign``: a wrong extension); if none does,
-the file is ``corrupt`` (truncated, merge conflict and the like).
+Each file is ranked by its tokens against the languages and then parsed with all grammars, the likeliest first. One that its own grammar takes
+is ``valid``; else a foreign grammar that takes it tells what the file really is (``foreign``: a wrong extension); one that none takes is
+``corrupt`` (truncated, merge conflict and the like). A file nested deeper than its parser can go is ``too deep``: nothing is known of it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,17 +21,22 @@ from codelode.syntax import ecma, golang, pygram, sqlgram
 GRAMMAR_OF = {".js": "js", ".mjs": "js", ".ts": "ts", ".tsx": "tsx", ".py": "py", ".go": "go", ".sql": "sql"}
 LANGUAGE_OF = {"js": "javascript", "ts": "typescript", "tsx": "typescript", "py": "python", "go": "go", "sql": "sql"}
 MAKE: dict[str, Callable] = {"js": ecma.Grammar, "ts": ecma.Grammar, "tsx": ecma.Grammar, "py": pygram.Grammar, "go": golang.Grammar, "sql": sqlgram.Grammar}
+TOKEN = re.compile(r"[^\W\d]\w*|===|=>|:=|</|/>|[;:]$", re.M)
 #: tokens that speak for a language
 SIGNS = {
-    "js": re.compile(r"\b(?:const|let|function|export|import|new|await|async)\b|===|=>|;$", re.M),
-    "ts": re.compile(r"\b(?:const|let|interface|type|export|import|readonly|enum)\b|=>|: (?:string|number|boolean|unknown|any|void)\b|;$", re.M),
-    "tsx": re.compile(r"\b(?:const|let|export|import|return)\b|</\w+>|/>|className=|;$", re.M),
-    "py": re.compile(r"^\s*(?:def|class|from|import|elif|except|with)\b|\bself\b|:$|\b(?:None|True|False)\b", re.M),
-    "go": re.compile(r"\b(?:package|func|chan|defer|range|struct|nil)\b|:=", re.M),
-    "sql": re.compile(r"\b(?:CREATE TABLE|INSERT INTO|SELECT|FROM|WHERE|VARCHAR|NUMERIC|TIMESTAMP|VALUES)\b", re.I),
+    "js": "const let function export import new await async === => ;",
+    "ts": "const let interface type export import readonly enum => string number boolean unknown any void ;",
+    "tsx": "const let export import return </ /> className ;",
+    "py": "def class from import elif except with self None True False :",
+    "go": "package func chan defer range struct nil :=",
+    "sql": "CREATE TABLE INSERT INTO SELECT FROM WHERE VARCHAR NUMERIC TIMESTAMP VALUES create table insert select where varchar numeric timestamp values",
 }
+SPEAKS: dict[str, list[str]] = {}
+for _g, _signs in SIGNS.items():
+    for _t in _signs.split():
+        SPEAKS.setdefault(_t, []).append(_g)
 CONFLICT = re.compile(r"^(?:<{7}|>{7}|={7}|\|{7})(?: |$)", re.M)
-VERDICTS = "file_id long, repo string, ext string, verdict string, parsed_as string, ranked array<string>, has_marker boolean, version timestamp"
+VERDICTS = "file_id long, repo string, ext string, verdict string, parsed_as string, taken_by array<string>, ranked array<string>, has_marker boolean, version timestamp"
 
 
 class Grammars:
@@ -46,21 +52,52 @@ class Grammars:
 
 
 def rank(text: str) -> list[str]:
-    """The grammars, the likeliest first, by how many of the text's words and signs speak for each."""
-    score = {g: len(p.findall(text)) for g, p in SIGNS.items()}
+    """The grammars, the likeliest first, by how many of the text's tokens speak for each."""
+    score = dict.fromkeys(SIGNS, 0)
+    for token, n in Counter(TOKEN.findall(text)).items():
+        for g in SPEAKS.get(token, ()):
+            score[g] += n
     return sorted(SIGNS, key=lambda g: (-score[g], g))
 
 
-def judge(grammars: Grammars, ext: str, text: str) -> tuple[str, str | None, list[str] | None]:
-    """(verdict, grammar that takes the text, ranking). Blank texts are valid."""
-    own = GRAMMAR_OF[ext]
-    if not text.strip(ecma.BOM + " \t\r\n\f\v") or grammars[own].check(text):
-        return "valid", own, None
-    ranked = rank(text)
-    for g in ranked:
-        if g != own and grammars[g].check(text):
-            return "foreign", g, ranked
-    return "corrupt", None, ranked
+def takes(grammars: Grammars, text: str) -> dict[str, bool | None]:
+    """Whether each grammar takes the text; None where it is too deep to tell.
+
+    The three of the ECMAScript family share what is the same: js and ts the tokens, tsx, too, where nothing can begin an element, and ts and tsx
+    the result if there is no < in the text.
+    """
+    out = {g: grammars[g].check(text) for g in ("py", "go", "sql")}
+    plain = _tokens(text, False)
+    for g in ("js", "ts"):
+        out[g] = grammars[g].check_tokens(plain) if isinstance(plain, str) else plain
+    if "<" in text:
+        marked = _tokens(text, True) if ecma.JSX_START.search(text) else plain
+        out["tsx"] = grammars["tsx"].check_tokens(marked) if isinstance(marked, str) else marked
+    else:
+        out["tsx"] = out["ts"]
+    return out
+
+
+def _tokens(text: str, jsx: bool) -> str | bool | None:
+    try:
+        t = ecma.tokens_of(text, jsx)
+    except RecursionError:
+        return None
+    return False if t is None else t
+
+
+def judge(grammars: Grammars, ext: str, text: str) -> tuple[str, str | None, list[str], list[str]]:
+    """(verdict, grammar that says so, all that take the text, ranking); the grammars in the order of the ranking. Blank texts are valid."""
+    own, ranked = GRAMMAR_OF[ext], rank(text)
+    if not text.strip(ecma.BOM + " \t\r\n\f\v"):
+        return "valid", own, [own], ranked
+    known = takes(grammars, text)
+    takers = [g for g in ranked if known[g]]
+    if known[own]:
+        return "valid", own, takers, ranked
+    if known[own] is None:
+        return "too deep", None, takers, ranked
+    return ("foreign", takers[0], takers, ranked) if takers else ("corrupt", None, takers, ranked)
 
 
 def parse_files(files: DataFrame) -> DataFrame:
@@ -75,9 +112,9 @@ def parse_files(files: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for f, repo, ext, raw, v in pdf.itertuples(index=False, name=None):
-                verdict, as_, ranked = judge(grammars, ext, raw)
-                out.append((f, repo, ext, verdict, as_, ranked, verdict != "valid" and bool(CONFLICT.search(raw)), v))
-            yield pd.DataFrame(out, columns=["file_id", "repo", "ext", "verdict", "parsed_as", "ranked", "has_marker", "version"])
+                verdict, as_, takers, ranked = judge(grammars, ext, raw)
+                out.append((f, repo, ext, verdict, as_, takers, ranked, verdict != "valid" and bool(CONFLICT.search(raw)), v))
+            yield pd.DataFrame(out, columns=["file_id", "repo", "ext", "verdict", "parsed_as", "taken_by", "ranked", "has_marker", "version"])
 
     rows = files.select("file_id", "repo", F.lower("ext").alias("ext"), "raw", "version")
     return rows.where(F.col("file_id").isNotNull() & F.col("raw").isNotNull() & F.col("ext").isin(*GRAMMAR_OF)).mapInPandas(parse, VERDICTS)
@@ -88,7 +125,7 @@ def rates(verdicts: DataFrame) -> DataFrame:
     language = F.create_map(*[F.lit(x) for e, g in GRAMMAR_OF.items() for x in (e, LANGUAGE_OF[g])])[F.col("ext")]
     return (
         verdicts.groupBy("repo", language.alias("lang"))
-        .agg(F.count("*").alias("n_files"), F.count_if(F.col("verdict") != "valid").alias("n_bad"),
+        .agg(F.count("*").alias("n_files"), F.count_if(F.col("verdict").isin("foreign", "corrupt")).alias("n_bad"),
              F.count_if(F.col("verdict") == "foreign").alias("n_foreign"), F.count_if(F.col("has_marker")).alias("n_conflict"))
         .withColumn("bad_rate", F.round(F.col("n_bad") / F.col("n_files"), 4))
     )
