@@ -3,7 +3,7 @@
 A passage window of ``min_words`` words that occurs in a text with at most ``max_edits`` edits shares at least
 L + 1 - q * (max_edits + 1) of its q-grams with it (L: length of the window), all on diagonals (position in the text
 minus position in the passage) that differ by at most ``max_edits``. So the shared q-grams are counted in diagonal bands
-that overlap by ``max_edits``; bands that reach the bound of the shortest window are aligned.
+that overlap by ``max_edits``; bands that reach the bound of the shortest window are verified by an alignment within the band.
 """
 
 from __future__ import annotations
@@ -16,8 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.session import cut
+
 WORD = re.compile(r"[^\W_]+")
 LEAKS = "doc_id long, item_id long, run_words int, word_from int, version timestamp"
+BLANK = ord(" ")
 
 
 def words(text: str) -> list[str]:
@@ -61,8 +64,13 @@ class PassageIndex:
         self.q = max(1, min([q, *(s // (max_edits + 1) for s in shortest)]))
         self.least = np.array([max(1, s + 1 - self.q * (max_edits + 1)) for s in shortest], dtype=np.int64)
         grams, owner, place = [], [], []
-        for k, (_, w) in enumerate(self.items):
-            h = qgram_hashes(_codes(" ".join(w)), self.q)
+        self.coded = [_codes(" ".join(w)) for _, w in self.items]
+        self.words = []
+        for _, w in self.items:
+            end = np.cumsum([len(x) + 1 for x in w]) - 1
+            self.words.append(np.stack([end - [len(x) for x in w], end], axis=1))
+        for k, c in enumerate(self.coded):
+            h = qgram_hashes(c, self.q)
             grams.append(h)
             owner.append(np.full(len(h), k))
             place.append(np.arange(len(h)))
@@ -108,76 +116,114 @@ class PassageIndex:
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for f, e in zip(first[enough], last[enough], strict=True):
             t, i = int(text[f]), int(item[f])
-            lo, hi = int(pos[f]), int(pos[e - 1]) + self.q
-            found = self.verify(joined[t], texts[t], i, lo, hi)
-            if found and found > best.get((t, i), (0, 0)):
-                best[t, i] = found
+            low = int(band[f]) * self.band - (1 << 40)
+            own = codes[begins[t] : begins[t] + len(joined[t])]
+            found = banded_alignment(self.coded[i], self.words[i], own, low, low + self.band + self.max_edits, self.max_edits)
+            if found and found[0] >= self.min_words:
+                run = (found[0], -joined[t].count(" ", 0, found[1]))
+                if run > best.get((t, i), (0, 0)):
+                    best[t, i] = run
         for (t, i), (run, neg) in sorted(best.items()):
             yield t, self.items[i][0], run, -neg
 
-    def verify(self, joined: str, text: list[str], i: int, lo: int, hi: int) -> tuple[int, int] | None:
-        """Aligns a region of the text with the passage: (words in the run, minus its first word)."""
-        margin = (self.q + 1) * self.max_edits + 1  # so far an edit can keep the first shared q-gram from the end of the match
-        a = joined.count(" ", 0, max(0, lo - margin))
-        b = joined.count(" ", 0, min(len(joined), hi + margin)) + 1
-        region, passage = text[a:b], self.items[i][1]
-        if not self.max_edits:
-            run, at = longest_run(region, passage)
-            return (run, -(a + at)) if run >= self.min_words else None
-        hay = " ".join(region)
-        for k in range(len(passage) - self.min_words + 1):
-            if occurs_within(" ".join(passage[k : k + self.min_words]), hay, self.max_edits):
-                return self.min_words, -a
-        return None
-
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def longest_run(a: list[str], b: list[str]) -> tuple[int, int]:
-    """Length of the longest run of equal words, and where it starts in a; an alignment without edits."""
-    where: dict[str, list[int]] = {}
-    for j, w in enumerate(b):
-        where.setdefault(w, []).append(j)
-    best, at, before = 0, 0, {}
-    for i, w in enumerate(a):
-        now = {}
-        for j in where.get(w, ()):
-            now[j] = before.get(j - 1, 0) + 1
-            if now[j] > best:
-                best, at = now[j], i - now[j] + 1
-        before = now
-    return best, at
-
-
-def occurs_within(needle: str, hay: str, edits: int) -> bool:
-    """Whether a part of hay is within the edit distance of needle; columns beyond the budget are not followed."""
-    column = list(range(len(needle) + 1))
-    top = min(edits, len(needle))  # last row within the budget
-    if top == len(needle):
-        return True
-    for c in hay:
-        diagonal, column[0] = column[0], 0
-        for r in range(1, min(top + 1, len(needle)) + 1):
-            old = column[r]
-            column[r] = min(diagonal + (needle[r - 1] != c), (old if r <= top else edits + 1) + 1, column[r - 1] + 1)
-            diagonal = old
-        top = min(top + 1, len(needle))
-        while column[top] > edits:
-            top -= 1
-        if top == len(needle):
-            return True
-        for r in range(top + 1, min(top + 2, len(needle)) + 1):
-            column[r] = edits + 1
-    return False
+def banded_alignment(passage: np.ndarray, words: np.ndarray, text: np.ndarray, low: int, high: int, edits: int) -> tuple[int, int] | None:
+    """(words, begin in the text) of the longest run of whole words of the passage that the text holds within the budget of edits, on the diagonals
+    (place in the text less place in the passage) from low to high, without high.
+
+    passage, text: codes of characters, words apart by one blank; words: begin and end of each word of the passage. A run begins and ends at the
+    ends of words of the text, too. Of equal runs the first in the passage counts.
+    """
+    if not edits:
+        return _without_edits(passage, words, text, low, high)
+    best = None
+    for k in range(len(words)):
+        if best and len(words) - k <= best[0]:
+            break
+        found = _within_edits(passage, words, text, low, high, edits, k)
+        if found and (best is None or found[0] > best[0]):
+            best = found
+    return best
+
+
+def _without_edits(passage, words, text, low, high):
+    """Without a budget the alignment can't leave a diagonal: the runs of equal characters on each."""
+    place = np.arange(-1, len(passage) + 1)
+    at = place[None, :] + np.arange(low, high)[:, None]
+    inside = (at >= 0) & (at < len(text))
+    same = np.zeros(at.shape, dtype=bool)
+    bare = inside[:, 1:-1]
+    same[:, 1:-1] = bare & (text[np.where(bare, at[:, 1:-1], 0)] == passage[None, :])
+    edge = np.diff(same.astype(np.int8), axis=1)
+    row, begin = np.nonzero(edge == 1)  # the run is [begin, end) in the passage
+    _, end = np.nonzero(edge == -1)
+    best = None
+    for r, x, y in zip(row, begin, end, strict=True):
+        a, b = np.searchsorted(words[:, 0], x), np.searchsorted(words[:, 1], y, side="right")
+        d = low + int(r)
+        if a < b and d + words[a, 0] > 0 and text[d + words[a, 0] - 1] != BLANK:
+            a += 1  # the text's word begins earlier
+        if a < b and d + words[b - 1, 1] < len(text) and text[d + words[b - 1, 1]] != BLANK:
+            b -= 1
+        if a < b and (best is None or b - a > best[0]):
+            best = int(b - a), int(d + words[a, 0])
+    return best
+
+
+def _within_edits(passage, words, text, low, high, edits, first):
+    """The longest run from one word on: one row of costs for each character of the passage, a column for each diagonal of the band."""
+    wide = np.arange(low - edits, high + edits)
+    begin = int(words[first, 0])
+    at = wide + begin
+    free = (at >= 0) & (at <= len(text)) & (wide >= low) & (wide < high)
+    free &= (at == 0) | (text[np.clip(at - 1, 0, len(text) - 1)] == BLANK)
+    cost = np.where(free, 0, edits + 1)
+    origin = at.copy()
+    cost, origin = _only_in_text(cost, origin, wide + begin, len(text), edits)
+    best, ends = None, {int(e): k for k, e in enumerate(words[first:, 1], 1)}
+    for p in range(begin, len(passage)):
+        at = wide + p
+        inside = (at >= 0) & (at < len(text))
+        new = cost + np.where(inside, text[np.clip(at, 0, len(text) - 1)] != passage[p], edits + 1)
+        source = origin.copy()
+        # a character of the passage that the text lacks: from the next diagonal
+        skip = np.append(cost[1:] + 1, edits + 1)
+        less = skip < new
+        new, source = np.where(less, skip, new), np.where(less, np.append(origin[1:], 0), source)
+        cost, origin = _only_in_text(new, source, wide + p + 1, len(text), edits)
+        if cost.min() > edits:
+            break
+        k = ends.get(p + 1)
+        if k:
+            stop = wide + p + 1
+            whole = (cost <= edits) & (stop <= len(text)) & ((stop >= len(text)) | (text[np.clip(stop, 0, len(text) - 1)] == BLANK))
+            if whole.any():
+                best = k, int(origin[np.flatnonzero(whole)[np.argmin(cost[whole])]])
+    return best
+
+
+def _only_in_text(cost, origin, at, length, edits):
+    """Characters that only the text has: from the diagonal before, at most as many as there are edits."""
+    for _ in range(edits):
+        more = np.append(edits + 1, cost[:-1] + 1)
+        less = (more < cost) & (at <= length)
+        if not less.any():
+            break
+        cost, origin = np.where(less, more, cost), np.where(less, np.append(0, origin[:-1]), origin)
+    return cost, origin
 
 
 def leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, max_edits: int = 0, q: int = 16, band: int = 16, block_chars: int = 8_000_000) -> DataFrame:
     """(doc_id, item_id, run_words, word_from, version) of every document that holds ``min_words`` consecutive words of an item.
 
-    documents: doc_id, text, version; items: item_id, passage. The items are the stated query set: their size is measured, and
-    they go to the tasks in blocks of at most about ``block_chars`` characters, each block against all documents.
+    documents: doc_id, text, version; items: item_id, passage. The items are the stated query set: their size is measured, and up to
+    ``block_chars`` characters of them go to the tasks at once, in one pass over the documents. More are worked off in blocks of about that size, one
+    after the other: the rows of a block are written and its broadcast is given up before the next begins. The run and where it begins are those of
+    the longest run that is within the budget.
     Null texts and passages and passages of fewer words hold nothing; repeated rows give repeated results; no items give no rows.
     """
     spark = documents.sparkSession
@@ -201,5 +247,8 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, max_edits
                         yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run_words", "word_from", "version"])
 
         found = documents.select("doc_id", "text", "version").where("text is not null and doc_id is not null").mapInPandas(scan, LEAKS)
+        if blocks > 1:
+            found = cut(found)
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out

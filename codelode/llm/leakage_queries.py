@@ -7,10 +7,10 @@ from codelode.llm.leakage import leaks
 from codelode.sources.tables import current, table
 
 
-def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+def _leaks(spark: SparkSession, folder: str, max_edits: int = 0) -> DataFrame:
     documents = table(spark, folder, "documents")
     texts = documents.select("doc_id", "text", F.col("loaded_at").alias("version"))
-    found = leaks(texts, table(spark, folder, "eval_items"))
+    found = leaks(texts, table(spark, folder, "eval_items"), max_edits=max_edits)
     return current(found, texts, "doc_id", "version")
 
 
@@ -19,6 +19,11 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).select("doc_id", "item_id").distinct()
 
 
+def p6_edited(spark: SparkSession, folder: str) -> DataFrame:
+    """The same within two edits (characters put in, left out or changed) for the whole run, with its length and first word."""
+    return _leaks(spark, folder, 2).select("doc_id", "item_id", "run_words", "word_from")
+
+
 def p6_items(spark: SparkSession, folder: str) -> DataFrame:
     """Each test item with the documents that leak it; items that nobody leaks have 0."""
     items = table(spark, folder, "eval_items").select("item_id", "suite").distinct()
@@ -26,7 +31,7 @@ def p6_items(spark: SparkSession, folder: str) -> DataFrame:
     return items.join(found, "item_id", "left").select("item_id", "suite", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("longest_run", F.lit(0)).alias("longest_run"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_items": p6_items}
+QUERIES = {"p6_found": p6_found, "p6_edited": p6_edited, "p6_items": p6_items}
 _SQL = r"""
 WITH d AS (SELECT doc_id, arg_max(text, loaded_at) AS text FROM documents WHERE text IS NOT NULL GROUP BY doc_id),
 dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM d),

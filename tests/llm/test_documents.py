@@ -47,18 +47,38 @@ def edit(a, b):
     return row[-1]
 
 
-def test_edits():
+def spans(words):
+    end = np.cumsum([len(w) + 1 for w in words]) - 1
+    return np.stack([end - [len(w) for w in words], end], axis=1)
+
+
+def test_alignment_as_brute_force():
     rng = random.Random(6)
-    for _ in range(150):
-        needle = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 9)))
-        hay = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 16)))
-        for k in range(4):
-            want = any(edit(needle, hay[i:j]) <= k for i in range(len(hay) + 1) for j in range(i, len(hay) + 1))
-            assert L.occurs_within(needle, hay, k) == want, (needle, hay, k)
+    some = 0
+    for _ in range(120):
+        passage = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 6))]
+        text = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 3))] + passage[rng.randint(0, 2) :] + ["cc"]
+        if rng.random() < 0.6:
+            k = rng.randrange(len(text))
+            text[k] = text[k][:-1] + rng.choice(["", "b", "ca"]) or "a"
+        joined = " ".join(text)
+        for edits in range(3):
+            got = L.banded_alignment(L._codes(" ".join(passage)), spans(passage), L._codes(joined), -40, 60, edits)
+            want = max((n for i in range(len(passage)) for n in range(1, len(passage) - i + 1) if any(edit(" ".join(passage[i : i + n]), " ".join(text[x:y])) <= edits for x in range(len(text)) for y in range(x + 1, len(text) + 1))), default=0)
+            assert (got[0] if got else 0) == want, (passage, text, edits, got, want)
+            if got:
+                assert got[1] == 0 or joined[got[1] - 1] == " "
+                some += 1
+    assert some > 200
+
+
+def test_edits():
     passage = "the quick brown fox jumps over the lazy dog and then it sleeps for days"
     index = L.PassageIndex([(1, passage)], 12, 2, 16, 16)
     found = list(index.search([L.words("so the quick brwn fox jumps over the lazy dog and then it slept"), L.words("the quick cat jumps over a lazy cow and then it sleeps")]))
-    assert [(t, i) for t, i, _, _ in found] == [(0, 1)]
+    assert found == [(0, 1, 12, 1)]
+    exact = L.PassageIndex([(1, passage)], 12, 0, 16, 16)
+    assert list(exact.search([L.words("x the quick brown fox jumps over the lazy dog and then it sleeps"), L.words("athe quick brown fox jumps over the lazy dog and then itt")])) == [(0, 1, 13, 1)]
 
 
 def test_token_counts(spark):
