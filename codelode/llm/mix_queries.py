@@ -1,19 +1,15 @@
 """Problem 7 on the tables."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codelode.llm.mixing import mix, report
-from codelode.sources.tables import latest, table
+from codelode.sources.tables import spread, table
 
 
 def _mix(spark: SparkSession, folder: str):
-    # a repeated document's last row counts; its text is moved only if ids repeat at all
-    rows = table(spark, folder, "documents")
-    ids = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    repeated = latest(rows.join(ids.select("doc_id"), "doc_id", "left_semi"), "doc_id", "loaded_at", ["source", "text"])
-    once = rows.where("doc_id is not null").join(ids.select("doc_id"), "doc_id", "left_anti")
-    documents = once.select("doc_id", "source", "text").unionByName(repeated.select("doc_id", "source", "text"))
-    return mix(documents, table(spark, folder, "mix_targets"))
+    documents = table(spark, folder, "documents").select("doc_id", "source", "text", F.col("loaded_at").alias("version"))
+    return mix(spread(documents, "doc_id"), table(spark, folder, "mix_targets"))
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:

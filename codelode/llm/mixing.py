@@ -19,7 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.session import cut
+from codelode.sources.tables import current
 
+#: targets are a table of shares that go to every task and to the plan
+MOST_TARGETS = 100_000
 UNITS = "source string, doc_id long, tokens long, p double"
 
 
@@ -32,7 +35,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 
 def count_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """(source, doc_id, tokens) of documents(doc_id, source, text): byte-level BPE tokens of the whole text; null texts have none."""
+    """(source, doc_id, tokens, version) of documents(doc_id, source, text, version): byte-level BPE tokens of the whole text; null texts have none."""
     path = path or tokenizer_path()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,9 +48,9 @@ def count_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
         coder = tiktoken.Encoding("mixing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for pdf in batches:
-            yield pd.DataFrame({"source": pdf["source"], "doc_id": pdf["doc_id"], "tokens": [len(coder.encode_ordinary(t)) if t else 0 for t in pdf["text"]]})
+            yield pd.DataFrame({"source": pdf["source"], "doc_id": pdf["doc_id"], "tokens": [len(coder.encode_ordinary(t)) if t else 0 for t in pdf["text"]], "version": pdf["version"]})
 
-    return documents.select("source", "doc_id", "text").where("doc_id is not null").mapInPandas(count, "source string, doc_id long, tokens long")
+    return documents.select("source", "doc_id", "text", "version").where("doc_id is not null").mapInPandas(count, "source string, doc_id long, tokens long, version timestamp")
 
 
 def source_key(c):
@@ -55,6 +58,15 @@ def source_key(c):
     return F.lower(F.trim(F.regexp_replace(c, r"^\s+|\s+$", "")))
 
 
+def wanted_sources(targets: DataFrame) -> DataFrame:
+    """(source) of the targets, to be broadcast: more than ``MOST_TARGETS`` are refused."""
+    names = targets.select(source_key(F.col("source_name")).alias("source")).where("source is not null and source <> ''").distinct()
+    n = names.count()
+    if n > MOST_TARGETS:
+        raise ValueError(f"{n} targets; at most {MOST_TARGETS} can go to every task")
+    return F.broadcast(names)
+
+
 def plan_mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> tuple[DataFrame, list[dict]]:
     """(sized documents, plan): for each source its size, target, times to be used and what limits it.
 
@@ -63,7 +75,7 @@ def plan_mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = No
     the table of targets.
     """
     sizes = {r["source"]: (r["n"], r["size"]) for r in sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("size")).join(
-        F.broadcast(targets.select(source_key(F.col("source_name")).alias("source")).distinct()), "source", "left_semi").collect()}
+        wanted_sources(targets), "source", "left_semi").collect()}
     wanted = {}
     for r in targets.select(source_key(F.col("source_name")).alias("source"), "target_share", "max_repeat").where("source_name is not null").orderBy("source").collect():
         wanted.setdefault(r["source"], (float(r["target_share"] or 0.0), max(0, int(r["max_repeat"] or 0))))
@@ -163,13 +175,13 @@ def decide(units: DataFrame, block: int = 4000, seed: int = 11) -> DataFrame:
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, path: str | None = None, block: int = 4000) -> tuple[DataFrame, list[dict]]:
     """(source, doc_id, tokens, copies) of all documents that are used, and the plan.
 
-    documents(doc_id, source, text): repeated ids count once; null and blank sources have no target and are not used; texts without tokens are not used, they
-    would change no share. Without targets or documents the mixture is empty.
+    documents(doc_id, source, text, version): of repeated ids the last version counts, with its source; null and blank sources have no target and are not used; texts without tokens are not used, they
+    would change no share. Tokens are counted where the texts are read: only (source, id, tokens, version) are moved. Without targets or documents the mixture is empty.
     """
     spark = documents.sparkSession
-    one = documents.select("doc_id", source_key(F.col("source")).alias("source"), "text").where("source is not null and source <> ''")
-    wanted = F.broadcast(targets.select(source_key(F.col("source_name")).alias("source")).where("source is not null").distinct())
-    sized = count_tokens(one.join(wanted, "source", "left_semi"), path).where("tokens > 0")
+    named = documents.select("doc_id", source_key(F.col("source")).alias("source"), "text", "version")
+    sized = count_tokens(named.join(wanted_sources(targets), "source", "left_semi"), path)
+    sized = current(sized, documents, "doc_id", "version").where("tokens > 0")
     sized = cut(sized.groupBy("doc_id").agg(F.max(F.struct("source", "tokens")).alias("r")).select("r.source", "doc_id", "r.tokens"))
     _, plan = plan_mix(sized, targets, total_tokens)
     used = [(r["source"], float(r["times"])) for r in plan if r["times"] > 0]

@@ -8,7 +8,7 @@ difference passes the subject's margin, and a document is assigned each subject
 * The subject models are fitted on labelled documents, at most ``most_labelled`` of them, chosen by hash. Labels are noisy and say nothing about
   which sentences they mean, so the sentences of labelled documents are weighted by expectation-maximisation between the document's
   labels, the other subjects at a low prior, and the background.
-* The margins are calibrated on these documents: for each subject the one that separates labelled from unlabelled documents best.
+* The margins are calibrated on labelled documents that are held out (one in four): for each subject the one that separates labelled from unlabelled documents best.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNI, BI = 1 << 17, 1 << 19
@@ -43,28 +43,29 @@ def repair(text: str) -> str:
     return re.sub("[" + chr(0xC2) + "-" + chr(0xF4) + "][" + chr(0x80) + "-" + chr(0xBF) + "]{1,3}", back, text)
 
 
-_tokens: dict[str, int] = {}
+class Codes(dict):
+    """The code of each token; the table is emptied when it holds many, what a token's code is does not depend on it."""
 
-
-def _code(word: str) -> int:
-    c = _tokens.get(word)
-    if c is None:
-        if len(_tokens) > 500_000:
-            _tokens.clear()
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
         w = word.lower()
         if word[0] == "`" or CAMEL.search(word):
             w = "<name>"
         elif w[0].isdigit():
             w = "<number>"
-        c = _tokens[word] = xxhash.xxh32_intdigest(w)
-    return c
+        c = self[word] = xxhash.xxh32_intdigest(w)
+        return c
+
+
+_codes = Codes()
 
 
 def sentences(text: str) -> list[list[int]]:
     """Token codes of each sentence; code names and numbers are one token each, pieces without a word are left out."""
     out = []
     for part in SENTENCE_END.split(repair(text).replace(chr(0xA0), " ")):
-        t = [_code(w) for w in TOKEN.findall(part)]
+        t = [_codes[w] for w in TOKEN.findall(part)]
         if len(t) >= 3:
             out.append(t)
     return out
@@ -161,7 +162,31 @@ class SubjectModels:
             self.pair.append(np.bincount(t[1], weights=w, minlength=BI).astype(np.float32))
             self.hist.append(np.bincount(t[2], weights=w, minlength=UNI).astype(np.float32))
 
-    def fit(self, texts: list[str], labels: list[set[int]], rounds: int = 8, other: float = 0.02) -> None:
+    def fit(self, texts: list[str], labels: list[set[int]], rounds: int = 8, other: float = 0.02, held_out: int = 4) -> None:
+        """Fits the models and calibrates their margins. One in ``held_out`` documents is not fitted but calibrated on, if there are enough labels for that:
+        at least ``held_out`` fitted and held-out documents for every subject; else the fitted ones are."""
+        held = np.arange(len(texts)) % held_out == held_out - 1
+        enough = all(min(sum(s in ls for ls, h in zip(labels, held, strict=True) if h == side) for side in (True, False)) >= held_out for s in range(len(self.subjects)))
+        if not enough:
+            held[:] = False
+        pick = lambda xs, side: [x for x, h in zip(xs, held, strict=True) if h == side]
+        gain, lengths, weight, doc = self.expect(pick(texts, False), pick(labels, False), rounds, other)
+        if enough:
+            t, starts, doc, lengths = encode(pick(texts, True))
+            gain = self.gains(t, starts, lengths)
+            weight, _ = self.judged(gain, doc, int(held.sum()))
+        self.calibrate(gain, lengths, weight, doc, pick(labels, True) if enough else labels)
+
+    def judged(self, gain: np.ndarray, doc: np.ndarray, n_texts: int, generic: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the subjects for each sentence of texts without labels."""
+        prior = np.full((n_texts, len(self.subjects)), 1.0 / len(self.subjects))
+        weight, theta = gain, prior
+        for _ in range(4):
+            weight, theta = self.posterior(gain, doc, prior, theta, generic)
+        return weight, theta
+
+    def expect(self, texts: list[str], labels: list[set[int]], rounds: int, other: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Expectation-maximisation: gains, lengths, weights and texts of the sentences."""
         t, starts, doc, lengths = encode(texts)
         n, owner = len(self.subjects), np.repeat(np.arange(len(starts)), lengths)
         prior = np.full((len(texts), n), other)
@@ -184,7 +209,7 @@ class SubjectModels:
             self.estimate(t, owner, weight)
             gain = self.gains(t, starts, lengths)
             weight, theta = self.posterior(gain, doc, prior, theta)
-        self.calibrate(gain, lengths, weight, doc, labels)
+        return gain, lengths, weight, doc
 
     def posterior(self, gain: np.ndarray, doc: np.ndarray, prior: np.ndarray, theta: np.ndarray, generic: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
         """Weights of the subjects for each sentence (what is left is background), and the subjects' shares of each document."""
@@ -224,18 +249,16 @@ class SubjectModels:
         if not len(starts):
             return
         gain = self.gains(t, starts, lengths)
-        prior = np.full((len(texts), len(self.subjects)), 1.0 / len(self.subjects))
-        theta = prior
-        for _ in range(4):
-            weight, theta = self.posterior(gain, doc, prior, theta, generic)
+        weight, _ = self.judged(gain, doc, len(texts), generic)
         best = weight.argmax(axis=1)
         at = np.arange(len(best))
         per_token = gain[at, best] / lengths
         treats = (per_token > self.margins[best]) & (weight[at, best] > 0.5)
-        key = doc[treats] * len(self.subjects) + best[treats]
-        for k in np.unique(key):
-            rows = key == k
-            yield int(k) // len(self.subjects), int(k) % len(self.subjects), int(rows.sum()), float(per_token[treats][rows].mean())
+        keys, row = np.unique(doc[treats] * len(self.subjects) + best[treats], return_inverse=True)
+        n = np.bincount(row, minlength=len(keys))
+        gain = np.bincount(row, weights=per_token[treats], minlength=len(keys))
+        for k, m, g in zip(keys, n, gain, strict=True):
+            yield int(k) // len(self.subjects), int(k) % len(self.subjects), int(m), float(g / m)
 
     def packed(self) -> dict:
         """What the tasks need: only rows of buckets that some subject has."""
@@ -266,8 +289,12 @@ def spelled(subject):
     return F.lower(F.trim(F.regexp_replace(subject, r"\s+", " ")))
 
 
-def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, most_labelled: int = 20_000) -> SubjectModels | None:
-    """Models from documents(doc_id, text), labels(doc_id, subject) and subjects(subject); None without subjects or labelled texts."""
+def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, most_labelled: int = 20_000, most_chars: int = 200_000_000) -> SubjectModels | None:
+    """Models from documents(doc_id, text), labels(doc_id, subject) and subjects(subject); None without subjects or labelled texts.
+
+    The sample the models are fitted on: at most ``most_labelled`` documents, chosen by hash, and of these, in the same order, as many as have ``most_chars``
+    characters together. Both bound what the driver holds. The counts of the background cover all documents.
+    """
     names = sorted({r[0] for r in subjects.select("subject").where("subject is not null").distinct().collect()})
     if not names:
         return None
@@ -282,8 +309,13 @@ def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, most_lab
     given = labels.select("doc_id", spelled(F.col("subject")).alias("s")).where(F.col("doc_id").isNotNull() & F.col("s").isin(list(number))).distinct()
     ids = given.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
     given = given.join(ids, "doc_id").groupBy("doc_id").agg(F.collect_set("s").alias("s"))
-    # labelled documents are few against all: they are joined by id, one text for each
-    rows = documents.where("text is not null").join(given, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("s").alias("s")).orderBy("doc_id").collect()
+    # the sample is bounded by most_labelled and most_chars, so it is broadcast, and no text is moved but those of the sample
+    known = documents.where("text is not null").join(F.broadcast(given), "doc_id")
+    sizes = known.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
+    total = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # numbers of the sample alone
+    chosen = sizes.withColumn("total", total).where(F.col("total") <= most_chars).select("doc_id")
+    rows = known.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("s").alias("s")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     if not rows:
         return None
     m = SubjectModels(names, Background(*tables))
