@@ -7,14 +7,23 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ---- fixed values: words that are never table names ----
-SQL_STOPLIST = """select insert update delete from where join left right inner outer full cross on and or not in is null as by group order having limit offset union all
-distinct into values set create table alter drop index view with recursive case when then else end exists between like ilike any some true false default
-primary key foreign references unique check constraint returning using natural lateral only cascade asc desc nulls first last over partition window rows
-range fetch next row for of temp temporary if""".split()
-#: read and write methods of object-relational mappers
-ORM_READS = ["findMany", "findFirst", "findUnique", "findRaw", "findAll", "findOne", "findByPk", "findAndCountAll", "count", "aggregate", "groupBy", "select", "where", "first", "pluck"]
-ORM_WRITES = ["create", "createMany", "update", "updateMany", "upsert", "delete", "deleteMany", "destroy", "bulkCreate", "insert", "del", "truncate"]
+# ---- fixed values: words that are never table names, as the dialects' keywords, types, functions and catalogues come ----
+SQL_STOPLIST = """select from where and or not in on as join left right inner outer cross full group order by having limit offset union all distinct case when then else end
+null true false is between like ilike exists any some set values into table create alter drop index primary key foreign references constraint default check unique
+if begin commit rollback transaction returning conflict nothing do update cascade restrict lateral each row with recursive only
+integer int bigint smallint serial bigserial text varchar char character boolean bool timestamp timestamptz date time timetz interval numeric decimal real float double
+json jsonb uuid bytea inet cidr macaddr array point line box circle polygon path
+count sum avg min max coalesce cast extract now current_timestamp current_date generate_series unnest string_agg array_agg row_number rank dense_rank over partition
+asc desc nulls first last filter columns rows tables schema schemas information_schema pg_catalog pg_tables pg_class""".split()
+# ---- fixed values: methods of object-relational mappers, and classes of the language that are no models ----
+CLIENT_READS = "findMany findFirst findUnique findRaw count aggregate groupBy".split()
+CLIENT_WRITES = "create createMany update updateMany upsert delete deleteMany".split()
+MODEL_READS = "findAll findOne findByPk findAndCountAll count".split()
+MODEL_WRITES = "create bulkCreate update destroy".split()
+NO_MODELS = "Promise Object Array Map Set Date Error JSON Math Buffer RegExp Symbol String Number Boolean Request Response Console".split()
+#: how far behind knex('t') a method that changes the table makes it a write, the call included
+KNEX_REACH = 200
+# ---- fixed values: what a scan leaves out ----
 EXCLUDED_DIRS = ["node_modules", "dist", "build", "coverage", ".next", ".nuxt", ".output", "__pycache__", ".cache", ".turbo", "out"]
 EXCLUDED_GLOBS = ["*.test.js", "*.spec.js", "*.min.js", "*.bundle.js", "*.d.ts"]
 EMPTY = "cast(array() as array<string>)"
@@ -65,11 +74,11 @@ def ignored(path: Column, pattern: str) -> Column:
 
 
 def alias_base(name: Column) -> Column:
-    """The short form of a name before collisions are told apart: capitals and other signs; with a small first letter that and the first capital; else two letters."""
+    """The short form of a name before collisions are told apart: of two or more signs that are no small letters the first three; else the first letter, small,
+    and the capital; without a capital the first two signs."""
     rest = F.regexp_replace(name, "[a-z]", "")
-    small = F.regexp_extract(name, "^[a-z]", 0) != ""
     capital = F.regexp_extract(name, "[A-Z]", 0)
-    return F.when(F.length(rest) >= 2, F.substring(rest, 1, 3)).when(small & (capital != ""), F.concat(F.substring(name, 1, 1), capital)).otherwise(F.substring(name, 1, 2))
+    return F.when(F.length(rest) >= 2, F.substring(rest, 1, 3)).when(capital != "", F.concat(F.lower(F.substring(name, 1, 1)), capital)).otherwise(F.substring(name, 1, 2))
 
 
 def strip_sql(text: Column) -> Column:
@@ -81,41 +90,63 @@ def is_sql(text: Column) -> Column:
     return text.rlike(r"(?i)^\s*(SELECT|INSERT|UPDATE|DELETE|WITH|CREATE\s+TABLE)\b")
 
 
+def is_table_name(n: Column) -> Column:
+    """Identifiers of two or more signs that are neither stop words nor all capitals nor capitalised nor of the catalogue's function families."""
+    return (F.length(n) >= 2) & n.rlike("^[a-zA-Z_][A-Za-z0-9_]*$") & ~F.lower(n).isin(SQL_STOPLIST) & ~n.rlike("^[A-Z][A-Z_]*$") & ~n.rlike("^[A-Z][a-z]") & ~n.rlike("^(pg_|jsonb_|array_|string_|regexp_)")
+
+
 def table_names(names: Column) -> Column:
-    """Those of an array that can be table names: identifiers of two or more characters, not all capitals, not capitalised, no key or catalogue words."""
+    """Those of an array, without their schema, that can be table names: distinct and sorted."""
     bare = F.transform(names, lambda n: F.substring_index(n, ".", -1))
-    good = lambda n: (F.length(n) >= 2) & n.rlike("^[a-z_][A-Za-z0-9_]*$") & ~F.lower(n).isin(SQL_STOPLIST) & ~n.rlike("^(pg_|jsonb_|array_|string_|regexp_)")
-    return F.array_sort(F.array_distinct(F.filter(bare, good)))
+    return F.array_sort(F.array_distinct(F.filter(bare, is_table_name)))
+
+
+_SQL_NAME = r"([a-zA-Z_]\w*+(?:\.[a-zA-Z_]\w*+)?+)"
 
 
 def sql_reads(text: Column) -> Column:
-    """Tables after FROM and JOIN, without the first target of a DELETE; names followed by a parenthesis are functions."""
+    """Tables after FROM and JOIN; names followed by a parenthesis are functions. The target of the first DELETE is not read if it stands without a schema."""
     s = strip_sql(text)
-    found = F.regexp_extract_all(s, F.lit(r"(?i)\b(?:FROM|JOIN)\s+([A-Za-z_][\w.]*)(?![\w.]|\s*\()"), F.lit(1))
-    deleted = F.regexp_extract_all(s, F.lit(r"(?i)\bDELETE\s+FROM\s+([A-Za-z_][\w.]*)"), F.lit(1))
-    return F.array_except(table_names(found), table_names(F.slice(deleted, 1, 1)))
+    found = table_names(F.regexp_extract_all(s, F.lit(rf"(?i)\b(?:FROM|JOIN)\s+{_SQL_NAME}(?!\s*\()"), F.lit(1)))
+    deleted = F.regexp_extract(s, r"(?i)\bDELETE\s+FROM\s+([a-zA-Z_]\w*)", 1)
+    return F.filter(found, lambda n: (n != deleted) | ~F.array_contains(sql_writes(text), n))
 
 
 def sql_writes(text: Column) -> Column:
     """Tables after INSERT INTO, UPDATE and DELETE FROM."""
-    return table_names(F.regexp_extract_all(strip_sql(text), F.lit(r"(?i)\b(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM)\s+([A-Za-z_][\w.]*)"), F.lit(1)))
-
-
-def orm_tables(code: Column, methods: list[str]) -> Column:
-    """Tables on which a mapper's method is called: prisma.order.findMany(), Order.findAll(); names come out in lower case. Client methods with a $ are none."""
-    m = "|".join(methods)
-    client = F.regexp_extract_all(code, F.lit(rf"\bprisma\s*\.\s*([A-Za-z_]\w*)\s*\.\s*(?:{m})\s*\("), F.lit(1))
-    model = F.regexp_extract_all(code, F.lit(rf"(?<![\w.$])([A-Z]\w*)\s*\.\s*(?:{m})\s*\("), F.lit(1))
-    builtin = ["Object", "Array", "Promise", "Map", "Set", "Math", "JSON", "Date", "Number", "String", "Symbol", "Reflect", "Proxy", "Error", "RegExp", "Boolean", "BigInt", "Intl"]
-    return F.array_sort(F.array_distinct(F.transform(F.concat(client, F.filter(model, lambda n: ~n.isin(builtin))), lambda n: F.lower(n))))
-
-
-def query_builder_tables(code: Column, write: bool) -> Column:
-    """Tables of a query builder: knex('t'), .from('t'), .table('t') read, .into('t') writes; a knex('t') writes if a write method follows within 200 characters."""
-    changes = r"\.\s*(?:insert|update|del|delete|truncate)\s*\("
-    first = F.regexp_extract_all(code, F.lit(r"\b(?:knex|db|trx)\s*\(\s*['\"`](\w+)['\"`]\s*\)" + (rf"(?=[\s\S]{{0,200}}?{changes})" if write else rf"(?![\s\S]{{0,200}}?{changes})")), F.lit(1))
-    more = F.regexp_extract_all(code, F.lit(r"\.\s*into\s*\(\s*['\"`](\w+)['\"`]" if write else r"\.\s*(?:from|table)\s*\(\s*['\"`](\w+)['\"`]"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.concat(first, more)))
+    return table_names(F.regexp_extract_all(strip_sql(text), F.lit(rf"(?i)\b(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM)\s+{_SQL_NAME}"), F.lit(1)))
+
+
+def mapper_tables(code: Column, write: bool) -> Column:
+    """Tables that code reads or writes through object-relational mappers and query builders: distinct and sorted.
+
+    prisma.order.findMany() names its table as it is spelt, Order.findAll() in small letters (classes of the language are no models); knex('t') reads,
+    or writes where a method that changes it follows soon; .from('t') and .table('t') read, .into('t') writes.
+    """
+    verbs = lambda words: "|".join(sorted(words, key=len, reverse=True))
+    client = F.regexp_extract_all(code, F.lit(rf"\bprisma\.(\w+)\.(?:{verbs(CLIENT_WRITES if write else CLIENT_READS)})\s*\("), F.lit(1))
+    model = F.regexp_extract_all(code, F.lit(rf"\b([A-Z][a-zA-Z]+)\.(?:{verbs(MODEL_WRITES if write else MODEL_READS)})\s*\("), F.lit(1))
+    model = F.transform(F.filter(model, lambda n: ~n.isin(NO_MODELS)), lambda n: F.lower(n))
+    knex = rf"\b(?=knex)(?=([\s\S]{{0,{KNEX_REACH}}}))knex\s*\(\s*['\"](\w+)['\"]\s*\)"
+    calls = F.arrays_zip(F.regexp_extract_all(code, F.lit(knex), F.lit(1)).alias("reach"), F.regexp_extract_all(code, F.lit(knex), F.lit(2)).alias("name"))
+    changes = lambda c: c["reach"].rlike(r"(?i)\.(?:insert|update|del|delete|truncate)\s*\(")
+    built = F.transform(F.filter(calls, lambda c: changes(c) if write else ~changes(c)), lambda c: c["name"])
+    named = F.regexp_extract_all(code, F.lit(rf"\.(?:{'into' if write else 'from|table'})\s*\(\s*['\"](\w+)['\"]\s*\)"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.concat(client, model, F.filter(F.concat(built, named), is_table_name))))
+
+
+#: strings of the languages: three quotes of either kind, backticks; and quotes of one line or more, in a text without escaped quotes
+QUOTED = [r'"""([\s\S]*?)"""', r"'''([\s\S]*?)'''", r"`([\s\S]*?)`"]
+QUOTED_BARE = [r'"([^"]*)"', r"'([^']*)'"]
+
+
+def code_tables(code: Column, write: bool) -> Column:
+    """Tables that code reads or writes: of all strings of five quote styles that are SQL, and through mappers. Distinct and sorted."""
+    # an escaped quote or backslash becomes signs that are no part of a name either, so that a string ends at the next quote
+    bare = F.regexp_replace(code, r"\\[\\'\"`]", "\ue000\ue000")
+    strings = F.filter(F.concat(*[F.regexp_extract_all(code, F.lit(q), F.lit(1)) for q in QUOTED], *[F.regexp_extract_all(bare, F.lit(q), F.lit(1)) for q in QUOTED_BARE]), is_sql)
+    found = F.flatten(F.transform(strings, lambda t: sql_writes(t) if write else sql_reads(t)))
+    return F.array_sort(F.array_distinct(F.concat(found, mapper_tables(code, write))))
 
 
 def template_tags(html: Column) -> Column:

@@ -32,20 +32,33 @@ def ctx_entries(files: DataFrame) -> DataFrame:
     )
 
 
-def checklist(files: DataFrame, text: str = "text") -> DataFrame:
-    """Items of checklists(path, text): (path, line_no, feature, item, action, expected, status, fail_reason). Only lines below a heading Tests count."""
-    lines = files.select("path", F.posexplode(F.split(text, r"\r\n|\n")).alias("n", "line"))
-    w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.when(F.col("line").rlike("^#{1,2} "), F.col("line").rlike(r"^## Tests\b"))
-    at = lines.withColumn("on", F.coalesce(F.last(head, ignorenulls=True).over(w), F.lit(False)))
+def checklist_lines(files: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """Items of checklists(key, text): (key, line_no, feature, action, expected, status, fail_reason). Only lines below a heading Tests count.
+
+    Made row by row: only the items of a text leave it.
+    """
     p = r"^\s*- \[([ x!])\] ([^:]+):\s*(.*?)(?:\s*→\s*(.*?))?(?:\s*\(FAILED: (.*)\))?$"
+    lines = F.transform(F.split(text, r"\r\n|\n"), lambda x, k: F.struct((k + 1).alias("n"), x.alias("line")))
+    heads = F.filter(lines, lambda h: h["line"].rlike("^#{1,2} "))
+    last = lambda i: F.element_at(F.filter(heads, lambda h: h["n"] < i["n"]), -1)
+    items = F.filter(F.filter(lines, lambda i: i["line"].rlike(p)), lambda i: F.coalesce(last(i)["line"].rlike(r"^## Tests\b"), F.lit(False)))
+    found = files.select(*key, F.explode(items).alias("i")).select(*key, "i.n", "i.line")
     g = lambda k: F.regexp_extract("line", p, k)
     status = F.when(g(1) == "x", "passed").when(g(1) == "!", "failed").otherwise("pending")
-    items = at.where(F.col("on") & F.col("line").rlike(p)).select("path", (F.col("n") + 1).alias("line_no"), g(2).alias("feature"), g(3).alias("action"), g(4).alias("expected"), status.alias("status"), F.when(g(5) != "", g(5)).alias("fail_reason"))
-    k = F.row_number().over(Window.partitionBy("path", "feature").orderBy("line_no")) - 1
+    return found.select(*key, F.col("n").alias("line_no"), g(2).alias("feature"), g(3).alias("action"), g(4).alias("expected"), status.alias("status"), F.when(g(5) != "", g(5)).alias("fail_reason"))
+
+
+def number_items(items: DataFrame, key: list[str]) -> DataFrame:
+    """Items with their name: the feature and the number within it, from 0."""
+    k = F.row_number().over(Window.partitionBy(*key, "feature").orderBy("line_no")) - 1
     return items.withColumn("item", F.concat("feature", F.lit("."), k.cast("string")))
 
 
+def checklist(files: DataFrame, text: str = "text") -> DataFrame:
+    """Numbered items of checklists(path, text)."""
+    return number_items(checklist_lines(files, ["path"], text), ["path"])
+
+
 def checklist_totals(items: DataFrame, keys: list[str]) -> DataFrame:
     out = items.groupBy(*keys).agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("passed", "failed", "pending")])
     return out.withColumn("progress", F.floor(100 * (F.col("passed") + F.col("failed")) / F.col("total") + 0.5).cast("int"))

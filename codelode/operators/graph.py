@@ -5,6 +5,9 @@ nodes(repo, alias, kind, node_name, extends_name, methods, exported, path_rel, l
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +23,51 @@ def target_base(dst):
 
 
 def legend(names: DataFrame, keys: list[str] = ("repo",)) -> DataFrame:
-    """(keys, name, alias) for names(keys, name, ord): the first name of a short form gets it, later ones a number behind, in order of ord.
+    """(keys, name, ord, alias) for names(keys, name, ord): each name, in order of ord, gets its short form or, if that is taken, the first free number behind it.
 
-    Null and empty names get no alias; a repeated name counts once, at its first place. A number never makes an alias twice within a short form.
+    Null and empty names get no alias; a repeated name counts once, at its first place. A short form and a number can be another short form (SN1), so
+    the names of short forms that differ in digits at the end alone are numbered together: in one pass in order, of which only a counter for each
+    short form is kept (there are at most some hundred with the same letters). All others are numbered by a window.
     """
+    keys = list(keys)
     first = names.where("name is not null and name <> ''").groupBy(*keys, "name").agg(F.min("ord").alias("ord"))
-    based = first.withColumn("base", alias_base(F.col("name")))
+    based = first.withColumn("base", alias_base(F.col("name"))).withColumn("root", F.regexp_replace("base", "[0-9]+$", ""))
+    mixed = based.groupBy(*keys, "root").agg(F.min("base").alias("a"), F.max("base").alias("b")).where("a <> b").select(*keys, "root", F.lit(True).alias("mixed"))
+    based = based.join(mixed, [*keys, "root"], "left")
     n = F.row_number().over(Window.partitionBy(*keys, "base").orderBy("ord", "name")) - 1
-    return based.withColumn("n", n).select(*keys, "name", "ord", F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat("base", F.col("n").cast("string"))).alias("alias"))
+    plain = based.where("mixed is null").withColumn("n", n)
+    ordered = based.where("mixed").select(*keys, "root", "name", "ord", "base", F.lit(0).cast("long").alias("n")).repartition(*keys, "root").sortWithinPartitions(*keys, "root", "ord", "name")
+    counted = ordered.mapInPandas(_number(len(keys)), ordered.schema)
+    number = F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat("base", F.col("n").cast("string"))).alias("alias")
+    return plain.select(*keys, "name", "ord", number).unionByName(counted.select(*keys, "name", "ord", number))
+
+
+def _number(n_keys: int):
+    """Numbers rows(keys, root, name, ord, base, n) that come sorted: n is the least for which the base, or the base and n, is free.
+
+    All numbers of a base below its counter are taken, by itself or by others, so the counters tell what is taken.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, next_free = None, {}
+
+        def taken(alias: str) -> bool:
+            return any(k and (alias == b or alias.startswith(b) and (rest := alias[len(b) :]).isdigit() and rest[0] != "0" and int(rest) < k) for b, k in next_free.items())
+
+        for pdf in batches:
+            numbers = []
+            for row in pdf.itertuples(index=False, name=None):
+                if row[: n_keys + 1] != group:
+                    group, next_free = row[: n_keys + 1], {}
+                base = row[n_keys + 3]
+                k = next_free.get(base, 0)
+                while taken(f"{base}{k}" if k else base):
+                    k += 1
+                numbers.append(k)
+                next_free[base] = k + 1
+            yield pdf.assign(n=numbers)
+
+    return run
 
 
 def call_edges(classes: DataFrame, names: DataFrame) -> DataFrame:

@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codelode.functions.text import EXCLUDED_DIRS, alias_base, content_hash, excluded, sql_reads, sql_writes, strip_code_comments, token_estimate
+from codelode.functions.text import EXCLUDED_DIRS, SQL_STOPLIST, alias_base, code_tables, content_hash, excluded, sql_reads, sql_writes, strip_code_comments, token_estimate
 from codelode.operators import analysis as A
 from codelode.operators.references import table_key
 from codelode.plans.graph_queries import edges
-from codelode.sources.tables import latest, table
+from codelode.sources.tables import current, latest, table
 
 FILE = ["repo", "path_rel", "ext", "lang", "raw", "legend", "original", "expanded", "compressed", "content_hash", "mtime"]
 
 
-def files(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
-    """Files of the last scan."""
-    return latest(table(spark, folder, "compress_files"), "file_id", "scanned_at", columns)
+def files(spark: SparkSession, folder: str, columns: list[str], **made: Column) -> DataFrame:
+    """Files of the last scan: columns, and what is made of each row before anything is moved. Texts are made into something narrow, never moved."""
+    rows = table(spark, folder, "compress_files").select("file_id", "scanned_at", *columns, *[c.alias(n) for n, c in made.items()])
+    return latest(rows, "file_id", "scanned_at", [*columns, *made])
+
+
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of files with their version, for work row by row whose results go through ``current``."""
+    return table(spark, folder, "compress_files").select("file_id", "repo", "path_rel", "ext", "raw", "legend", F.col("scanned_at").alias("version"))
+
+
+def n_lines() -> Column:
+    return F.when(F.col("raw").isNotNull(), F.size(F.split("raw", "\n")))
 
 
 _F = "WITH f AS (SELECT file_id, r.* FROM (SELECT file_id, arg_max(compress_files, scanned_at) AS r FROM compress_files GROUP BY file_id))".replace("file_id, r.*", "r.*")
@@ -26,7 +36,9 @@ _T = ", t AS (SELECT r.* FROM (SELECT arg_max(db_tables, loaded_at) AS r FROM db
 
 
 def file_inventory(spark, folder):
-    return A.inventory(files(spark, folder, ["raw"]).where("raw is not null")).select("file_id", "n_lines", "n_characters", "n_tokens", "hash")
+    raw = F.col("raw")
+    rows = files(spark, folder, [], n_lines=n_lines(), n_characters=F.length(raw), n_tokens=token_estimate(raw), hash=content_hash(raw))
+    return rows.where("hash is not null").select("file_id", "n_lines", "n_characters", "n_tokens", "hash")
 
 
 def lang_router(spark, folder):
@@ -45,14 +57,15 @@ def scan_filter(spark, folder):
 
 def content_hash_dups(spark, folder):
     """Texts that several files share."""
-    rows = files(spark, folder, ["raw"]).where("raw is not null")
-    return rows.groupBy(content_hash(F.col("raw")).alias("hash")).agg(F.count("*").alias("n_files"), F.min("file_id").alias("first_file")).where("n_files > 1")
+    rows = files(spark, folder, [], hash=content_hash(F.col("raw"))).where("hash is not null")
+    return rows.groupBy("hash").agg(F.count("*").alias("n_files"), F.min("file_id").alias("first_file")).where("n_files > 1")
 
 
 def file_lines(spark, folder):
-    """Line lengths of every file, aggregated."""
-    lines = A.lines_of(files(spark, folder, ["raw"]), ["file_id"])
-    return lines.groupBy("file_id").agg(F.count("*").alias("n_lines"), F.max(F.length("line")).alias("longest"), F.count_if(F.trim("line") == "").alias("n_blank"))
+    """Line lengths of every file."""
+    lines = F.split(F.regexp_replace("raw", "\r\n?", "\n"), "\n")
+    rows = files(spark, folder, [], n_lines=F.size(lines).cast("long"), longest=F.array_max(F.transform(lines, F.length)), n_blank=F.size(F.filter(lines, lambda x: F.trim(x) == "")).cast("long"))
+    return rows.where("longest is not null").select("file_id", "n_lines", "longest", "n_blank")
 
 
 def compress_savings(spark, folder):
@@ -64,9 +77,9 @@ def compress_savings(spark, folder):
 
 def comment_strip_savings(spark, folder):
     """Estimated tokens before and after comments are stripped the plain way."""
-    rows = files(spark, folder, ["ext", "raw"]).where("raw is not null and ext in ('.js', '.mjs', '.ts', '.tsx')")
-    s = rows.select("ext", token_estimate(F.regexp_replace("raw", "\r", "")).alias("before"), token_estimate(strip_code_comments(F.regexp_replace("raw", "\r", ""))).alias("after"))
-    return s.groupBy("ext").agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
+    raw = F.regexp_replace("raw", "\r", "")
+    rows = files(spark, folder, ["ext"], before=token_estimate(raw), after=token_estimate(strip_code_comments(raw))).where("before is not null and ext in ('.js', '.mjs', '.ts', '.tsx')")
+    return rows.groupBy("ext").agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
 
 
 def files_by_dir(spark, folder):
@@ -77,7 +90,7 @@ def files_by_dir(spark, folder):
 
 def cache_hits(spark, folder):
     """Whether the stored hash of each file still fits its text."""
-    rows = files(spark, folder, ["raw", "content_hash"]).where("raw is not null").select("file_id", content_hash(F.col("raw")).alias("hash"), "content_hash")
+    rows = files(spark, folder, ["content_hash"], hash=content_hash(F.col("raw"))).where("hash is not null")
     state = A.cache_state(rows.select("file_id", "hash"), rows.select("file_id", F.substring("content_hash", 1, 8).alias("hash")), ["file_id"])
     return state.agg(F.count_if(F.col("hit")).alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
@@ -86,7 +99,7 @@ def large_files(spark, folder):
     """Ratings by lines and by the numbers of functions, classes and exports in the graph."""
     from codelode.plans.graph_queries import nodes
 
-    rows = files(spark, folder, ["repo", "path_rel", "raw"]).where("raw is not null").select("repo", "path_rel", F.size(F.split("raw", "\n")).alias("n_lines")).groupBy("repo", "path_rel").agg(F.max("n_lines").alias("n_lines"))
+    rows = files(spark, folder, ["repo", "path_rel"], n_lines=n_lines()).where("n_lines is not null").groupBy("repo", "path_rel").agg(F.max("n_lines").alias("n_lines"))
     n = nodes(spark, folder).select("repo", "path_rel", "kind", "node_name", F.coalesce("exported", F.lit(False)).alias("exported")).distinct()
     counts = n.groupBy("repo", "path_rel").agg(F.count_if(F.col("kind") == "F").alias("n_functions"), F.count_if(F.col("kind") == "C").alias("n_classes"), F.count_if(F.col("exported")).alias("n_exports"))
     out = A.large_files(rows.join(counts, ["repo", "path_rel"], "left")).where("rating <> 'ok'")
@@ -100,8 +113,9 @@ def rule_hits(spark, folder):
          ("no-todo", 3, "TODO", False, "info", "*", []), ("no-global", 4, "globalThis.", False, "warning", "*.ts", []), ("throw-error", 5, "throw new Error", False, "info", "*.js", ["*.mjs"])],
         "rule_id string, rank int, pattern string, is_regex boolean, severity string, file_pattern string, exclude array<string>",
     )
-    lines = A.lines_of(files(spark, folder, ["path_rel", "raw"]).where("raw is not null and path_rel is not null"), ["file_id", "path_rel"])
-    hits = A.check_rules(lines, rules, ["file_id", "path_rel"], "path_rel")
+    rows = texts(spark, folder)
+    lines = A.lines_of(rows.where("file_id is not null and raw is not null and path_rel is not null"), ["file_id", "path_rel", "version"])
+    hits = current(A.check_rules(lines, rules, ["file_id", "path_rel", "version"], "path_rel"), rows, "file_id", "version")
     return hits.groupBy("rule_id", "severity").agg(F.count("*").alias("n_hits"), F.count_distinct("file_id").alias("n_files"))
 
 
@@ -136,9 +150,14 @@ def db_column_types(spark, folder):
 
 def sql_text_scan(spark, folder):
     """Tables read and written by the scripts."""
-    rows = files(spark, folder, ["raw"]).where("raw is not null").join(files(spark, folder, ["ext"]).where("ext = '.sql'").select("file_id"), "file_id")
-    s = rows.select("file_id", sql_reads(F.col("raw")).alias("r"), sql_writes(F.col("raw")).alias("w"))
-    return s.select("file_id", F.array_join("r", ",").alias("table_reads"), F.array_join("w", ",").alias("table_writes")).where("table_reads <> '' or table_writes <> ''")
+    s = files(spark, folder, ["ext"], table_reads=F.array_join(sql_reads(F.col("raw")), ","), table_writes=F.array_join(sql_writes(F.col("raw")), ",")).where("ext = '.sql'")
+    return s.select("file_id", "table_reads", "table_writes").where("table_reads <> '' or table_writes <> ''")
+
+
+def code_table_scan(spark, folder):
+    """Tables read and written by strings of code in five quote styles and through mappers, in files of all languages."""
+    s = files(spark, folder, [], table_reads=F.array_join(code_tables(F.col("raw"), False), ","), table_writes=F.array_join(code_tables(F.col("raw"), True), ","))
+    return s.select("file_id", "table_reads", "table_writes").where("table_reads <> '' or table_writes <> ''")
 
 
 def pipeline_verdict(spark, folder):
@@ -173,11 +192,12 @@ def severity_order(spark, folder):
 
 
 def staleness(spark, folder):
-    """Legends of files against their texts: a legend is unknown if missing, stale if its first name does not occur in the text."""
-    rows = files(spark, folder, ["raw", "legend", "ext"]).where("raw is not null and ext in ('.js', '.mjs', '.ts', '.tsx')")
-    first = F.regexp_extract("legend", r"([A-Za-z_$][A-Za-z0-9_$]*)\(", 1)
-    status = F.when(F.col("legend").isNull() | (F.trim("legend") == "") | (first == ""), "unknown").when(F.col("raw").contains(first), "fresh").otherwise("stale")
-    return rows.groupBy(status.alias("status")).agg(F.count("*").alias("n_files"))
+    """Legends of files against their texts: unknown if the legend names no function, stale if any of its functions is not in the text, else fresh."""
+    names = F.array_distinct(F.regexp_extract_all("legend", F.lit(r"(?m)^(?:export |async )*([A-Za-z_$][A-Za-z0-9_$]*)\("), F.lit(1)))
+    gone = F.filter(names, lambda n: ~F.contains(F.col("raw"), n))
+    status = F.when(F.col("raw").isNotNull(), F.when(F.size(F.coalesce(names, F.array().cast("array<string>"))) == 0, "unknown").when(F.size(gone) > 0, "stale").otherwise("fresh"))
+    rows = files(spark, folder, ["ext"], status=status, n_gone=F.when(F.size(gone) > 0, F.size(gone)).otherwise(0)).where("status is not null and ext in ('.js', '.mjs', '.ts', '.tsx')")
+    return rows.groupBy("status").agg(F.count("*").alias("n_files"), F.sum(F.col("n_gone").cast("long")).alias("n_gone"))
 
 
 def checklist_summary(spark, folder):
@@ -188,31 +208,34 @@ def checklist_summary(spark, folder):
 
 
 def _checklist(spark, folder):
-    docs = latest(table(spark, folder, "documents"), "doc_id", "loaded_at", ["repo", "source", "text"]).where("lower(trim(source)) = 'checklist' and text is not null and repo is not null")
-    lines = A.lines_of(docs, ["doc_id", "repo"], "text")
-    mark = F.regexp_extract("line", r"^- \[([ x!])\] [^:]+: ", 1)
-    return lines.withColumn("mark", mark).where("mark <> ''").withColumn("feature", F.regexp_extract("line", r"^- \[[ x!]\] ([^:]+): ", 1)).withColumn("status", F.when(F.col("mark") == "x", "passed").when(F.col("mark") == "!", "failed").otherwise("pending"))
+    """Items of the checklists in documents, numbered within their feature and document."""
+    from codelode.operators.docs import checklist_lines, number_items
+
+    rows = table(spark, folder, "documents").select("doc_id", "repo", "source", "text", F.col("loaded_at").alias("version"))
+    lists = rows.where("doc_id is not null and lower(trim(source)) = 'checklist' and text is not null and repo is not null")
+    return number_items(current(checklist_lines(lists, ["doc_id", "repo", "version"]), rows, "doc_id", "version"), ["doc_id"])
 
 
 def checklist_ids(spark, folder):
     """Items numbered within their feature and document."""
-    n = F.row_number().over(Window.partitionBy("doc_id", "feature").orderBy("line_no")) - 1
-    return _checklist(spark, folder).select("doc_id", "line_no", "feature", "status", F.concat("feature", F.lit("."), n.cast("string")).alias("item"))
+    return _checklist(spark, folder).select("doc_id", "line_no", "feature", "status", "item")
 
 
 def doc_sections(spark, folder):
-    """Lines of documents under their last heading, counted."""
-    docs = latest(table(spark, folder, "documents"), "doc_id", "loaded_at", ["text"]).where("text is not null")
-    lines = A.lines_of(docs, ["doc_id"], "text")
-    head = F.when(F.col("line").rlike("^#{1,6} "), F.col("line_no"))
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("section", F.coalesce(F.last(head, ignorenulls=True).over(w), F.lit(0))).groupBy("doc_id", "section").agg(F.count("*").alias("n_lines"))
+    """Lines of documents under their last heading, counted; 0 is what stands before the first."""
+    lines = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")
+    marked = F.transform(lines, lambda x, k: F.when(x.rlike("^#{1,6} "), k + 1))
+    heads = F.filter(marked, lambda k: k.isNotNull())
+    parts = F.arrays_zip(F.concat(F.array(F.lit(0)), heads).alias("section"), F.concat(heads, F.array(F.size(lines) + 1)).alias("next"))
+    rows = latest(table(spark, folder, "documents").select("doc_id", "loaded_at", parts.alias("parts")), "doc_id", "loaded_at", ["parts"])
+    out = rows.select("doc_id", F.explode("parts").alias("p")).select("doc_id", "p.section", (F.col("p.next") - F.greatest("p.section", F.lit(1))).cast("long").alias("n_lines"))
+    return out.where("n_lines > 0")
 
 
 def ai_context_tokens(spark, folder):
     """Estimated tokens of all files of a repo, and of the files that the default filters leave."""
-    rows = files(spark, folder, ["repo", "path_rel", "raw"]).where("raw is not null and path_rel is not null and repo is not null")
-    t = token_estimate(F.col("raw"))
+    rows = files(spark, folder, ["repo", "path_rel"], t=token_estimate(F.col("raw"))).where("t is not null and path_rel is not null and repo is not null")
+    t = F.col("t")
     out = rows.groupBy("repo").agg(F.sum(t).alias("all_tokens"), F.coalesce(F.sum(F.when(~excluded(F.col("path_rel")), t)), F.lit(0)).alias("kept_tokens"))
     return out.withColumn("savings", F.when(F.col("all_tokens") > 0, F.round(100 * (1 - F.col("kept_tokens") / F.col("all_tokens")), 2)))
 
@@ -266,7 +289,7 @@ def health_score(spark, folder):
     repos = files(spark, folder, ["repo"]).where("repo is not null").select("repo").distinct()
     n = nodes(spark, folder)
     dead = orphans(n, edges(spark, folder)).groupBy("repo").agg(F.count("*").alias("dead"))
-    sized = files(spark, folder, ["repo", "raw"]).where("raw is not null").withColumn("lines", F.size(F.split("raw", "\n"))).groupBy("repo").agg(F.count_if(F.col("lines") > 500).alias("critical_files"), F.count_if((F.col("lines") > 300) & (F.col("lines") <= 500)).alias("warning_files"))
+    sized = files(spark, folder, ["repo"], lines=n_lines()).where("lines is not null").groupBy("repo").agg(F.count_if(F.col("lines") > 500).alias("critical_files"), F.count_if((F.col("lines") > 300) & (F.col("lines") <= 500)).alias("warning_files"))
     checks = latest(table(spark, folder, "pipeline_checks"), "check_id", "checked_at", ["repo", "stage"]).groupBy("repo").agg(F.count_if(F.col("stage") == "ast").alias("errors"), F.count_if(F.col("stage") == "style").alias("warnings"))
     out = repos.join(dead, "repo", "left").join(sized, "repo", "left").join(checks, "repo", "left").na.fill(0)
     z = F.lit(0)
@@ -297,7 +320,7 @@ def alias_bases(spark, folder):
 
 
 _NAMES = """file_inventory lang_router scan_filter content_hash_dups file_lines compress_savings comment_strip_savings files_by_dir cache_hits large_files rule_hits db_schema db_table_usage db_dead_tables
-db_dead_columns db_column_types sql_text_scan pipeline_verdict style_summary run_errors severity_order staleness checklist_summary checklist_ids doc_sections ai_context_tokens tool_event_windows asof_latest
+db_dead_columns db_column_types sql_text_scan code_table_scan pipeline_verdict style_summary run_errors severity_order staleness checklist_summary checklist_ids doc_sections ai_context_tokens tool_event_windows asof_latest
 complexity_ratings complexity_topk dead_exports health_score set_operations contract_check alias_bases""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 _DIRS = ", ".join(f"'{d}'" for d in EXCLUDED_DIRS)
@@ -306,14 +329,23 @@ _OUT = f"""(list_has_any(string_split(path_rel, '/')[:-2], [{_DIRS}]) OR len(lis
 _CHECK = """, c AS (SELECT r.* FROM (SELECT arg_max(pipeline_checks, checked_at) AS r FROM pipeline_checks GROUP BY check_id))"""
 _DOC = "WITH d AS (SELECT r.* FROM (SELECT arg_max(documents, loaded_at) AS r FROM documents GROUP BY doc_id) WHERE r.text IS NOT NULL)"
 _LINES = """, l AS (SELECT doc_id, repo, source, generate_subscripts(x, 1) AS line_no, unnest(x) AS line FROM (SELECT *, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS x FROM d))"""
-_ITEMS = _DOC + _LINES + """, i AS (SELECT doc_id, repo, line_no, regexp_extract(line, '^- \\[[ x!]\\] ([^:]+): ', 1) AS feature, CASE regexp_extract(line, '^- \\[([ x!])\\] [^:]+: ', 1) WHEN 'x' THEN 'passed' WHEN '!' THEN 'failed' ELSE 'pending' END AS status
- FROM l WHERE lower(trim(source)) = 'checklist' AND repo IS NOT NULL AND regexp_matches(line, '^- \\[[ x!]\\] [^:]+: '))"""
+_ITEMS = _DOC + _LINES + """, m AS (SELECT *, coalesce(last_value(CASE WHEN regexp_matches(line, '^#{1,2} ') THEN regexp_matches(line, '^## Tests\\b') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), false) AS tests FROM l), i AS (SELECT doc_id, repo, line_no, regexp_extract(line, '^- \\[[ x!]\\] ([^:]+): ', 1) AS feature, CASE regexp_extract(line, '^- \\[([ x!])\\] [^:]+: ', 1) WHEN 'x' THEN 'passed' WHEN '!' THEN 'failed' ELSE 'pending' END AS status
+ FROM m WHERE tests AND lower(trim(source)) = 'checklist' AND repo IS NOT NULL AND regexp_matches(line, '^- \\[[ x!]\\] [^:]+: '))"""
 _STRIP = """length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(raw, chr(13), ''), '/\\*[\\s\\S]*?\\*/', '', 'g'), '(?m)^[ \\t]*//[^\\n]*$', '', 'g'), '(?m)[ \\t]+$', '', 'g'), '\\n{2,}', chr(10), 'g')))"""
 _USED = _F + _E + f""", u AS (SELECT repo, table_name, n_readers, n_writers, n_readers + n_writers AS total FROM (SELECT repo, {_KEY.format('dst')} AS table_name, count(DISTINCT src) FILTER (op = 'R→') AS n_readers, count(DISTINCT src) FILTER (op = 'W→') AS n_writers
  FROM e WHERE op IN ('R→', 'W→') AND repo IS NOT NULL GROUP BY ALL))""" + _T + f", k AS (SELECT *, {_KEY.format('table_name')} AS name FROM t)"
 _NODES = ", n AS (SELECT r.* FROM (SELECT arg_max(graph_nodes, loaded_at) AS r FROM graph_nodes GROUP BY node_id) WHERE r.seen_to IS NULL)"
 _RULES = """(VALUES ('no-var', 0, 'var ', 'warning', '.js', '.min.js'), ('no-eval', 1, 'eval(', 'error', '.js', '#'), ('no-console', 2, 'console.', 'info', 's', '#'), ('no-todo', 3, 'TODO', 'info', '', '#'),
  ('no-global', 4, 'globalThis.', 'warning', '.ts', '#'), ('throw-error', 5, 'throw new Error', 'info', '.js', '.mjs')) r(rule_id, rank, pattern, severity, tail, ex)"""
+_STOP = ", ".join(f"'{w}'" for w in SQL_STOPLIST)
+_BARE = """trim(regexp_replace(regexp_replace(regexp_replace({}, '--[^\\n]*', '', 'g'), '/\\*[\\s\\S]*?\\*/', '', 'g'), '\\s+', ' ', 'g'))"""
+#: DuckDB has no look-ahead: a name behind FROM or JOIN is taken with what follows, and those before a parenthesis are dropped
+_NAMED = f""", a AS (SELECT file_id, q, 'r' AS k, unnest(regexp_extract_all(q, '(?i)\\b(?:FROM|JOIN)\\s+([a-zA-Z_]\\w*(?:\\.[a-zA-Z_]\\w*)?\\s*\\(?)', 1)) AS t FROM s
+ UNION ALL SELECT file_id, q, 'w', unnest(regexp_extract_all(q, '(?i)\\b(?:INSERT\\s+INTO|UPDATE|DELETE\\s+FROM)\\s+([a-zA-Z_]\\w*(?:\\.[a-zA-Z_]\\w*)?)', 1)) FROM s),
+b AS (SELECT DISTINCT file_id, q, k, split_part(trim(t), '.', -1) AS t FROM a WHERE NOT (k = 'r' AND ends_with(t, '('))),
+c AS (SELECT * FROM b WHERE length(t) >= 2 AND lower(t) NOT IN ({_STOP}) AND NOT regexp_matches(t, '^[A-Z][A-Z_]*$') AND NOT regexp_matches(t, '^[A-Z][a-z]') AND NOT regexp_matches(t, '^(pg_|jsonb_|array_|string_|regexp_)')),
+d AS (SELECT DISTINCT file_id, k, t FROM c WHERE NOT (k = 'r' AND t = regexp_extract(q, '(?i)\\bDELETE\\s+FROM\\s+([a-zA-Z_]\\w*)', 1) AND EXISTS (SELECT 1 FROM c w WHERE w.k = 'w' AND w.file_id = c.file_id AND w.q = c.q AND w.t = c.t))),
+both_ AS (SELECT file_id, string_agg(t, ',' ORDER BY t) FILTER (k = 'r') AS table_reads, string_agg(t, ',' ORDER BY t) FILTER (k = 'w') AS table_writes FROM d GROUP BY 1)"""
 ORACLE = {
     "file_inventory": _F + "SELECT file_id, len(string_split(raw, chr(10))) AS n_lines, length(raw) AS n_characters, ceil(length(raw) / 4)::BIGINT AS n_tokens, substr(md5(raw), 1, 8) AS hash FROM f WHERE raw IS NOT NULL",
     "lang_router": _F + "SELECT CASE WHEN ext IN ('.js', '.mjs') THEN 'javascript' WHEN ext IN ('.ts', '.tsx') THEN 'typescript' WHEN ext = '.py' THEN 'python' WHEN ext = '.go' THEN 'go' WHEN ext = '.sql' THEN 'sql' END AS routed, lang, count(*) AS n_files FROM f GROUP BY ALL",
@@ -340,16 +372,20 @@ SELECT rule_id, severity, count(*) AS n_hits, count(DISTINCT file_id) AS n_files
     "db_dead_columns": _USED + """, c AS (SELECT repo, name AS table_name, unnest(cols).col_name AS col_name FROM k WHERE EXISTS (SELECT 1 FROM u WHERE u.repo = k.repo AND u.table_name = k.name))
 SELECT DISTINCT * FROM c WHERE col_name NOT IN ('id', 'uuid', 'created_at', 'updated_at') AND NOT EXISTS (SELECT 1 FROM u WHERE u.repo = c.repo AND u.table_name = c.col_name)""",
     "db_column_types": _USED + " SELECT upper(regexp_replace(c.col_type, '\\(.*$', '')) AS col_type, count(*) AS n_columns FROM (SELECT unnest(cols) AS c FROM k) GROUP BY 1",
-    "sql_text_scan": _F + """, s AS (SELECT file_id, trim(regexp_replace(regexp_replace(regexp_replace(raw, '--[^\\n]*', '', 'g'), '/\\*[\\s\\S]*?\\*/', '', 'g'), '\\s+', ' ', 'g')) AS q FROM f WHERE ext = '.sql' AND raw IS NOT NULL),
-w AS (SELECT DISTINCT file_id, split_part(unnest(regexp_extract_all(q, '(?i)\\b(?:INSERT\\s+INTO|UPDATE|DELETE\\s+FROM)\\s+([A-Za-z_][\\w.]*)', 1)), '.', -1) AS t FROM s)
-SELECT file_id, '' AS table_reads, string_agg(t, ',' ORDER BY t) AS table_writes FROM w WHERE length(t) >= 2 AND regexp_matches(t, '^[a-z_][A-Za-z0-9_]*$') GROUP BY 1""",
+    "sql_text_scan": _F + f""", s AS (SELECT file_id, {_BARE.format('raw')} AS q FROM f WHERE ext = '.sql' AND raw IS NOT NULL)""" + _NAMED + """
+SELECT file_id, coalesce(table_reads, '') AS table_reads, coalesce(table_writes, '') AS table_writes FROM both_""",
+    "code_table_scan": _F + f""", bare AS (SELECT file_id, raw, regexp_replace(raw, '\\\\[\\\\''\"`]', '##', 'g') AS e FROM f WHERE raw IS NOT NULL),
+quoted AS (SELECT file_id, unnest(list_concat(regexp_extract_all(raw, '\"\"\"([\\s\\S]*?)\"\"\"', 1), regexp_extract_all(raw, '''''''([\\s\\S]*?)''''''', 1), regexp_extract_all(raw, '`([\\s\\S]*?)`', 1), regexp_extract_all(e, '\"([^\"]*)\"', 1), regexp_extract_all(e, '''([^'']*)''', 1))) AS q FROM bare),
+s AS (SELECT file_id, {_BARE.format('q')} AS q FROM quoted WHERE regexp_matches(q, '(?i)^\\s*(SELECT|INSERT|UPDATE|DELETE|WITH|CREATE\\s+TABLE)\\b'))""" + _NAMED + """
+SELECT file_id, coalesce(table_reads, '') AS table_reads, coalesce(table_writes, '') AS table_writes FROM both_""",
     "pipeline_verdict": "WITH x AS (SELECT 1)" + _CHECK + """, n AS (SELECT run_id, count(*) FILTER (stage = 'ast') AS n_ast, count(*) FILTER (stage = 'style') AS n_style FROM c GROUP BY 1)
 SELECT r.run_id, r.repo, coalesce(len(errors), 0) AS n_errors, coalesce(len(file_list), 0) AS n_listed, coalesce(n_ast, 0) AS n_ast, coalesce(n_style, 0) AS n_style, CASE WHEN coalesce(len(errors), 0) = 0 AND coalesce(n_ast, 0) = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM compact_runs r LEFT JOIN n USING (run_id)""",
     "style_summary": "WITH x AS (SELECT 1)" + _CHECK + " SELECT rule_code, repo, count(*) AS n_findings, count(DISTINCT file_path) AS n_files FROM c WHERE stage = 'style' AND rule_code IS NOT NULL AND repo IS NOT NULL GROUP BY ROLLUP (rule_code, repo)",
     "run_errors": "SELECT trim(regexp_replace(regexp_replace(e.error_msg, '\\(\\d+:\\d+\\)', '', 'g'), '''[^'']*''', '''x''', 'g')) AS kind, count(*) AS n_errors, count(DISTINCT run_id) AS n_runs FROM (SELECT run_id, unnest(errors) AS e FROM compact_runs) GROUP BY 1",
     "severity_order": "WITH x AS (SELECT 1)" + _CHECK + " SELECT check_id, checked_at, repo, file_path, stage, rule_code, CASE stage WHEN 'ast' THEN 0 ELSE 1 END AS rank FROM c WHERE repo IS NOT NULL AND file_path IS NOT NULL ORDER BY rank, repo, file_path, check_id LIMIT 50",
-    "staleness": _F + """, x AS (SELECT raw, legend, regexp_extract(legend, '([A-Za-z_$][A-Za-z0-9_$]*)\\(', 1) AS k FROM f WHERE raw IS NOT NULL AND ext IN ('.js', '.mjs', '.ts', '.tsx'))
-SELECT CASE WHEN legend IS NULL OR trim(legend) = '' OR k = '' THEN 'unknown' WHEN contains(raw, k) THEN 'fresh' ELSE 'stale' END AS status, count(*) AS n_files FROM x GROUP BY 1""",
+    "staleness": _F + """, x AS (SELECT raw, list_distinct(regexp_extract_all(coalesce(legend, ''), '(?m)^(?:export |async )*([A-Za-z_$][A-Za-z0-9_$]*)\\(', 1)) AS k FROM f WHERE raw IS NOT NULL AND ext IN ('.js', '.mjs', '.ts', '.tsx')),
+y AS (SELECT len(k) AS n, len(list_filter(k, lambda n: NOT contains(raw, n))) AS gone FROM x)
+SELECT CASE WHEN n = 0 THEN 'unknown' WHEN gone > 0 THEN 'stale' ELSE 'fresh' END AS status, count(*) AS n_files, sum(gone)::BIGINT AS n_gone FROM y GROUP BY 1""",
     "checklist_summary": _ITEMS + " SELECT *, floor(100 * (passed + failed) / total + 0.5)::BIGINT AS progress FROM (SELECT repo, count(*) AS total, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'pending') AS pending FROM i GROUP BY 1)",
     "checklist_ids": _ITEMS + " SELECT doc_id, line_no, feature, status, feature || '.' || (row_number() OVER (PARTITION BY doc_id, feature ORDER BY line_no) - 1) AS item FROM i",
     "doc_sections": _DOC + _LINES + ", s AS (SELECT doc_id, coalesce(last_value(CASE WHEN regexp_matches(line, '^#{1,6} ') THEN line_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 0) AS section FROM l) SELECT doc_id, section, count(*) AS n_lines FROM s GROUP BY ALL",
@@ -375,5 +411,5 @@ SELECT 'both' AS how, repo FROM (SELECT repo FROM a INTERSECT SELECT repo FROM b
     "contract_check": "WITH x AS (SELECT 1)" + _CHECK + """, a AS (SELECT DISTINCT repo, e.file_path AS file_path FROM (SELECT repo, unnest(errors) AS e FROM compact_runs)), b AS (SELECT DISTINCT repo, file_path FROM c WHERE stage = 'ast')
 SELECT CASE WHEN a.file_path IS NOT NULL AND b.file_path IS NOT NULL THEN 'both' WHEN a.file_path IS NOT NULL THEN 'run only' ELSE 'check only' END AS side, count(*) AS n_files FROM a FULL JOIN b ON a.repo = b.repo AND a.file_path = b.file_path GROUP BY 1""",
     "alias_bases": """WITH n AS (SELECT p_name AS name FROM part UNION SELECT n_name FROM nation UNION SELECT node_name FROM graph_nodes), x AS (SELECT name, regexp_replace(name, '[a-z]', '', 'g') AS rest, regexp_extract(name, '[A-Z]') AS cap FROM n WHERE name IS NOT NULL AND name <> '')
-SELECT CASE WHEN length(rest) >= 2 THEN substr(rest, 1, 3) WHEN regexp_matches(name, '^[a-z]') AND cap <> '' THEN substr(name, 1, 1) || cap ELSE substr(name, 1, 2) END AS base, count(*) AS n_names FROM x GROUP BY 1""",
+SELECT CASE WHEN length(rest) >= 2 THEN substr(rest, 1, 3) WHEN cap <> '' THEN lower(substr(name, 1, 1)) || cap ELSE substr(name, 1, 2) END AS base, count(*) AS n_names FROM x GROUP BY 1""",
 }

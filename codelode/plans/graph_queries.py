@@ -83,10 +83,15 @@ def graph_legend(spark, folder):
 
 
 def graph_call_edges(spark, folder):
-    """Edges of classes to the owners of the methods they extend or repeat: calls are read as their method names."""
-    own = nodes(spark, folder)
-    names = own.where("repo is not null").select("repo", F.col("node_name").alias("name"), F.col("line_no").alias("ord"))
-    calls = own.where("kind = 'C' and extends_name is not null").select("repo", F.col("node_name").alias("name"), F.array("extends_name", F.concat_ws(".", "extends_name", F.get("methods", F.lit(0)))).alias("calls"))
+    """The stored calls of classes by name, with new aliases: classes first, then functions, then methods, each in order of line and name."""
+    own = nodes(spark, folder).where("repo is not null and node_name is not null")
+    place = lambda rank: F.concat(F.lit(rank), F.lpad(F.coalesce("line_no", F.lit(0)).cast("string"), 10, "0"), "node_name")
+    names = own.select("repo", F.col("node_name").alias("name"), F.when(F.col("kind") == "C", place("0")).otherwise(place("1")).alias("ord"))
+    names = names.unionByName(own.where("kind = 'C'").select("repo", F.explode("methods").alias("name"), place("2").alias("ord")))
+    called = edges(spark, folder).where(F.col("op") == G.CALL).select("repo", F.col("src").alias("alias"), G.target_base("dst").alias("target"), F.expr("nullif(substring(dst, length(substring_index(dst, '.', 1)) + 2), '')").alias("member"))
+    known = own.select("repo", F.col("alias").alias("target"), F.col("node_name").alias("target_name")).distinct()
+    calls = called.join(own.where("kind = 'C'").select("repo", "alias", "node_name").distinct(), ["repo", "alias"]).join(known, ["repo", "target"])
+    calls = calls.select("repo", F.col("node_name").alias("name"), F.array(F.concat_ws(".", "target_name", "member")).alias("calls"))
     return G.call_edges(calls, G.legend(names))
 
 
@@ -110,9 +115,14 @@ def focus_zone(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (graph_orphans, graph_duplicate_methods, graph_usage_counts, graph_deps, graph_usages, graph_reachable, graph_closure, graph_skeleton, graph_stats, graph_legend, graph_call_edges, graph_inheritance, focus_zone)}
-_LEGEND = """base AS (SELECT repo, name, ord, CASE WHEN length(rest) >= 2 THEN substr(rest, 1, 3) WHEN regexp_matches(name, '^[a-z]') AND cap <> '' THEN substr(name, 1, 1) || cap ELSE substr(name, 1, 2) END AS b
+#: the names of each repo one after the other, with a list of what is taken
+_LEGEND = """ordered AS (SELECT repo, name, row_number() OVER (PARTITION BY repo ORDER BY ord, name) AS i, CASE WHEN length(rest) >= 2 THEN substr(rest, 1, 3) WHEN cap <> '' THEN lower(substr(name, 1, 1)) || cap ELSE substr(name, 1, 2) END AS b
   FROM (SELECT *, regexp_replace(name, '[a-z]', '', 'g') AS rest, regexp_extract(name, '[A-Z]') AS cap FROM first)),
-legend AS (SELECT repo, name, b || CASE k WHEN 1 THEN '' ELSE (k - 1)::VARCHAR END AS alias FROM (SELECT *, row_number() OVER (PARTITION BY repo, b ORDER BY ord, name) AS k FROM base))
+w AS (SELECT DISTINCT repo, 0::BIGINT AS i, ''::VARCHAR AS name, ''::VARCHAR AS alias, []::VARCHAR[] AS taken FROM first
+  UNION ALL SELECT repo, i, name, alias, list_append(taken, alias) FROM (SELECT o.repo, o.i, o.name, w.taken,
+    list_filter(list_prepend(o.b, list_transform(range(1, len(list_filter(w.taken, lambda t: starts_with(t, o.b))) + 2), lambda k: o.b || k::VARCHAR)), lambda x: NOT list_contains(w.taken, x))[1] AS alias
+    FROM w JOIN ordered o ON o.repo = w.repo AND o.i = w.i + 1)),
+legend AS (SELECT repo, name, alias FROM w WHERE i > 0)
 """
 ORACLE = {
     "graph_orphans": _CTE + "SELECT * FROM o",
@@ -134,13 +144,13 @@ count(*) FILTER (kind = 'C') AS n_classes, count(*) FILTER (kind = 'F') AS n_fun
     "graph_stats": _CTE + """SELECT coalesce(a.repo, b.repo) AS repo, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_edges, 0) AS n_edges, coalesce(n_orphans, 0) AS n_orphans, coalesce(n_duplicates, 0) AS n_duplicates
 FROM (SELECT repo, count(DISTINCT alias) AS n_nodes FROM n GROUP BY 1) a FULL JOIN (SELECT repo, count(*) AS n_edges FROM e GROUP BY 1) b ON a.repo = b.repo
 LEFT JOIN (SELECT repo, count(DISTINCT alias) AS n_orphans FROM o GROUP BY 1) c ON c.repo = coalesce(a.repo, b.repo) LEFT JOIN (SELECT repo, count(*) AS n_duplicates FROM d GROUP BY 1) x ON x.repo = coalesce(a.repo, b.repo)""",
-    "graph_legend": """WITH first AS (SELECT repo, name, min(ord) AS ord FROM (SELECT arg_max(repo, loaded_at) AS repo, arg_max(node_name, loaded_at) AS name, node_id AS ord FROM graph_nodes GROUP BY node_id) WHERE repo IS NOT NULL AND name IS NOT NULL AND name <> '' GROUP BY ALL),
+    "graph_legend": """WITH RECURSIVE first AS (SELECT repo, name, min(ord) AS ord FROM (SELECT arg_max(repo, loaded_at) AS repo, arg_max(node_name, loaded_at) AS name, node_id AS ord FROM graph_nodes GROUP BY node_id) WHERE repo IS NOT NULL AND name IS NOT NULL AND name <> '' GROUP BY ALL),
 """ + _LEGEND + "SELECT * FROM legend",
-    "graph_call_edges": _CTE + """, first AS (SELECT repo, node_name AS name, min(line_no) AS ord FROM n WHERE repo IS NOT NULL AND node_name IS NOT NULL AND node_name <> '' GROUP BY ALL),
-""" + _LEGEND.replace("ORDER BY ord, name", "ORDER BY ord NULLS FIRST, name") + """, c AS (SELECT DISTINCT repo, node_name AS caller, extends_name AS first_name, CAST(NULL AS VARCHAR) AS member FROM n WHERE kind = 'C' AND extends_name IS NOT NULL
-UNION SELECT DISTINCT repo, node_name, extends_name, methods[1] FROM n WHERE kind = 'C' AND extends_name IS NOT NULL)
+    "graph_call_edges": _CTE.replace("WITH n AS", "WITH RECURSIVE n AS") + """, p AS (SELECT repo, node_name, kind, methods, lpad(coalesce(line_no, 0)::VARCHAR, 10, '0') || node_name AS place FROM n WHERE repo IS NOT NULL AND node_name IS NOT NULL),
+first AS (SELECT repo, name, min(ord) AS ord FROM (SELECT repo, node_name AS name, CASE WHEN kind = 'C' THEN '0' ELSE '1' END || place AS ord FROM p UNION ALL SELECT repo, unnest(methods), '2' || place FROM p WHERE kind = 'C') WHERE name IS NOT NULL AND name <> '' GROUP BY ALL),
+""" + _LEGEND + """, c AS (SELECT DISTINCT e.repo, s.node_name AS caller, g.node_name AS target, nullif(substr(e.dst, length(split_part(e.dst, '.', 1)) + 2), '') AS member FROM e JOIN n s ON s.repo = e.repo AND s.alias = e.src AND s.kind = 'C' JOIN n g ON g.repo = e.repo AND g.alias = split_part(e.dst, '.', 1) WHERE e.op = '→')
 SELECT DISTINCT c.repo, a.alias AS src, '→' AS op, CASE WHEN c.member IS NULL THEN b.alias ELSE b.alias || '.' || coalesce(m.alias, c.member) END AS dst FROM c JOIN legend a ON a.repo = c.repo AND a.name = c.caller
-JOIN legend b ON b.repo = c.repo AND b.name = c.first_name LEFT JOIN legend m ON m.repo = c.repo AND m.name = c.member""",
+JOIN legend b ON b.repo = c.repo AND b.name = c.target LEFT JOIN legend m ON m.repo = c.repo AND m.name = c.member""",
     "graph_inheritance": _CTE + """SELECT repo, extends_name, count(DISTINCT node_name) AS n_children, EXISTS (SELECT 1 FROM n k WHERE k.kind = 'C' AND k.repo = n.repo AND k.node_name = n.extends_name) AS known
 FROM n WHERE kind = 'C' AND extends_name IS NOT NULL GROUP BY ALL""",
     "focus_zone": _CTE + """, f AS (SELECT repo, path_rel, max(scanned_at) AS ts FROM compress_files WHERE repo IS NOT NULL AND path_rel IS NOT NULL GROUP BY ALL),

@@ -9,10 +9,8 @@ def one(spark, value, f, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(f(F.col("x"))).first()[0]
 
 
-@pytest.mark.parametrize("name,alias", [("SymNode", "SN"), ("SymNodeGraph", "SNG"), ("SymMiniMap", "SMM"), ("togglePin", "tP"), ("autoArrange", "aA"), ("add", "ad"), ("_clamp", "_c"), ("Animal", "An")])
+@pytest.mark.parametrize("name,alias", [("SymNode", "SN"), ("SymNodeGraph", "SNG"), ("SymMiniMap", "SMM"), ("togglePin", "tP"), ("autoArrange", "aA"), ("add", "ad"), ("_clamp", "_c"), ("Animal", "aA"), ("Dog", "dD"), ("fetchData", "fD"), ("ab", "ab"), ("SN1", "SN1")])
 def test_alias_base(spark, name, alias):
-    if name == "Animal":
-        alias = "An"
     assert one(spark, name, X.alias_base) == alias
 
 
@@ -22,11 +20,49 @@ def test_sql_and_mapper_tables(spark):
     assert one(spark, "DELETE FROM users WHERE 1 = 1", X.sql_writes) == ["users"]
     assert one(spark, "DELETE FROM users WHERE 1 = 1", X.sql_reads) == []
     assert one(spark, "INSERT INTO logs VALUES (1)", X.sql_writes) == ["logs"]
-    code = "prisma.order.findMany(); prisma.user.create({}); prisma.$connect(); Product.findAll(); Math.max(1)"
-    assert one(spark, code, lambda c: X.orm_tables(c, X.ORM_READS)) == ["order", "product"]
-    assert one(spark, code, lambda c: X.orm_tables(c, X.ORM_WRITES)) == ["user"]
-    assert one(spark, "knex('users').insert({})", lambda c: X.query_builder_tables(c, True)) == ["users"]
-    assert one(spark, "db.select().from('orders')", lambda c: X.query_builder_tables(c, False)) == ["orders"]
+    assert one(spark, "DELETE FROM public.users; SELECT * FROM users", X.sql_reads) == ["users"]
+    assert one(spark, "SELECT * FROM unnest(a), integer, Users, A1x, USERS_ALL", X.sql_reads) == [] and one(spark, "SELECT * FROM A1x JOIN b.c.d ON true", X.sql_reads) == ["A1x"]
+
+
+@pytest.mark.parametrize("code,reads,writes", [
+    ("prisma.orderItem.findMany(); prisma.user.create({}); prisma.$connect(); prisma.x.unknown()", ["orderItem"], ["user"]),
+    ("Order.findOne({}); Product.count(); Order.sum('x'); User.bulkCreate([]); Invoice.destroy()", ["order", "product"], ["invoice", "user"]),
+    ("Object.create(null); Buffer.create(1); Response.update(2); Promise.count(); Foo.where(x); Foo.findMany()", [], []),
+    ("knex('users').where('a').select('*'); " + " " * 200 + "knex('logs').insert({})", ["users"], ["logs"]),
+    ("q.select('*').from('goods').table('more'); q.insert({}).into('orders'); q.from('select')", ["goods", "more"], ["orders"]),
+    ("db.query(\"SELECT * FROM accounts WHERE a = \\\"x\\\"\"); s = `INSERT INTO logs VALUES (1)`; t = 'UPDATE stock SET n = 1'; u = '''DELETE FROM old_rows'''", ["accounts"], ["logs", "old_rows", "stock"]),
+    ("\"" + "\\\"" * 50_000 + "\"", [], []), ("", [], []),
+])
+def test_tables_in_code(spark, code, reads, writes):
+    assert one(spark, code, lambda c: X.code_tables(c, False)) == reads and one(spark, code, lambda c: X.code_tables(c, True)) == writes
+
+
+def aliases(names):
+    """The aliases of names one after the other: the short form, or it and the first free number."""
+    taken, out = set(), {}
+    for n in names:
+        rest = "".join(c for c in n if not "a" <= c <= "z")
+        capital = next((c for c in n if "A" <= c <= "Z"), "")
+        base = rest[:3] if len(rest) >= 2 else n[0].lower() + capital if capital else n[:2]
+        k = 0
+        while (base + str(k) if k else base) in taken:
+            k += 1
+        out[n] = base + str(k) if k else base
+        taken.add(out[n])
+    return out
+
+
+def test_legend_is_unique(spark):
+    import random
+
+    rng = random.Random(3)
+    names = ["SymNode", "SomeNode", "SymNode1", "SmallNode", "SN1", "SN11", "SuchNode", "SoonNew1"] + ["".join(rng.choice("SNab1") for _ in range(rng.randint(2, 6))) for _ in range(400)]
+    names = list(dict.fromkeys(names))
+    df = spark.createDataFrame([("r", n, k) for k, n in enumerate(names)] + [("r", None, 0), ("r", "", 1), ("r", names[0], 900), ("q", "SymNode1", 1)], "repo string, name string, ord long")
+    got = {(r["repo"], r["name"]): r["alias"] for r in G.legend(df).collect()}
+    want = aliases(names)
+    assert got.pop(("q", "SymNode1")) == "SN1" and {n: a for (_, n), a in got.items()} == want and len(set(want.values())) == len(want)
+    assert G.legend(df.limit(0)).count() == 0
 
 
 def test_paths(spark):
