@@ -17,7 +17,7 @@ CLASS = "struct<name:string,extends:string,line:int,methods:array<string>,proper
 TABLE = "struct<name:string,line:int,columns:array<struct<name:string,type:string>>>"
 FACTS = (
     f"file_id long, repo string, path_rel string, functions array<{FUNCTION}>, classes array<{CLASS}>, imports array<struct<source:string,names:array<string>,line:int,asked:array<string>>>, exports array<string>, "
-    f"findings array<struct<rule:string,severity:string,line:int>>, unused_imports array<string>, unused_variables array<string>, tables array<{TABLE}>, parse_error string, uses array<string>, named_exports array<string>"
+    f"findings array<struct<rule:string,severity:string,line:int>>, unused_imports array<string>, unused_variables array<string>, tables array<{TABLE}>, parse_error string, uses array<string>, named_exports array<string>, version timestamp"
 )
 
 
@@ -34,7 +34,7 @@ def facts_of(ext: str, text: str) -> dict:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """FACTS of files(file_id, repo, path_rel, ext, raw).
+    """FACTS of files(file_id, repo, path_rel, ext, raw) or also version, which is null if not given.
 
     A file whose text can't be read has empty facts and a ``parse_error``. Null texts count as empty, null ids are left out, further columns are
     ignored. Functions come in order of their place, so do the others.
@@ -43,7 +43,7 @@ def extract(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for f, repo, path, ext, raw in pdf.itertuples(index=False, name=None):
+            for f, repo, path, ext, raw, version in pdf.itertuples(index=False, name=None):
                 error = None
                 try:
                     x = facts_of(ext, raw)
@@ -51,10 +51,11 @@ def extract(files: DataFrame) -> DataFrame:
                         i.setdefault("asked", i["names"])
                 except (Bad, RecursionError) as e:
                     x, error = EMPTY, f"not closed: {e}"[:200]
-                rows.append((f, repo, path, x["functions"], x["classes"], x["imports"], x["exports"], x["findings"], x["unused_imports"], x["unused_variables"], x.get("tables", []), error, x.get("uses", []), x.get("named_exports", [])))
-            yield pd.DataFrame(rows, columns=["file_id", "repo", "path_rel", "functions", "classes", "imports", "exports", "findings", "unused_imports", "unused_variables", "tables", "parse_error", "uses", "named_exports"])
+                rows.append((f, repo, path, x["functions"], x["classes"], x["imports"], x["exports"], x["findings"], x["unused_imports"], x["unused_variables"], x.get("tables", []), error, x.get("uses", []), x.get("named_exports", []), version))
+            yield pd.DataFrame(rows, columns=["file_id", "repo", "path_rel", "functions", "classes", "imports", "exports", "findings", "unused_imports", "unused_variables", "tables", "parse_error", "uses", "named_exports", "version"])
 
-    rows = files.where("file_id is not null").select("file_id", "repo", "path_rel", F.coalesce(F.lower("ext"), F.lit("")).alias("ext"), F.coalesce("raw", F.lit("")).alias("raw"))
+    version = (F.col("version") if "version" in files.columns else F.lit(None)).cast("timestamp").alias("version")
+    rows = files.where("file_id is not null").select("file_id", "repo", "path_rel", F.coalesce(F.lower("ext"), F.lit("")).alias("ext"), F.coalesce("raw", F.lit("")).alias("raw"), version)
     return rows.mapInPandas(run, FACTS)
 
 

@@ -73,6 +73,24 @@ def ignored(path: Column, pattern: str) -> Column:
     return path.contains(p)
 
 
+# ---- fixed values: what a context of a whole project leaves out unless it says otherwise ----
+CONTEXT_IGNORE = "vendor/ *.min.js *.bundle.js chart.js d3.js three.js lodash.js jquery*.js dist/ build/ coverage/ *.d.ts *.test.js *.spec.js".split()
+
+
+def context_ignored(path: Column, patterns: list[str] = CONTEXT_IGNORE) -> Column:
+    """Whether a path is left out of a context: a pattern that ends with a slash fits a path that begins with it or has it behind a slash (its slash
+    dropped), any other fits the base name or the whole path as a glob. Blank patterns and comments fit nothing."""
+    out = F.lit(False)
+    for p in (p.strip() for p in patterns):
+        if not p or p.startswith("#"):
+            continue
+        if p.endswith("/"):
+            out = out | path.startswith(p[:-1]) | path.contains("/" + p[:-1])
+        else:
+            out = out | base_name(path).rlike(glob_regex(p)) | path.rlike(glob_regex(p))
+    return F.coalesce(out, F.lit(False))
+
+
 def alias_base(name: Column) -> Column:
     """The short form of a name before collisions are told apart: of two or more signs that are no small letters the first three; else the first letter, small,
     and the capital; without a capital the first two signs."""

@@ -255,25 +255,80 @@ def inside_context(lines: DataFrame, key: list[str], tag: str) -> DataFrame:
     return lines.withColumn("inside", F.sum(count(rf"<{tag}\b") - count(rf"</{tag}>")).over(w) > 0)
 
 
-def style_findings(files: DataFrame, functions: DataFrame, most_long_names: int = 3) -> DataFrame:
-    """(file_id, rule, n): style of compact sources. files(file_id, raw), functions(file_id, params).
-
-    missing-ctx-header: the first line names no context; multi-line-imports: an import that goes over lines; indented-lines: more than a tenth of the lines begin with blanks;
-    long-names: more parameter names of over 12 characters than allowed; single-line-blob: one line of more than 500 characters.
+def style_rules(raw: Column, context: Column) -> Column:
+    """array<struct<rule, n>>: the ten style rules for compact sources, of a text and its context file (null or blank: there is none).
+
+    missing-ctx-header: the first line, behind a #! line, is no ``// @ctx`` comment; missing-ctx-file; incomplete-ctx: placeholders, or exports the context
+    lacks; single-line-blob: more than three statements on at most two lines; ctx-minified-params, ctx-untyped-params: parameters of exported
+    functions in the context of one letter, or without a type; ctx-coverage: declared functions it lacks; multi-line-imports: more than one
+    import line; indented-lines: lines that begin with a blank; long-names: more than three declared names of three or more letters that are not exported.
+    n counts what was found. Null texts have no findings. Declarations are found by patterns outside of strings and imports, not parsed.
     """
-    rows = files.where("raw is not null").select("file_id", F.regexp_replace("raw", "\r", "").alias("t"))
-    lines = F.filter(F.split("t", "\n"), lambda x: F.trim(x) != "")
-    indented = F.size(F.filter(lines, lambda x: x.rlike(r"^[ \t]")))
-    issue = lambda when, rule, n: F.when(when, F.struct(F.lit(rule).alias("rule"), n.cast("long").alias("n")))
-    multi = F.size(F.regexp_extract_all("t", F.lit(r"(?m)^(import\s*\{[^}]*\n[^}]*\})"), F.lit(1)))
-    found = F.array(
-        issue(~F.element_at(F.split("t", "\n"), 1).rlike(r"@ctx|\.ctx"), "missing-ctx-header", F.lit(1)), issue(multi > 0, "multi-line-imports", multi),
-        issue(indented > 0.1 * F.size(lines), "indented-lines", indented), issue((F.size(lines) == 1) & (F.length("t") > 500), "single-line-blob", F.lit(1)),
+    context = F.when(F.trim(context) != "", context)
+    lines = F.split(raw, "\n")
+    first = F.trim(F.element_at(lines, 1))
+    head = F.when(first.startswith("#!"), F.trim(F.coalesce(F.get(lines, F.lit(1)), F.lit("")))).otherwise(first)
+    all_of = lambda c, p: F.array_distinct(F.regexp_extract_all(c, F.lit(p), F.lit(1)))
+    named = F.transform(F.flatten(F.transform(F.regexp_extract_all(raw, F.lit(r"(?m)^export\s*\{([^}]*)\}"), F.lit(1)), lambda x: F.split(x, ","))), lambda x: F.regexp_extract(x, r"([\w$]+)\s*$", 1))
+    exported = F.filter(F.array_distinct(F.concat(all_of(raw, r"(?m)^export\s+(?:default\s+)?(?:async\s+)?(?:function\s*\*?|class|const|let|var)\s+([A-Za-z_$][\w$]*)"), named)), lambda x: x != "")
+    lacks = lambda names: F.filter(names, lambda n: ~_is_word(context, n))
+    bare = raw
+    for pattern, to in ((r"// @ctx [^\n]*", ""), (r"import[^;]+;", ""), (r'"(?:[^"\\\n]|\\.)*"', '""'), (r"'(?:[^'\\\n]|\\.)*'", "''"), (r"`[^`]*`", "``")):
+        bare = F.regexp_replace(bare, pattern, to)
+    long = F.array_except(all_of(bare, r"(?:const|let|var|function)\s+([a-zA-Z_$][a-zA-Z0-9_$]{2,})"), exported)
+    functions = all_of(bare, r"(?m)(?:^|[;{}\s])function\s*\*?\s*([A-Za-z_$][\w$]*)\s*\(")
+    signed = F.flatten(F.transform(F.regexp_extract_all(context, F.lit(r"(?m)^export\s+\w+\(([^)]+)\)"), F.lit(1)), lambda x: F.transform(F.split(x, ","), F.trim)))
+    code_lines = F.filter(lines, lambda x: ~x.startswith("// @ctx ") & ~x.startswith("#!"))
+    statements = F.size(F.split(bare, ";")) - 1
+    count = lambda c: F.coalesce(F.size(c), F.lit(0))
+    imports = count(F.filter(lines, lambda x: F.trim(x).startswith("import ")))
+    marks = F.coalesce(F.size(F.split(context, r"\{DESCRIBE\}")) + F.size(F.split(context, r"\(auto-documented\)")) - 2, F.lit(0))
+    rules = [
+        ("missing-ctx-header", F.when(~head.startswith("// @ctx "), 1).otherwise(0)), ("missing-ctx-file", F.when(context.isNull(), 1).otherwise(0)), ("incomplete-ctx", marks + count(lacks(exported))),
+        ("single-line-blob", F.when(context.isNotNull() & (F.size(code_lines) <= 2) & (statements > 3), 1).otherwise(0)), ("ctx-minified-params", count(F.filter(signed, lambda x: F.length(F.regexp_replace(x, "[?=:].*", "")) == 1))),
+        ("ctx-untyped-params", count(F.filter(signed, lambda x: (x != "") & ~x.contains(":")))), ("ctx-coverage", count(lacks(functions))), ("multi-line-imports", F.when(imports > 1, imports).otherwise(0)),
+        ("indented-lines", count(F.filter(lines, lambda x: x.rlike(r"^[ \t]")))), ("long-names", F.when(F.size(long) > 3, F.size(long)).otherwise(0)),
+    ]
+    found = F.array(*[F.struct(F.lit(r).alias("rule"), n.cast("long").alias("n")) for r, n in rules])
+    return F.when(raw.isNotNull(), F.filter(found, lambda x: x["n"] > 0))
+
+
+def _is_word(text: Column, name: Column) -> Column:
+    """Whether a name stands in the text, apart from longer names."""
+    return F.regexp_like(text, F.concat(F.lit(r"(?:^|[^a-zA-Z_$])"), F.replace(name, F.lit("$"), F.lit(r"\$")), F.lit(r"(?:[^a-zA-Z0-9_$]|$)")))
+
+
+def summary_only(functions: DataFrame) -> DataFrame:
+    """(repo, functions, undocumented, doc_issues, score, rating): the score of what single files tell; parts across files count as none."""
+    f = functions.groupBy("repo").agg(
+        F.count("*").alias("functions"), F.count_if(F.col("complexity") > 20).alias("critical"), F.count_if((F.col("complexity") > 10) & (F.col("complexity") <= 20)).alias("high"),
+        F.count_if(~F.col("has_doc") & ~F.col("name").startswith("_")).alias("undocumented"),
+        F.count_if(F.col("has_doc") & (F.size("doc_params") > 0) & (F.size("doc_params") != F.size("params"))).alias("doc_errors"), F.count_if(F.col("has_doc") & F.col("has_return") & ~F.col("doc_returns")).alias("doc_warnings"),
     )
-    own = rows.select("file_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select("file_id", "i.rule", "i.n")
-    names = functions.select("file_id", F.explode("params").alias("p")).where(F.length(F.regexp_extract("p", r"^(?:\.\.\.)?([\w$]+)", 1)) > 12)
-    long = names.groupBy("file_id").agg(F.count("*").alias("n")).where(F.col("n") > most_long_names).select("file_id", F.lit("long-names").alias("rule"), "n")
-    return own.unionByName(long)
+    z, c = F.lit(0), F.col
+    score = health(z, c("undocumented"), z, c("critical"), c("high"), z, z, z, z, c("doc_errors"), c("doc_warnings"))
+    return f.withColumn("score", score).select("repo", "functions", "undocumented", (c("doc_errors") + c("doc_warnings")).alias("doc_issues"), "score", health_rating(c("score")).alias("rating"))
+
+
+# ---- fixed values: packages that the platform has made redundant, what replaces them and since when ----
+REDUNDANT = {
+    "node-fetch": ("fetch()", "Node 18"), "cross-fetch": ("fetch()", "Node 18"), "isomorphic-fetch": ("fetch()", "Node 18"), "uuid": ("crypto.randomUUID()", "Node 19"), "deep-clone": ("structuredClone()", "Node 17"),
+    "lodash.clonedeep": ("structuredClone()", "Node 17"), "abort-controller": ("AbortController (global)", "Node 15"), "form-data": ("FormData (global)", "Node 18"), "web-streams-polyfill": ("ReadableStream (global)", "Node 18"),
+    "url-parse": ("URL (global)", "Node 10"), "querystring": ("URLSearchParams", "Node 10"), "rimraf": ("fs.rm({ recursive: true })", "Node 14"), "mkdirp": ("fs.mkdir({ recursive: true })", "Node 10"),
+    "recursive-readdir": ("fs.readdir({ recursive: true })", "Node 20"), "glob": ("fs.glob()", "Node 22"),
+}
+
+
+def redundant_dependencies(dependencies: DataFrame) -> DataFrame:
+    """(repo, name, replacement, since) of dependencies(repo, name) that the platform itself has by now."""
+    known = F.create_map(*[F.lit(x) for k, v in REDUNDANT.items() for x in (k, "|".join(v))])
+    rows = dependencies.select("repo", "name", known[F.col("name")].alias("k")).where("k is not null").distinct()
+    return rows.select("repo", "name", F.substring_index("k", "|", 1).alias("replacement"), F.substring_index("k", "|", -1).alias("since"))
+
+
+def outdated_summary(findings: DataFrame, most: int = 50) -> DataFrame:
+    """The most urgent findings(path_rel, rule, severity, line): errors before warnings before infos, then by path and line; a report of fixed length."""
+    return findings.orderBy(severity_rank(F.col("severity")), "path_rel", "line", "rule").limit(most)
 
 
 def full_analysis(functions: DataFrame, dead: DataFrame, findings: DataFrame, files: DataFrame) -> DataFrame:

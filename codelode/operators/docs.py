@@ -162,3 +162,27 @@ def generate_context(functions: DataFrame, classes: DataFrame, old: DataFrame |
     line = F.concat("s", F.lit("|"), F.coalesce("description", F.lit("{DESCRIBE}")))
     out = rows.groupBy("path_rel").agg(F.array_sort(F.collect_list(F.struct("line", line.alias("x")))).alias("l"))
     return out.select("path_rel", F.concat(F.lit("--- "), "path_rel", F.lit(" ---\n"), F.array_join(F.transform("l", lambda v: v["x"]), "\n")).alias("text"))
+
+
+def doc_lookup(files: DataFrame, docs: DataFrame, sections: DataFrame, notes: DataFrame) -> DataFrame:
+    """(repo, path_rel, text) for files(repo, path_rel): the file's own context, else its section of the generated text, else a line that says that there is
+    none; notes are put behind. docs, sections and notes are (repo, path_rel, text); blank texts count as none, notes without content, too."""
+    of = lambda df, name: df.where(F.trim("text") != "").groupBy("repo", "path_rel").agg(F.min(F.trim("text")).alias(name))
+    rows = files.select("repo", "path_rel").distinct().join(of(docs, "own"), ["repo", "path_rel"], "left").join(of(sections, "section"), ["repo", "path_rel"], "left")
+    filled = notes.where(~F.col("text").rlike(r"^#[^\n]*\n+## Notes\n+## Follow-ups\n+## Decisions\s*$"))
+    rows = rows.join(of(filled, "note"), ["repo", "path_rel"], "left")
+    text = F.coalesce("own", "section", F.concat(F.lit("No documentation found for: "), "path_rel"))
+    return rows.select("repo", "path_rel", F.concat_ws("\n\n", text, "note").alias("text"))
+
+
+#: names asked for go to every task
+MOST_NAMES = 5000
+
+
+def by_suffix(files: DataFrame, names: list[str]) -> DataFrame:
+    """(repo, asked, path_rel): of each repo and each name asked for the first path, in order, that ends with it. At most ``MOST_NAMES`` names."""
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"{len(names)} names; at most {MOST_NAMES} can go to every task")
+    asked = files.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "asked string")
+    hits = files.select("repo", "path_rel").join(F.broadcast(asked), F.col("path_rel").endswith(F.col("asked")))
+    return hits.groupBy("repo", "asked").agg(F.min("path_rel").alias("path_rel"))

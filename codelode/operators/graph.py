@@ -5,6 +5,7 @@ nodes(repo, alias, kind, node_name, extends_name, methods, exported, path_rel, l
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -218,3 +219,59 @@ def focus_zone(nodes: DataFrame, recent_files: DataFrame) -> DataFrame:
     own = nodes.where("kind = 'C'").select("repo", "alias", "node_name", "path_rel").distinct()
     recent = recent_files.select("repo", "path_rel", F.lit(True).alias("r")).distinct()
     return own.join(recent, ["repo", "path_rel"], "left").groupBy("repo", "alias", "node_name").agg(F.coalesce(F.bool_or("r"), F.lit(False)).alias("expanded"))
+
+
+def symbol_details(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every symbol in full: (repo, symbol, full_name, type, path_rel, line_no, extends_name, exported, methods, properties, calls). Lists are sorted, empty where there is nothing."""
+    listed = lambda c: F.array_join(F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>")))), ",")
+    calls = edges.where(F.col("op") == CALL).groupBy("repo", F.col("src").alias("alias")).agg(F.array_join(F.array_sort(F.collect_set("dst")), ",").alias("calls"))
+    kind = F.when(F.col("kind") == "C", "class").when(F.col("kind") == "F", "function").otherwise(F.col("kind"))
+    own = nodes.select("repo", "alias", "node_name", kind.alias("type"), "path_rel", "line_no", "extends_name", F.coalesce("exported", F.lit(False)).alias("exported"), listed(F.col("methods")).alias("methods"), listed(F.col("props")).alias("properties")).distinct()
+    return own.join(calls, ["repo", "alias"], "left").select("repo", F.col("alias").alias("symbol"), F.col("node_name").alias("full_name"), "type", "path_rel", "line_no", "extends_name", "exported", "methods", "properties", F.coalesce("calls", F.lit("")).alias("calls"))
+
+
+def expand_symbol(nodes: DataFrame, edges: DataFrame, files: DataFrame, repo: str, symbol: str, names: DataFrame | None = None) -> DataFrame:
+    """One symbol in full, or of Alias.member the source of the method: ``symbol_details`` with ``code``.
+
+    files(repo, path_rel, raw); names(name, alias), if given, says what a member's alias stands for. An unknown symbol gives no row. The code is the method with
+    the documentation block before it, up to the brace that closes its body; it is empty if the file does not have it.
+    """
+    alias, _, member = symbol.partition(".")
+    own = symbol_details(nodes.where((F.col("repo") == repo) & (F.col("alias") == alias)), edges.where(F.col("repo") == repo))
+    if not member:
+        return own.withColumn("code", F.lit(None).cast("string"))
+    known = names.where(F.col("alias") == member).select("name").first() if names is not None else None
+    method = known["name"] if known else member
+    classes = own.where("type = 'class'")
+    texts = files.where(F.col("repo") == repo).select("path_rel", "raw").join(F.broadcast(classes.select("path_rel").distinct()), "path_rel")
+    cut_out = F.pandas_udf(lambda t: t.map(lambda x: method_source(x or "", method)), "string")
+    return classes.join(texts.select("path_rel", cut_out("raw").alias("code")), "path_rel", "left").withColumn("full_name", F.concat("full_name", F.lit("." + method)))
+
+
+def method_source(text: str, name: str) -> str:
+    """The source of the first method of that name, with the documentation block before it; empty if there is none."""
+    head = re.search(rf"((?:/\*\*(?:(?!\*/)[\s\S])*\*/\s*)?)(?:async\s+)?\b{re.escape(name)}\s*\([^)]*\)\s*\{{", text)
+    if not head:
+        return ""
+    depth, at = 0, head.end() - 1
+    for m in re.compile(r"[{}]").finditer(text, at):
+        depth += 1 if m.group() == "{" else -1
+        if not depth:
+            return text[head.start() : m.end()]
+    return text[head.start() :]
+
+
+def present_keys(nodes: DataFrame) -> DataFrame:
+    """(repo, alias, node_name, keys): which parts of a node go into its short form; empty ones are dropped."""
+    has = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0
+    parts = [("t", F.col("kind").isNotNull()), ("x", F.col("extends_name").isNotNull()), ("m", has(F.col("methods"))), ("$", has(F.col("props"))), ("e", F.col("exported").isNotNull()), ("f", F.col("path_rel").isNotNull()), ("l", F.col("line_no").isNotNull())]
+    return nodes.select("repo", "alias", "node_name", F.concat_ws(",", *[F.when(c, F.lit(k)) for k, c in parts]).alias("keys")).distinct()
+
+
+def cache_valid(files: DataFrame, cached: DataFrame) -> DataFrame:
+    """(repo, valid): whether a graph that was built from cached(repo, path_rel, mtime) still fits files(repo, path_rel, mtime): the same paths, and the
+    same time for each. Two null times are the same; a repo of only one side is not valid."""
+    a = files.select("repo", "path_rel", "mtime", F.lit(True).alias("a")).distinct()
+    b = cached.select("repo", "path_rel", F.col("mtime").alias("old"), F.lit(True).alias("b")).distinct()
+    same = F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("mtime").eqNullSafe(F.col("old"))
+    return a.join(b, ["repo", "path_rel"], "full").groupBy("repo").agg(F.bool_and(same).alias("valid"))

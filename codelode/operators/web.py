@@ -12,7 +12,12 @@ MOST = 16  # entries of a list that are kept, after they are trimmed and made di
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    return F.slice(F.array_sort(F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: x != ""))), 1, MOST)
+    return compact_list(found)
+
+
+def compact_list(entries: Column) -> Column:
+    """Entries as found, trimmed, empty and repeated ones left out, the first ``MOST`` of them."""
+    return F.slice(F.array_distinct(F.filter(F.transform(entries, F.trim), lambda x: x != "")), 1, MOST)
 
 
 def registrations(files: DataFrame) -> DataFrame:
@@ -45,18 +50,23 @@ def components(files: DataFrame, classes: DataFrame, imports: DataFrame) -> Data
     folder = F.regexp_replace("path_rel", r"[^/]*$", "")
     place = files.select("file_id", "repo", folder.alias("folder"))
     path = F.concat("folder", F.regexp_replace("source", r"^\./", ""))
-    texts = files.select("repo", F.col("path_rel").alias("path"), "raw")
-    found = lambda end, name: module(end).join(place, "file_id").select("file_id", "repo", path.alias("path")).join(texts, ["repo", "path"], "left").select("file_id", F.col("path").alias(name), F.col("raw").alias(f"{name}_text"))
+    t = F.coalesce("raw", F.lit(""))
+    # what is asked of a template or style is made where its text is read; texts are not moved
+    asked = {
+        "template": {"tags": template_tags(t), "refs": _all(t, r"\bref=['\"]([\w-]+)"), "bindings": bindings(t), "template_events": F.transform(_all(t, r"\bon([A-Za-z]+)\s*[=:]"), lambda e: F.lower(e)), "item_tags": _all(t, r"item-tag=['\"]([\w-]+)")},
+        "style": {"css_tokens": css_tokens(t)},
+    }
+    made = lambda name: files.select("repo", F.col("path_rel").alias("path"), *[c.alias(k) for k, c in asked[name].items()])
+    found = lambda end, name: module(end).join(place, "file_id").select("file_id", "repo", path.alias("path")).join(made(name), ["repo", "path"], "left").select("file_id", F.col("path").alias(name), *asked[name])
     rows = (
         classes.select("file_id", "repo", "path_rel", "name", "extends").join(tags.withColumnRenamed("class_name", "name"), ["file_id", "name"], "left")
         .join(found(".tpl.js", "template"), "file_id", "left").join(found(".css.js", "style"), "file_id", "left").join(web_calls(files), "file_id", "left")
     )
-    t = F.coalesce("template_text", F.lit(""))
     own = F.coalesce("tag", F.lit(""))
+    none = F.array().cast("array<string>")
+    lists = [F.coalesce(c, none).alias(c) for c in ("refs", "bindings", "template_events", "item_tags", "css_tokens")]
     return rows.where("tag is not null or template is not null or style is not null").select(
-        "file_id", "repo", "path_rel", "name", "tag", "template", "style", F.filter(template_tags(t), lambda x: x != own).alias("children"), _all(t, r"\bref=['\"]([\w-]+)").alias("refs"), bindings(t).alias("bindings"),
-        F.transform(_all(t, r"\bon([A-Za-z]+)\s*[=:]"), lambda e: F.lower(e)).alias("template_events"), _all(t, r"item-tag=['\"]([\w-]+)").alias("item_tags"),
-        css_tokens(F.coalesce("style_text", F.lit(""))).alias("css_tokens"), "listeners", "dispatches", "subscriptions",
+        "file_id", "repo", "path_rel", "name", "tag", "template", "style", F.filter(F.coalesce("tags", none), lambda x: x != own).alias("children"), *lists, "listeners", "dispatches", "subscriptions",
     )
 
 

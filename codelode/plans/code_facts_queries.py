@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from codelode.extract import facts as X
 from codelode.operators import analysis as A
-from codelode.plans.analysis_queries import files
+from codelode.plans.analysis_queries import files, n_lines, texts
+from codelode.session import cut
+from codelode.sources.tables import current, latest, spread, table
 
 LIFECYCLE = ["constructor", "connectedCallback", "disconnectedCallback", "attributeChangedCallback", "renderCallback"]
 
 
 def facts(spark: SparkSession, folder: str) -> DataFrame:
-    return X.extract(files(spark, folder, ["repo", "path_rel", "ext", "raw"]))
+    """The facts of files as last scanned: every text is parsed once, where it is read, and what is found is written before it is asked."""
+    rows = spread(table(spark, folder, "compress_files").select("file_id", "repo", "path_rel", "ext", "raw", F.col("scanned_at").alias("version")), "file_id")
+    x = X.extract(rows)
+    return cut(latest(x, "file_id", "version", [c for c in x.columns if c not in ("file_id", "version")]))
 
 
 def code_functions(spark, folder):
@@ -133,18 +138,16 @@ ORACLE = {}
 def code_full_analysis(spark, folder):
     """Score and worst topics of each repo from the facts."""
     x = facts(spark, folder)
-    sized = A.inventory(files(spark, folder, ["repo", "raw"]).where("raw is not null and repo is not null"))
+    sized = files(spark, folder, ["repo"], n_lines=n_lines()).where("n_lines is not null and repo is not null")
     parts = x.select("file_id", F.size("functions").alias("n_functions"), F.size("classes").alias("n_classes"), F.size("exports").alias("n_exports"))
     rated = A.large_files(sized.join(parts, "file_id", "left")).select("repo", "rating")
     findings = x.select("repo", F.explode("findings").alias("f")).select("repo", "f.severity")
-    return A.full_analysis(X.functions(x), code_dead(spark, folder), findings, rated).select("repo", "dead", "undocumented", "critical", "high", "doc_errors", "similar", "score", "rating", "topics")
+    return A.full_analysis(X.functions(x), dead_code(x), findings, rated).select("repo", "dead", "undocumented", "critical", "high", "doc_errors", "similar", "score", "rating", "topics")
 
 
-def code_style(spark, folder):
-    """Style findings by rule and repo."""
-    rows = files(spark, folder, ["repo", "ext", "raw"]).where("ext in ('.js', '.mjs')")
-    found = A.style_findings(rows, X.functions(facts(spark, folder)).join(rows.select("file_id"), "file_id", "left_semi"))
-    return found.join(rows.select("file_id", "repo"), "file_id").groupBy("repo", "rule").agg(F.count("*").alias("n_files"), F.sum("n").alias("n_findings"))
+def code_summary(spark, folder):
+    """The partial score of each repo from what its files tell one by one: complexity and documentation; what takes several files counts as nothing."""
+    return A.summary_only(X.functions(facts(spark, folder)))
 
 
 def code_components(spark, folder):
@@ -152,8 +155,8 @@ def code_components(spark, folder):
     from codelode.operators.web import components
 
     x = facts(spark, folder)
-    rows = components(files(spark, folder, ["repo", "path_rel", "raw"]), X.classes(x), X.imports(x))
+    rows = components(texts(spark, folder).where("file_id is not null"), X.classes(x), X.imports(x)).dropDuplicates(["file_id", "name"])
     return rows.select("file_id", "name", "tag", F.array_join("children", ",").alias("children"))
 
 
-QUERIES |= {f.__name__: f for f in (code_full_analysis, code_style, code_components)}
+QUERIES |= {f.__name__: f for f in (code_full_analysis, code_summary, code_components)}
