@@ -102,23 +102,30 @@ class PassageIndex:
         entry = np.repeat(self.start[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
         at = np.repeat(at, n)
         text = np.searchsorted(begins, at, side="right") - 1
-        item, pos = self.owner[entry], at - begins[text]
-        diagonal = pos - self.place[entry] + (1 << 40)
+        item, pos, place = self.owner[entry], at - begins[text], self.place[entry]
+        diagonal = pos - place + (1 << 40)
         band = diagonal // self.band
         again = (diagonal % self.band) < self.max_edits  # also the end of the band before
-        text, item, pos, band = (np.concatenate([x, x[again]]) for x in (text, item, pos, band))
+        text, item, pos, place, band = (np.concatenate([x, x[again]]) for x in (text, item, pos, place, band))
         band[len(band) - int(again.sum()) :] -= 1
         order = np.lexsort((pos, band, item, text))
-        text, item, pos, band = (x[order] for x in (text, item, pos, band))
+        text, item, pos, place, band = (x[order] for x in (text, item, pos, place, band))
         first = np.flatnonzero(np.r_[True, (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(band) != 0)])
         last = np.append(first[1:], len(text))
         enough = (last - first) >= self.least[item[first]]
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for f, e in zip(first[enough], last[enough], strict=True):
             t, i = int(text[f]), int(item[f])
-            low = int(band[f]) * self.band - (1 << 40)
             own = codes[begins[t] : begins[t] + len(joined[t])]
-            found = banded_alignment(self.coded[i], self.words[i], own, low, low + self.band + self.max_edits, self.max_edits)
+            shared = place[f:e]
+            if self.max_edits:
+                low = int(band[f]) * self.band - (1 << 40)
+                lines, starts = np.arange(low, low + self.band + self.max_edits), self.promising(i, shared)
+                if not len(starts):
+                    continue
+            else:  # every q-gram of a run is shared, on its own diagonal
+                lines, starts = np.unique(pos[f:e] - shared), None
+            found = banded_alignment(self.coded[i], self.words[i], own, lines, self.max_edits, starts)
             if found and found[0] >= self.min_words:
                 run = (found[0], -joined[t].count(" ", 0, found[1]))
                 if run > best.get((t, i), (0, 0)):
@@ -127,55 +134,67 @@ class PassageIndex:
             yield t, self.items[i][0], run, -neg
 
 
+    def promising(self, i: int, shared: np.ndarray) -> np.ndarray:
+        """The words of the passage at which a window begins that shares enough q-grams by its own bound: no run within the budget begins elsewhere."""
+        places, w = np.unique(shared), self.words[i]
+        begin, end = w[: len(w) - self.min_words + 1, 0], w[self.min_words - 1 :, 1]
+        count = np.searchsorted(places, end - self.q, side="right") - np.searchsorted(places, begin)
+        return np.flatnonzero(count >= np.maximum(1, end - begin + 1 - self.q * (self.max_edits + 1)))
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def banded_alignment(passage: np.ndarray, words: np.ndarray, text: np.ndarray, low: int, high: int, edits: int) -> tuple[int, int] | None:
+def banded_alignment(passage: np.ndarray, words: np.ndarray, text: np.ndarray, diagonals: np.ndarray, edits: int, starts: np.ndarray | None = None) -> tuple[int, int] | None:
     """(words, begin in the text) of the longest run of whole words of the passage that the text holds within the budget of edits, on the diagonals
-    (place in the text less place in the passage) from low to high, without high.
+    (place in the text less place in the passage; ascending, without gaps if there is a budget). ``starts``: words at which runs within a budget may begin,
+    by default all.
 
     passage, text: codes of characters, words apart by one blank; words: begin and end of each word of the passage. A run begins and ends at the
     ends of words of the text, too. Of equal runs the first in the passage counts.
     """
     if not edits:
-        return _without_edits(passage, words, text, low, high)
-    best = None
-    for k in range(len(words)):
+        return _without_edits(passage, words, text, diagonals)
+    best, low, high, covered = None, int(diagonals[0]), int(diagonals[-1]) + 1, set()
+    for k in range(len(words)) if starts is None else starts.tolist():
+        if k in covered:
+            continue
         if best and len(words) - k <= best[0]:
             break
-        found = _within_edits(passage, words, text, low, high, edits, k)
+        found = _within_edits(passage, words, text, low, high, edits, k, covered)
         if found and (best is None or found[0] > best[0]):
             best = found
     return best
 
 
-def _without_edits(passage, words, text, low, high):
+def _without_edits(passage, words, text, diagonals):
     """Without a budget the alignment can't leave a diagonal: the runs of equal characters on each."""
-    place = np.arange(-1, len(passage) + 1)
-    at = place[None, :] + np.arange(low, high)[:, None]
-    inside = (at >= 0) & (at < len(text))
-    same = np.zeros(at.shape, dtype=bool)
-    bare = inside[:, 1:-1]
-    same[:, 1:-1] = bare & (text[np.where(bare, at[:, 1:-1], 0)] == passage[None, :])
-    edge = np.diff(same.astype(np.int8), axis=1)
-    row, begin = np.nonzero(edge == 1)  # the run is [begin, end) in the passage
-    _, end = np.nonzero(edge == -1)
     best = None
-    for r, x, y in zip(row, begin, end, strict=True):
-        a, b = np.searchsorted(words[:, 0], x), np.searchsorted(words[:, 1], y, side="right")
-        d = low + int(r)
-        if a < b and d + words[a, 0] > 0 and text[d + words[a, 0] - 1] != BLANK:
-            a += 1  # the text's word begins earlier
-        if a < b and d + words[b - 1, 1] < len(text) and text[d + words[b - 1, 1]] != BLANK:
-            b -= 1
-        if a < b and (best is None or b - a > best[0]):
-            best = int(b - a), int(d + words[a, 0])
+    for d in diagonals.tolist():
+        x0, x1 = max(0, -d), min(len(passage), len(text) - d)
+        if x1 <= x0:
+            continue
+        same = np.zeros(x1 - x0 + 2, dtype=bool)
+        same[1:-1] = text[x0 + d : x1 + d] == passage[x0:x1]
+        edge = np.flatnonzero(same[1:] != same[:-1]) + x0
+        for x, y in edge.reshape(-1, 2).tolist():  # the run is [x, y) in the passage
+            a, b = np.searchsorted(words[:, 0], x), np.searchsorted(words[:, 1], y, side="right")
+            if a < b and d + words[a, 0] > 0 and text[d + words[a, 0] - 1] != BLANK:
+                a += 1  # the text's word begins earlier
+            if a < b and d + words[b - 1, 1] < len(text) and text[d + words[b - 1, 1]] != BLANK:
+                b -= 1
+            if a < b and (best is None or b - a > best[0]):
+                best = int(b - a), int(d + words[a, 0])
     return best
 
 
-def _within_edits(passage, words, text, low, high, edits, first):
-    """The longest run from one word on: one row of costs for each character of the passage, a column for each diagonal of the band."""
+def _within_edits(passage, words, text, low, high, edits, first, covered):
+    """The longest run from one word on: one row of costs for each character of the passage, a column for each diagonal of the band.
+
+    Words that the run reaches without an edit, and goes beyond, are added to ``covered``: a run that begins there ends no later and is shorter.
+    """
+    free_ends = []
     wide = np.arange(low - edits, high + edits)
     begin = int(words[first, 0])
     at = wide + begin
@@ -203,6 +222,10 @@ def _within_edits(passage, words, text, low, high, edits, first):
             whole = (cost <= edits) & (stop <= len(text)) & ((stop >= len(text)) | (text[np.clip(stop, 0, len(text) - 1)] == BLANK))
             if whole.any():
                 best = k, int(origin[np.flatnonzero(whole)[np.argmin(cost[whole])]])
+                if (cost[whole] == 0).any():
+                    free_ends.append(first + k)
+    if best:
+        covered.update(k for k in free_ends if k < first + best[0])
     return best
 
 

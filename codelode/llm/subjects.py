@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelode.session import cut
+
 UNI, BI = 1 << 17, 1 << 19
 SENTENCE_END = re.compile(r"(?<=[.!?])[\s\"'*_)]+|\n\s*(?:[-*+#>]|\d+[.)]|\[)|\n\s*\n|</?\w+[^>\n]{0,80}>|```")
 TOKEN = re.compile(r"`[^`\n]*`|[^\W_]+(?:-[^\W\d_]+)*|[:\]\[{}();=#→]")
@@ -93,6 +95,12 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return np.stack([uni, pair, hist]), np.array(starts, dtype=np.int64), np.array(owner, dtype=np.int64), np.diff(np.append(starts, len(words)))
 
 
+def token_kinds(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct columns of t, which of them each token is): probabilities are worked out once for each."""
+    keys, kind = np.unique((t[0] << 36) | (t[1] << 17) | t[2], return_inverse=True)
+    return np.stack([keys >> 36, (keys >> 17) & (BI - 1), keys & (UNI - 1)]), kind
+
+
 class Background:
     """Interpolated word-pair model of the whole corpus, in buckets.
 
@@ -137,26 +145,28 @@ class SubjectModels:
         self.subjects, self.background, self.own, self.rare = subjects, background, own, rare
         self.margins, self.least_sentences = np.full(len(subjects), 0.05), least_sentences
 
-    def gains(self, t: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def gains(self, t: np.ndarray, starts: np.ndarray, lengths: np.ndarray, kinds: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """Cross-entropy by the model of sentences without a subject less that by each subject, summed over the tokens: a row for each sentence, a column for each subject."""
         if not len(starts):
             return np.zeros((0, len(self.subjects)))
+        t, kind = kinds or token_kinds(t)
         bg = self.background.prob(t)
         out = np.empty((len(starts), len(self.subjects) + 1))
         for s in range(len(self.subjects) + 1):
             n = self.hist[s][t[2]]
             weight = 0.85 * n / (n + self.rare)
             p = weight * self.pair[s][t[1]] / np.maximum(n, 1e-3) + (1 - weight) * (self.own * self.uni[s][t[0]] + (1 - self.own) * bg)
-            out[:, s] = np.add.reduceat(np.log(p / bg), starts)
+            out[:, s] = np.add.reduceat(np.log(p / bg)[kind], starts)
         # the background is the corpus or its sentences without a subject, whichever fits the sentence less: the corpus holds the subjects, too
         return out[:, :-1] - np.minimum(out[:, -1:], 0.0)
 
-    def estimate(self, t: np.ndarray, owner: np.ndarray, weight: np.ndarray) -> None:
+    def estimate(self, kinds: tuple[np.ndarray, np.ndarray], owner: np.ndarray, weight: np.ndarray) -> None:
         """Counts from sentences weighted by subject, and last from what is left: sentences without one. owner: the sentence of each token."""
+        t, kind = kinds
         self.uni, self.pair, self.hist = [], [], []
         rest = np.maximum(0.0, 1.0 - weight.sum(axis=1))
         for s in range(len(self.subjects) + 1):
-            w = weight[owner, s] if s < len(self.subjects) else rest[owner]
+            w = np.bincount(kind, weights=weight[owner, s] if s < len(self.subjects) else rest[owner], minlength=t.shape[1])
             u = np.bincount(t[0], weights=w, minlength=UNI)
             self.uni.append(((u + 1e-4 * self.background.uni) / (u.sum() + 1e-4)).astype(np.float32))
             self.pair.append(np.bincount(t[1], weights=w, minlength=BI).astype(np.float32))
@@ -204,10 +214,10 @@ class SubjectModels:
             score = np.maximum.reduceat(ratio[t[0]], starts) if len(starts) else np.zeros(0)
             high = np.percentile(ratio[ratio > 0], 80) if (ratio > 0).any() else 1.0
             weight[:, s] = inside * np.clip(score / high * 2 - 1.2, 0, 1)
-        theta = prior.copy()
+        theta, kinds = prior.copy(), token_kinds(t)
         for r in range(rounds):
-            self.estimate(t, owner, weight)
-            gain = self.gains(t, starts, lengths)
+            self.estimate(kinds, owner, weight)
+            gain = self.gains(t, starts, lengths, kinds)
             weight, theta = self.posterior(gain, doc, prior, theta)
         return gain, lengths, weight, doc
 
@@ -310,7 +320,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, most_lab
     ids = given.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
     given = given.join(ids, "doc_id").groupBy("doc_id").agg(F.collect_set("s").alias("s"))
     # the sample is bounded by most_labelled and most_chars, so it is broadcast, and no text is moved but those of the sample
-    known = documents.where("text is not null").join(F.broadcast(given), "doc_id")
+    known = cut(documents.where("text is not null").select("doc_id", "text").join(F.broadcast(given), "doc_id"))
     sizes = known.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
     total = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # numbers of the sample alone
     chosen = sizes.withColumn("total", total).where(F.col("total") <= most_chars).select("doc_id")

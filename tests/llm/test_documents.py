@@ -63,7 +63,7 @@ def test_alignment_as_brute_force():
             text[k] = text[k][:-1] + rng.choice(["", "b", "ca"]) or "a"
         joined = " ".join(text)
         for edits in range(3):
-            got = L.banded_alignment(L._codes(" ".join(passage)), spans(passage), L._codes(joined), -40, 60, edits)
+            got = L.banded_alignment(L._codes(" ".join(passage)), spans(passage), L._codes(joined), np.arange(-40, 60), edits)
             want = max((n for i in range(len(passage)) for n in range(1, len(passage) - i + 1) if any(edit(" ".join(passage[i : i + n]), " ".join(text[x:y])) <= edits for x in range(len(text)) for y in range(x + 1, len(text) + 1))), default=0)
             assert (got[0] if got else 0) == want, (passage, text, edits, got, want)
             if got:
