@@ -8,7 +8,7 @@ difference passes the subject's margin, and a document is assigned each subject
 * The subject models are fitted on labelled documents, at most ``most_labelled`` of them, chosen by hash. Labels are noisy and say nothing about
   which sentences they mean, so the sentences of labelled documents are weighted by expectation-maximisation between the document's
   labels, the other subjects at a low prior, and the background.
-* The margins are calibrated on labelled documents that are held out (one in four): for each subject the one that separates labelled from unlabelled documents best.
+* The margins are calibrated on labelled documents that a first fit leaves out (one in four): for each subject the one that separates labelled from unlabelled documents best.
 """
 
 from __future__ import annotations
@@ -173,19 +173,19 @@ class SubjectModels:
             self.hist.append(np.bincount(t[2], weights=w, minlength=UNI).astype(np.float32))
 
     def fit(self, texts: list[str], labels: list[set[int]], rounds: int = 8, other: float = 0.02, held_out: int = 4) -> None:
-        """Fits the models and calibrates their margins. One in ``held_out`` documents is not fitted but calibrated on, if there are enough labels for that:
-        at least ``held_out`` fitted and held-out documents for every subject; else the fitted ones are."""
+        """Fits the models and calibrates their margins. The margins come from one in ``held_out`` documents, which a first fit leaves out, if there are
+        enough labels for that: at least ``held_out`` fitted and held-out documents for every subject; else from the fitted ones. The last fit is on all."""
         held = np.arange(len(texts)) % held_out == held_out - 1
         enough = all(min(sum(s in ls for ls, h in zip(labels, held, strict=True) if h == side) for side in (True, False)) >= held_out for s in range(len(self.subjects)))
-        if not enough:
-            held[:] = False
         pick = lambda xs, side: [x for x, h in zip(xs, held, strict=True) if h == side]
-        gain, lengths, weight, doc = self.expect(pick(texts, False), pick(labels, False), rounds, other)
         if enough:
+            self.expect(pick(texts, False), pick(labels, False), rounds, other)
             t, starts, doc, lengths = encode(pick(texts, True))
             gain = self.gains(t, starts, lengths)
-            weight, _ = self.judged(gain, doc, int(held.sum()))
-        self.calibrate(gain, lengths, weight, doc, pick(labels, True) if enough else labels)
+            self.calibrate(gain, lengths, self.judged(gain, doc, int(held.sum()))[0], doc, pick(labels, True))
+        gain, lengths, weight, doc = self.expect(texts, labels, rounds, other)
+        if not enough:
+            self.calibrate(gain, lengths, weight, doc, labels)
 
     def judged(self, gain: np.ndarray, doc: np.ndarray, n_texts: int, generic: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
         """Weights of the subjects for each sentence of texts without labels."""
