@@ -12,8 +12,9 @@ from codelode.extract import facts as X
 from codelode.operators import analysis as A
 from codelode.operators import docs as D
 from codelode.operators import graph as G
+from codelode.plans.code_facts_queries import dead_code
 from codelode.session import get_session
-from codelode.sources.project import all_files, diagnostics, source_files, sub_projects
+from codelode.sources.project import all_files, base_of, changed_files, diagnostics, package_dependencies, source_files, sub_projects
 
 
 class Project:
@@ -53,6 +54,16 @@ COMMANDS = {
     "dialect": lambda p: D.dialect(p.functions, p.classes),
     "minify": lambda p: D.rewrite(p.files, "minify").select("file_id", "n_before", "n_after", "error"),
     "beautify": lambda p: D.rewrite(p.files, "beautify").select("file_id", "n_before", "n_after", "error"),
+    "expand": lambda p, symbol: G.expand_symbol(p.nodes.withColumn("props", F.lit(None).cast("array<string>")), p.edges, p.files, p.files.first()["repo"], symbol, p.legend),
+    "summary": lambda p: A.summary_only(p.functions),
+    "redundant": lambda p: A.redundant_dependencies(package_dependencies(p.spark.read.text(f"{p.root}/package.json", wholetext=True).select(F.lit(base_of(p.root)).alias("repo"), F.col("value").alias("text")))),
+    "style": lambda p: p.files.where("ext in ('.js', '.mjs')").select("path_rel", F.explode(A.style_rules(F.col("raw"), F.lit(None).cast("string"))).alias("x")).select("path_rel", "x.*"),
+    "changed": lambda p, back="5": changed_files(p.spark, p.root, int(back)),
+    "edges": lambda p: p.edges.select("repo", "src", "op", "dst"),
+    "classes": lambda p: p.classes.select("path_rel", "name", "extends", "line", "methods", "properties", "exported"),
+    "functions": lambda p: p.functions.select("path_rel", "owner", "name", "line", "params", "is_async", "exported", "calls", "complexity"),
+    "imports": lambda p: X.imports(p.facts).select("path_rel", "source", "names", "line"),
+    "dead": lambda p: dead_code(p.facts),
     "types": lambda p, log: diagnostics(p.spark.read.text(log)),
 }
 

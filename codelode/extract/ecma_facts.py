@@ -24,6 +24,11 @@ NO_CALL = {"if", "for", "while", "switch", "catch", "with", "function", "return"
 DECISION = re.compile(r"(?<![\w$.])(?:if|for|while|case|catch)(?![\w$])|&&(?!=)|\|\|(?!=)|\?(?![.?:)\],=])(?<!\?\?)")
 SHAPE = re.compile(r"(?<![\w$.])(if|for|while|switch|try|return|throw|await)(?![\w$])")
 SHAPES = {"if": "IF", "while": "WHILE", "switch": "SWITCH", "try": "TRY", "return": "RET", "throw": "THROW", "await": "AWAIT"}
+IS_SQL = re.compile(r"^\s*(SELECT|INSERT|UPDATE|DELETE|WITH|CREATE\s+TABLE)\b", re.I)
+SQL_TAG = re.compile(r"[\w$]*sql[\w$]*\s*$", re.I)
+ESCAPED = re.compile(r"\\(?:\r?\n|(.))", re.S)
+LETTER = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "0": "\0"}
+# ---- fixed values: names of rules; the patterns are those of this library ----
 #: outdated patterns: (id, severity, pattern on the masked text)
 OUTDATED = [
     ("var-usage", "warning", re.compile(r"(?<![\w$.])var\s")), ("require-usage", "info", re.compile(r"(?<![\w$.])require\s*\(")), ("module-exports", "info", re.compile(r"(?<![\w$])module\.exports\b")),
@@ -126,18 +131,61 @@ def shape_of(body: str) -> str:
     return "|".join(out)
 
 
+def template_text(source: str, at: int) -> str:
+    """The text of the template literal that begins at a backtick; holes become $1, $2 and so on."""
+    out, i, holes, n = [], at + 1, 0, len(source)
+    while i < n and source[i] != "`":
+        if source[i] == "\\":
+            out.append(source[i : i + 2])
+            i += 2
+        elif source.startswith("${", i):
+            holes, depth, i = holes + 1, 1, i + 2
+            while i < n and depth:
+                depth += {"{": 1, "}": -1}.get(source[i], 0)
+                i += 1
+            out.append(f"${holes}")
+        else:
+            out.append(source[i])
+            i += 1
+    return unescape("".join(out))
+
+
+def unescape(text: str) -> str:
+    return ESCAPED.sub(lambda m: LETTER.get(m.group(1), m.group(1)) if m.group(1) else "", text)
+
+
+def sql_texts(source: str, begin: int, end: int, masked: str) -> list[str]:
+    """Texts that go to a database, of a part of the source: string and template literals that look like SQL, and templates with a tag whose name has sql in it."""
+    out = {}
+    for m in LITERAL_MARK.finditer(masked, begin, end):
+        at = m.start()
+        q = source[at]
+        if q == "`":
+            text, tagged = template_text(source, at), SQL_TAG.search(masked, max(begin, at - 80), at)
+        elif q in "'\"":
+            found = ecma.STRINGS[q].match(source, at)
+            text, tagged = unescape(found.group()[1:-1]) if found else "", None
+        else:
+            continue
+        if text and (tagged or IS_SQL.match(text)):
+            out.setdefault(text)
+    return list(out)
+
+
+LITERAL_MARK = re.compile(f"[{ecma.STR}{ecma.TPL}]")
+
+
 class Doc:
     """Documentation blocks by the line they end on."""
 
     def __init__(self, text: str, comments: list[tuple[int, int]], line_of):
         self.blocks = [(line_of(b - 1), text[a:b]) for a, b in comments if text.startswith("/**", a)]
+        self.ends = [end for end, _ in self.blocks]
 
     def before(self, line: int, most: int = 2) -> str | None:
         """The block that ends at most so many lines before a line (or on it); the first such."""
-        for end, text in self.blocks:
-            if 0 <= line - end <= most:
-                return text
-        return None
+        k = bisect.bisect_left(self.ends, line - most)
+        return self.blocks[k][1] if k < len(self.blocks) and self.ends[k] <= line else None
 
 
 def doc_params(block: str) -> list[str]:
@@ -187,7 +235,7 @@ def facts(text: str, typescript: bool, jsx: bool) -> dict:
         return {
             "name": name, "owner": owner, "line": line, "n_lines": line_of(stop - 1) - line + 1, "params": params, "is_async": is_async, "exported": exported, "returns": returns, "calls": calls_in(body),
             "complexity": 1 + len(DECISION.findall(body)), "structure": shape_of(body), "has_doc": doc is not None, "doc_params": doc_params(doc) if doc else [],
-            "doc_returns": bool(doc and re.search(r"@returns?\s", doc)), "has_return": bool(re.search(r"(?<![\w$.])return\s+[^;\s}]", body)), "start": brace, "stop": stop,
+            "sql": sql_texts(source, brace, stop, s), "doc_returns": bool(doc and re.search(r"@returns?\s", doc)), "has_return": bool(re.search(r"(?<![\w$.])return\s+[^;\s}]", body)), "start": brace, "stop": stop,
         }
 
     functions, defined = [], set()

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from codelode.extract.ecma_facts import facts as ecma_facts
 from codelode.extract.other_facts import EMPTY, go_facts, python_facts, sql_tables
+from codelode.functions.text import sql_reads, sql_writes
 from codelode.syntax.groups import Bad
 
-FUNCTION = "struct<name:string,owner:string,line:int,n_lines:int,params:array<string>,is_async:boolean,exported:boolean,returns:string,calls:array<string>,complexity:int,structure:string,has_doc:boolean,doc_params:array<string>,doc_returns:boolean,has_return:boolean,accessor:string>"
+FUNCTION = "struct<name:string,owner:string,line:int,n_lines:int,params:array<string>,is_async:boolean,exported:boolean,returns:string,calls:array<string>,complexity:int,structure:string,has_doc:boolean,doc_params:array<string>,doc_returns:boolean,has_return:boolean,accessor:string,sql:array<string>>"
 CLASS = "struct<name:string,extends:string,line:int,methods:array<string>,properties:array<string>,calls:array<string>,exported:boolean,has_doc:boolean>"
 TABLE = "struct<name:string,line:int,columns:array<struct<name:string,type:string>>>"
 FACTS = (
@@ -63,6 +64,13 @@ def functions(facts: DataFrame) -> DataFrame:
     return facts.select("file_id", "repo", "path_rel", F.posexplode("functions").alias("ord", "f")).select("file_id", "repo", "path_rel", "ord", "f.*")
 
 
+def db_access(functions: DataFrame) -> DataFrame:
+    """functions with ``db_reads`` and ``db_writes``: the tables of the SQL in each, distinct and sorted; of methods the class is the name's owner."""
+    texts = F.coalesce("sql", F.expr("cast(array() as array<string>)"))
+    of = lambda f: F.array_sort(F.array_distinct(F.flatten(F.transform(texts, f))))
+    return functions.withColumn("db_reads", of(sql_reads)).withColumn("db_writes", of(sql_writes))
+
+
 def classes(facts: DataFrame) -> DataFrame:
     return facts.select("file_id", "repo", "path_rel", F.posexplode("classes").alias("ord", "c")).select("file_id", "repo", "path_rel", "ord", "c.*")
 

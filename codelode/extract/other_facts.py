@@ -16,7 +16,7 @@ PY_DECISIONS = (ast.If, ast.IfExp, ast.For, ast.AsyncFor, ast.While, ast.ExceptH
 
 
 def function_row(**more) -> dict:
-    row = {"name": None, "owner": None, "line": 0, "n_lines": 0, "params": [], "is_async": False, "exported": False, "returns": None, "calls": [], "complexity": 1, "structure": "", "has_doc": False, "doc_params": [], "doc_returns": False, "has_return": False, "accessor": None}
+    row = {"name": None, "owner": None, "line": 0, "n_lines": 0, "params": [], "is_async": False, "exported": False, "returns": None, "calls": [], "complexity": 1, "structure": "", "has_doc": False, "doc_params": [], "doc_returns": False, "has_return": False, "accessor": None, "sql": []}
     return row | more
 
 

@@ -145,6 +145,12 @@ def code_full_analysis(spark, folder):
     return A.full_analysis(X.functions(x), dead_code(x), findings, rated).select("repo", "dead", "undocumented", "critical", "high", "doc_errors", "similar", "score", "rating", "topics")
 
 
+def code_db_access(spark, folder):
+    """Tables that functions read and write by SQL in their texts."""
+    rows = X.db_access(X.functions(facts(spark, folder))).where("size(db_reads) > 0 or size(db_writes) > 0")
+    return rows.select("file_id", "ord", "name", F.array_join("db_reads", ",").alias("db_reads"), F.array_join("db_writes", ",").alias("db_writes"))
+
+
 def code_summary(spark, folder):
     """The partial score of each repo from what its files tell one by one: complexity and documentation; what takes several files counts as nothing."""
     return A.summary_only(X.functions(facts(spark, folder)))
@@ -159,4 +165,4 @@ def code_components(spark, folder):
     return rows.select("file_id", "name", "tag", F.array_join("children", ",").alias("children"))
 
 
-QUERIES |= {f.__name__: f for f in (code_full_analysis, code_summary, code_components)}
+QUERIES |= {f.__name__: f for f in (code_full_analysis, code_summary, code_components, code_db_access)}

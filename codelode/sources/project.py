@@ -10,6 +10,7 @@ from codelode.config import Filters
 from codelode.functions.text import base_name, content_hash
 
 EXTENSIONS = [".js", ".mjs", ".ts", ".tsx", ".py", ".go", ".sql"]
+# ---- fixed values: folders of a monorepo that hold sub-projects ----
 MONOREPO = "packages|apps|services|modules|libs|plugins"
 
 
@@ -51,6 +52,31 @@ def sub_projects(paths: DataFrame) -> DataFrame:
     return paths.where(F.col("path_rel").rlike(p)).select(F.regexp_extract("path_rel", p, 2).alias("name"), F.regexp_extract("path_rel", p, 1).alias("path"))
 
 
+def with_sub_projects(files: DataFrame, subs: DataFrame) -> DataFrame:
+    """files(path_rel, ..) with ``sub_project`` and ``sub_path``, the path below it: of a recursive scan each file belongs to the sub-project whose folder
+    holds it, to none (null, its own path) outside of all. subs(name, path) as ``sub_projects`` gives them, two segments each."""
+    two = F.substring_index("path_rel", "/", 2)
+    known = subs.select(F.col("name").alias("sub_project"), F.col("path").alias("_folder"))
+    joined = files.withColumn("_folder", F.when(F.size(F.split("path_rel", "/")) > 2, two)).join(known, "_folder", "left")
+    below = F.expr("substring(path_rel, length(_folder) + 2)")
+    return joined.withColumn("sub_path", F.when(F.col("sub_project").isNotNull(), below).otherwise(F.col("path_rel"))).drop("_folder")
+
+
+def changed_files(spark: SparkSession, root: str, back: int | None = 5) -> DataFrame:
+    """(path_rel) of the files that git says were changed in the last ``back`` commits; with None of all tracked and untracked ones. Not a repository: none.
+
+    The list is made on the driver, as git works there.
+    """
+    import subprocess
+
+    what = ["ls-files", "--cached", "--others", "--exclude-standard"] if back is None else ["diff", "--name-only", f"HEAD~{back}"]
+    try:
+        out = subprocess.run(["git", "-C", root, *what], check=True, capture_output=True, text=True).stdout
+    except (subprocess.CalledProcessError, FileNotFoundError):
+        out = ""
+    return spark.createDataFrame([(p,) for p in out.splitlines() if p], "path_rel string").distinct()
+
+
 def package_dependencies(packages: DataFrame) -> DataFrame:
     """(repo, name, version) of packages(repo, text): dependencies and development dependencies of package.json texts; texts that are no JSON have none."""
     parsed = packages.select("repo", F.from_json("text", "dependencies map<string,string>, devDependencies map<string,string>").alias("j"))

@@ -8,9 +8,9 @@ from codelode.streaming import events as E
 
 TREE = {
     "package.json": '{"dependencies": {"express": "5"}, "devDependencies": {"glob": "1"}}',
-    "src/math.js": "/**\n * Adds.\n * @param {number} a\n * @param {number} b\n */\nexport function add(a, b) { return a + b; }\n\n\nexport function multiply(x, y) { return x * y; }\nfunction _clamp(v, min, max) { return Math.max(min, Math.min(v, max)); }\n",
-    "src/models.js": "import { add } from './math.js';\nclass Animal {\n  speak() { return add(1, 2); }\n}\nclass Dog extends Animal {\n  speak() { return this.fetch(); }\n  fetch(item) { return Animal.create(item); }\n}\n",
-    "schema.sql": "CREATE TABLE users (id SERIAL, name VARCHAR(100));\n", "node_modules/x/a.js": "function hidden() {}", "src/a.test.js": "function test() {}", "packages/one/package.json": "{}", ".context/src/math.ctx": "add(a,b)|Adds", "src/math.ctx": "old()", "project.ctx": "x",
+    "src/tide.js": "/**\n * Height of the water some hours after low tide.\n * @param {number} hours\n * @param {number} range\n */\nexport function heightAfter(hours, range) { return range * Math.sin(hours / 12); }\n\n\nexport function slackTimes(day) { return [day * 6, day * 18]; }\nfunction _roundTo(v, step) { return step * Math.floor(v / step); }\n",
+    "src/harbour.js": "import { heightAfter } from './tide.js';\nclass Berth {\n  depth() { return heightAfter(3, 4); }\n}\nclass DryDock extends Berth {\n  depth() { return this.pumpOut(); }\n  pumpOut(gate) { if (gate) { gate.close(); } return Berth.reserve(gate); }\n}\n",
+    "schema.sql": "CREATE TABLE vessels (id SERIAL, hull VARCHAR(80));\n", "node_modules/x/a.js": "function hidden() {}", "src/a.test.js": "function test() {}", "packages/one/package.json": "{}", ".context/src/tide.ctx": "heightAfter(hours,range)|Height", "src/tide.ctx": "old()", "project.ctx": "x",
 }
 
 
@@ -25,7 +25,7 @@ def tree(tmp_path_factory):
 
 def test_scan(spark, tree):
     files = P.source_files(spark, tree, "demo")
-    assert {r["path_rel"] for r in files.collect()} == {"src/math.js", "src/models.js", "schema.sql"}
+    assert {r["path_rel"] for r in files.collect()} == {"src/tide.js", "src/harbour.js", "schema.sql"}
     more = P.source_files(spark, tree, "demo", Filters().remove(["node_modules"], ["*.test.js"]))
     assert {r["path_rel"] for r in more.collect()} >= {"node_modules/x/a.js", "src/a.test.js"}
     paths = P.all_files(spark, tree)
@@ -33,7 +33,7 @@ def test_scan(spark, tree):
     deps = P.package_dependencies(spark.createDataFrame([("demo", TREE["package.json"]), ("bad", "{")], "repo string, text string"))
     assert {r["name"] for r in deps.collect()} == {"express", "glob"}
     ctx = [(r["target"], r["text"]) for r in P.context_files(spark, tree).collect()]
-    assert ctx[0][0] == "project" and ("src/math", "add(a,b)|Adds") in ctx
+    assert ctx[0][0] == "project" and ("src/tide", "heightAfter(hours,range)|Height") in ctx
 
 
 def test_commands(spark, tree, capsys):
@@ -41,24 +41,29 @@ def test_commands(spark, tree, capsys):
 
     p = Project(tree)
     rows = {name: [r.asDict() for r in COMMANDS[name](p).collect()] for name in ("legend", "stats", "orphans", "duplicates", "complexity", "undocumented", "tables", "dialect", "minify", "inventory", "skeleton")}
-    assert {r["name"]: r["alias"] for r in rows["legend"]} == {"Animal": "An", "Dog": "Do", "add": "ad", "multiply": "mu", "_clamp": "_c"}
-    assert [r["alias"] for r in rows["orphans"]] == ["_c"] and rows["duplicates"][0]["members"] == "Animal:2,Dog:5" and {r["col_name"] for r in rows["tables"]} == {"id", "name"}
-    assert {r["name"] for r in rows["undocumented"]} >= {"multiply", "speak"} and all(r["n_after"] <= r["n_before"] for r in rows["minify"])
-    assert call_chain(p, "Do", "ad") == ["Do", "An.create"] or call_chain(p, "An", "ad") == ["An", "ad"]
+    assert {r["name"]: r["alias"] for r in rows["legend"]} == {"Berth": "bB", "DryDock": "DD", "heightAfter": "hA", "slackTimes": "sT", "_roundTo": "_T"}
+    assert [r["alias"] for r in rows["orphans"]] == ["_T"] and rows["duplicates"][0]["members"] == "Berth:2,DryDock:5" and {r["col_name"] for r in rows["tables"]} == {"id", "hull"}
+    assert {r["name"] for r in rows["undocumented"]} >= {"slackTimes", "depth"} and all(r["n_after"] <= r["n_before"] for r in rows["minify"])
+    assert call_chain(p, "DD", "hA") == ["DD", "bB", "hA"] and call_chain(p, "hA", "DD") is None
     assert main(["nothing"]) == 2 and "Commands" in capsys.readouterr().out
-    assert COMMANDS["similar"](p, "60").count() >= 1 and COMMANDS["deps"](p, "An").count() >= 1
+    assert COMMANDS["similar"](p, "60").count() >= 1 and COMMANDS["deps"](p, "bB").count() >= 1
+    expanded = COMMANDS["expand"](p, "bB.depth").first()
+    assert expanded["full_name"] == "Berth.depth" and expanded["code"] == "depth() { return heightAfter(3, 4); }" and COMMANDS["expand"](p, "DD").first()["calls"] == "bB.reserve" and COMMANDS["expand"](p, "zz").count() == 0
+    assert COMMANDS["expand"](p, "DD.pumpOut").first()["code"].endswith("return Berth.reserve(gate); }")
+    assert {r["name"] for r in COMMANDS["redundant"](p).collect()} == {"glob"} and COMMANDS["summary"](p).first()["functions"] == 6
+    assert {r["rule"] for r in COMMANDS["style"](p).where("path_rel = 'src/harbour.js'").collect()} == {"missing-ctx-header", "missing-ctx-file", "indented-lines"}
 
 
 def test_rule_files(spark, tree, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps({"name": "web", "detect": {"packageJson": ["express"], "imports": [], "patterns": []}, "rules": [{"id": "no-max", "pattern": "Math.max", "patternType": "string", "severity": "error", "filePattern": "*.js"}]}))
-    (tmp_path / "b.json").write_text(json.dumps({"name": "all", "alwaysApply": True, "rules": [{"id": "r", "pattern": "return\\s+a", "patternType": "regex", "severity": "info", "filePattern": "*.js"}]}))
+    (tmp_path / "a.json").write_text(json.dumps({"name": "web", "detect": {"packageJson": ["express"], "imports": [], "patterns": []}, "rules": [{"id": "no-max", "pattern": "Math.floor", "patternType": "string", "severity": "error", "filePattern": "*.js"}]}))
+    (tmp_path / "b.json").write_text(json.dumps({"name": "all", "alwaysApply": True, "rules": [{"id": "r", "pattern": "return\\s+\\[", "patternType": "regex", "severity": "info", "filePattern": "*.js"}]}))
     (tmp_path / "c.json").write_text("{ no json")
     sets, rules = P.rule_sets(spark, str(tmp_path))
     files = P.source_files(spark, tree, "demo")
     deps = P.package_dependencies(spark.createDataFrame([("demo", TREE["package.json"])], "repo string, text string"))
     assert {(r["ruleset"], r["reason"]) for r in A.detect_rulesets(sets, deps, files).collect()} == {("web", "package.json: express"), ("all", "always")}
     hits = A.check_rules(A.lines_of(files, ["path_rel"]), rules, ["path_rel"], "path_rel")
-    assert {(r["path_rel"], r["rule_id"]) for r in hits.collect()} >= {("src/math.js", "no-max"), ("src/math.js", "r")}
+    assert {(r["path_rel"], r["rule_id"]) for r in hits.collect()} >= {("src/tide.js", "no-max"), ("src/tide.js", "r")}
     assert A.upsert_rules(rules, rules.limit(1)).count() == 2 and A.delete_rule(rules, "web", "no-max").count() == 1
     found = P.diagnostics(spark.createDataFrame([("a.ts(3,5): error TS2304: Cannot find name 'x'.",), ("noise",)], "value string")).collect()
     assert [(r["line"], r["code"]) for r in found] == [(3, "TS2304")]
@@ -93,3 +98,21 @@ def test_streams(spark, tree, tmp_path):
         files.write.mode("append").parquet(str(tmp_path / "files"))
     stored = spark.read.parquet(str(tmp_path / "store"))
     assert stored.count() == 3 and stored.select("file_id").distinct().count() == 3
+
+
+def test_sub_projects_changes_and_sidecar(spark, tree, tmp_path):
+    files = spark.createDataFrame([("src/a.js",), ("packages/one/b.js",), ("packages/one/deep/c.js",), ("apps/x/d.js",)], "path_rel string")
+    subs = spark.createDataFrame([("one", "packages/one")], "name string, path string")
+    got = {(r["path_rel"], r["sub_project"], r["sub_path"]) for r in P.with_sub_projects(files, subs).collect()}
+    assert got == {("src/a.js", None, "src/a.js"), ("packages/one/b.js", "one", "b.js"), ("packages/one/deep/c.js", "one", "deep/c.js"), ("apps/x/d.js", None, "apps/x/d.js")}
+    import subprocess
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    run("init", "-q")
+    for k in range(3):
+        (tmp_path / f"f{k}.js").write_text(str(k))
+        run("add", ".")
+        run("commit", "-q", "-m", "x")
+    (tmp_path / "new.js").write_text("n")
+    assert {r["path_rel"] for r in P.changed_files(spark, str(tmp_path), back=1).collect()} == {"f2.js"} and {r["path_rel"] for r in P.changed_files(spark, str(tmp_path), back=None).collect()} == {"f0.js", "f1.js", "f2.js", "new.js"}
+    assert P.changed_files(spark, str(tmp_path / "none")).count() == 0

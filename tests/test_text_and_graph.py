@@ -9,7 +9,7 @@ def one(spark, value, f, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(f(F.col("x"))).first()[0]
 
 
-@pytest.mark.parametrize("name,alias", [("SymNode", "SN"), ("SymNodeGraph", "SNG"), ("SymMiniMap", "SMM"), ("togglePin", "tP"), ("autoArrange", "aA"), ("add", "ad"), ("_clamp", "_c"), ("Animal", "aA"), ("Dog", "dD"), ("fetchData", "fD"), ("ab", "ab"), ("SN1", "SN1")])
+@pytest.mark.parametrize("name,alias", [("SymNode", "SN"), ("SymNodeGraph", "SNG"), ("SymMiniMap", "SMM"), ("togglePin", "tP"), ("autoArrange", "aA"), ("moor", "mo"), ("_tie", "_t"), ("Berth", "bB"), ("A", "aA"), ("readLog", "rL"), ("ab", "ab"), ("SN1", "SN1")])
 def test_alias_base(spark, name, alias):
     assert one(spark, name, X.alias_base) == alias
 
@@ -74,7 +74,7 @@ def test_paths(spark):
 
 def graph(spark):
     nodes = spark.createDataFrame(
-        [("r", "A", "C", "Animal", None, ["speak", "go"], True, "m.js", 1), ("r", "D", "C", "Dog", "Animal", ["speak"], True, "m.js", 13), ("r", "f", "F", "free", None, None, None, "u.js", 1), ("r", "g", "F", "got", None, None, False, "u.js", 5), ("r", "h", "F", "here", None, None, True, None, None)],
+        [("r", "A", "C", "Berth", None, ["depth", "go"], True, "m.js", 1), ("r", "D", "C", "DryDock", "Berth", ["depth"], True, "m.js", 13), ("r", "f", "F", "free", None, None, None, "u.js", 1), ("r", "g", "F", "got", None, None, False, "u.js", 5), ("r", "h", "F", "here", None, None, True, None, None)],
         "repo string, alias string, kind string, node_name string, extends_name string, methods array<string>, exported boolean, path_rel string, line_no int",
     )
     edges = spark.createDataFrame([("r", "A", "→", "g.x"), ("r", "A", "→", "D"), ("r", "D", "→", "f2"), ("r", "f2", "→", "end.z"), ("r", "A", "F→", "f"), ("r", "D", "R→", "users")], "repo string, src string, op string, dst string")
@@ -84,7 +84,7 @@ def graph(spark):
 def test_graph_questions(spark):
     nodes, edges = graph(spark)
     assert [r["alias"] for r in G.orphans(nodes, edges.where("op <> 'F→'")).collect()] == ["f"]
-    assert [(r["method_name"], r["members"]) for r in G.duplicate_methods(nodes).collect()] == [("speak", "Animal:1,Dog:13")]
+    assert [(r["method_name"], r["members"]) for r in G.duplicate_methods(nodes).collect()] == [("depth", "Berth:1,DryDock:13")]
     deps = {tuple(r) for r in G.dependencies(nodes, edges, "r", "D").collect()}
     assert deps == {("calls", "f2"), ("reads", "users"), ("usedBy", "A")}
     assert {r["src"] for r in G.usages(nodes, edges, "g").collect()} == {"A"}
@@ -93,7 +93,7 @@ def test_graph_questions(spark):
     got = {(r["alias"], r["depth"]) for r in G.reachable(edges.where("op = '→'"), spark.createDataFrame([("A",)], "start string")).collect()}
     assert got == {("A", 0), ("D", 1), ("g", 1), ("f2", 2), ("end", 3)}
     sk = {r["path_rel"]: r for r in G.skeleton(nodes).collect()}
-    assert sk["m.js"]["classes"] == "Animal,Dog" and sk["m.js"]["n_methods"] == 3 and sk["u.js"]["exported_functions"] == ""
+    assert sk["m.js"]["classes"] == "Berth,DryDock" and sk["m.js"]["n_methods"] == 3 and sk["u.js"]["exported_functions"] == ""
     assert G.graph_stats(nodes, edges).first().asDict() == {"repo": "r", "n_nodes": 5, "n_edges": 6, "n_orphans": 0, "n_duplicates": 1}
     assert G.orphans(nodes.limit(0), edges.limit(0)).count() == 0
 

@@ -2,6 +2,7 @@ from codelode.extract import facts as X
 from codelode.operators import analysis as A
 from codelode.operators import docs as D
 from codelode.operators import web as W
+from pyspark.sql import functions as F
 
 FILES = {
     "ui/panel.js": "import { template } from './panel.tpl.js';\nimport { style } from './panel.css.js';\nexport class Panel extends Base { init() { this.addEventListener('click', f); this.dispatchEvent(new CustomEvent('done')); this.sub('a/b', g); } }\nPanel.reg('my-panel');\n",
@@ -33,8 +34,13 @@ def test_context_style_and_report(spark):
     assert [r["inside"] for r in A.inside_context(lines, ["file_id"], "template").orderBy("line_no").collect()] == [False, True, True, False, False]
     files = frame(spark)
     facts = X.extract(files)
-    found = {(r["file_id"], r["rule"]) for r in A.style_findings(files, X.functions(facts)).collect()}
-    assert (0, "missing-ctx-header") in found and (9, "missing-ctx-header") not in found
+    context = "--- a ---\nexport f(a,b:number)|{DESCRIBE}\nexport gone(x)|(auto-documented)"
+    texts = [("const one = 1;let two = 2;var three = 3;function four() {}", context), ("// @ctx a\nimport a from 'a';\nimport b from 'b';\nexport function shown(a) {\n  return 'const inside = 1';\n}\nfunction f() {}\nconst g1 = 1", context), ("#!/x\n// @ctx a\nconst aaa = 1, b = 2;\nlet bbb;\nlet ccc;\nfunction ddd() {}", " "), (None, "x"), ("", None)]
+    made = spark.createDataFrame(texts, "raw string, ctx string").select(A.style_rules(F.col("raw"), F.col("ctx")).alias("x")).collect()
+    got = [r["x"] and {x["rule"]: x["n"] for x in r["x"]} for r in made]
+    assert got[0] == {"missing-ctx-header": 1, "incomplete-ctx": 2, "ctx-minified-params": 3, "ctx-untyped-params": 2, "ctx-coverage": 1, "long-names": 4}
+    assert got[1] == {"incomplete-ctx": 3, "ctx-minified-params": 3, "ctx-untyped-params": 2, "ctx-coverage": 1, "multi-line-imports": 2, "indented-lines": 1}
+    assert got[2] == {"missing-ctx-file": 1, "long-names": 4} and got[3] is None and got[4] == {"missing-ctx-header": 1, "missing-ctx-file": 1}
     sizes = A.large_files(A.inventory(files.where("raw is not null")).selectExpr("repo", "n_lines", "0 n_functions", "0 n_classes", "0 n_exports"))
     dead = spark.createDataFrame([("r",)] * 3, "repo string")
     findings = spark.createDataFrame([("r", "error"), ("r", "warning")], "repo string, severity string")
