@@ -31,9 +31,9 @@ LETTER = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "0":
 # ---- fixed values: names of rules; the patterns are those of this library ----
 #: outdated patterns: (id, severity, pattern on the masked text)
 OUTDATED = [
-    ("var-usage", "warning", re.compile(r"(?<![\w$.])var\s")), ("require-usage", "info", re.compile(r"(?<![\w$.])require\s*\(")), ("module-exports", "info", re.compile(r"(?<![\w$])module\.exports\b")),
+    ("var-usage", "warning", re.compile(r"(?<![\w$.])var\s")), ("require-usage", "info", re.compile(r"(?<![\w$.])require\s*\(")), ("module-exports", "info", re.compile(r"(?<![\w$.])module\s*\.\s*exports\s*=(?!=)")),
     ("buffer-constructor", "error", re.compile(r"(?<![\w$.])new\s+Buffer\s*\(")), ("arguments-usage", "warning", re.compile(r"(?<![\w$.])arguments(?![\w$:])")),
-    ("promisify-usage", "info", re.compile(r"(?<![\w$])(?:util\.)?promisify\s*\(")), ("sync-in-async", "warning", re.compile(r"(?<![\w$])\w+Sync\s*\(")),
+    ("promisify-usage", "info", re.compile(r"(?<![\w$.])util\s*\.\s*promisify\s*\(")), ("sync-in-async", "warning", re.compile(r"\.\s*[\w$]*Sync\s*\(")),
 ]
 
 

@@ -298,6 +298,37 @@ def _is_word(text: Column, name: Column) -> Column:
     return F.regexp_like(text, F.concat(F.lit(r"(?:^|[^a-zA-Z_$])"), F.replace(name, F.lit("$"), F.lit(r"\$")), F.lit(r"(?:[^a-zA-Z0-9_$]|$)")))
 
 
+# ---- fixed values: methods that the platform calls and nobody documents ----
+LIFECYCLE = ["constructor", "connectedCallback", "disconnectedCallback", "attributeChangedCallback", "renderCallback"]
+
+
+def undocumented(functions: DataFrame, classes: DataFrame) -> DataFrame:
+    """(repo, path_rel, level, type, name, line, reason) of functions, methods and classes whose documentation lacks something at a level.
+
+    tests: nothing is asked of those without documentation; params: @param and @returns must be there; all: a description, too, and classes need
+    documentation. Private names, accessors and methods the platform calls are left out. A documented symbol is never asked for a description.
+    """
+    own = functions.where(~F.col("name").startswith("_") & ~(F.col("owner").isNotNull() & (F.col("name").isin(LIFECYCLE) | F.coalesce(F.col("accessor").isin("get", "set"), F.lit(False)))))
+    deep = F.col("level") != "tests"
+    reasons = F.concat_ws(", ", F.when(~F.col("has_doc") & (F.col("level") == "all"), "description"), F.when(deep & (F.size("doc_params") == 0), "@param"), F.when(deep & ~F.col("doc_returns"), "@returns"))
+    levels = lambda df: df.withColumn("level", F.explode(F.array(*map(F.lit, ("tests", "params", "all")))))
+    f = levels(own).select("repo", "path_rel", "level", F.when(F.col("owner").isNull(), "function").otherwise("method").alias("type"), F.concat_ws(".", "owner", "name").alias("name"), "line", reasons.alias("reason"))
+    c = classes.where(~F.col("has_doc")).select("repo", "path_rel", F.lit("all").alias("level"), F.lit("class").alias("type"), "name", "line", F.lit("No JSDoc").alias("reason"))
+    return f.where("reason <> ''").unionByName(c)
+
+
+def doc_mismatches(functions: DataFrame) -> DataFrame:
+    """(repo, path_rel, name, line, kind, severity) of documented functions: another number or other names of parameters are errors, an undescribed return value a
+    warning. Only named parameters are compared; without @param there is nothing to compare."""
+    bare = F.transform("params", lambda p: F.regexp_extract(p, r"^(?:\.\.\.)?([A-Za-z_$][\w$]*)", 1))
+    pairs = F.arrays_zip(bare.alias("p"), F.col("doc_params").alias("d"))
+    wrong = F.exists(pairs, lambda z: z["p"].isNotNull() & z["d"].isNotNull() & ~z["p"].isin("options", "args", "param") & (z["p"] != z["d"]))
+    some = F.size("doc_params") > 0
+    kinds = F.filter(F.array(F.when(some & (F.size("params") != F.size("doc_params")), "count"), F.when(some & wrong, "name"), F.when(F.col("has_return") & ~F.col("doc_returns"), "returns")), lambda k: k.isNotNull())
+    rows = functions.where("has_doc").select("repo", "path_rel", "name", "line", F.explode(kinds).alias("kind"))
+    return rows.withColumn("severity", F.when(F.col("kind") == "returns", "warning").otherwise("error"))
+
+
 def summary_only(functions: DataFrame) -> DataFrame:
     """(repo, functions, undocumented, doc_issues, score, rating): the score of what single files tell; parts across files count as none."""
     f = functions.groupBy("repo").agg(

@@ -11,9 +11,6 @@ from codelode.plans.analysis_queries import files, n_lines, texts
 from codelode.session import cut
 from codelode.sources.tables import current, latest, spread, table
 
-LIFECYCLE = ["constructor", "connectedCallback", "disconnectedCallback", "attributeChangedCallback", "renderCallback"]
-
-
 def facts(spark: SparkSession, folder: str) -> DataFrame:
     """The facts of files as last scanned: every text is parsed once, where it is read, and what is found is written before it is asked."""
     rows = spread(table(spark, folder, "compress_files").select("file_id", "repo", "path_rel", "ext", "raw", F.col("scanned_at").alias("version")), "file_id")
@@ -43,20 +40,14 @@ def code_complexity(spark, folder):
 
 
 def code_undocumented(spark, folder):
-    """Public functions and methods without documentation, parameters or return value described, per repo and reason."""
-    f = X.functions(facts(spark, folder)).where(~F.col("name").startswith("_") & ~F.col("name").isin(LIFECYCLE) & ~F.coalesce(F.col("accessor").isin("get", "set"), F.lit(False)))
-    reasons = F.filter(F.array(F.when(~F.col("has_doc"), "description"), F.when((F.size("params") > 0) & (F.size("doc_params") == 0), "params"), F.when(F.col("has_return") & ~F.col("doc_returns"), "returns")), lambda r: r.isNotNull())
-    return f.select("repo", F.explode(reasons).alias("reason")).groupBy("repo", "reason").agg(F.count("*").alias("n_functions"))
+    """What documentation lacks, per repo, level, type of symbol and reason."""
+    x = facts(spark, folder)
+    return A.undocumented(X.functions(x), X.classes(x)).groupBy("repo", "level", "type", "reason").agg(F.count("*").alias("n_symbols"))
 
 
 def code_doc_mismatch(spark, folder):
-    """Documented functions whose @param names or number do not fit the parameters: counts by kind per repo."""
-    f = X.functions(facts(spark, folder)).where(F.col("has_doc") & (F.size("doc_params") > 0))
-    bare = F.transform("params", lambda p: F.regexp_extract(p, r"^(?:\.\.\.)?([A-Za-z_$][\w$]*)", 1))
-    pairs = F.arrays_zip(bare.alias("p"), F.col("doc_params").alias("d"))
-    wrong = F.exists(pairs, lambda z: z["p"].isNotNull() & z["d"].isNotNull() & (z["p"] != "options") & (z["p"] != z["d"]))
-    kinds = F.filter(F.array(F.when(F.size("params") != F.size("doc_params"), "count"), F.when(wrong, "name"), F.when(F.col("has_return") & ~F.col("doc_returns"), "returns")), lambda k: k.isNotNull())
-    return f.select("repo", F.explode(kinds).alias("kind")).groupBy("repo", "kind").agg(F.count("*").alias("n_functions"))
+    """Documentation that does not fit: counts by kind and severity per repo."""
+    return A.doc_mismatches(X.functions(facts(spark, folder))).groupBy("repo", "kind", "severity").agg(F.count("*").alias("n_functions"))
 
 
 def code_outdated(spark, folder):
@@ -132,7 +123,16 @@ def ddl_columns(spark, folder):
 
 _NAMES = "code_functions code_classes code_imports code_complexity code_undocumented code_doc_mismatch code_outdated code_dead code_similar_shapes code_similar_functions code_similar_members ddl_columns".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
-ORACLE = {}
+ORACLE = {
+    # the text behind each CREATE TABLE, up to the next; the lines before it are those of the pieces before
+    "ddl_columns": r"""WITH f AS (SELECT r.* FROM (SELECT arg_max(compress_files, scanned_at) AS r FROM compress_files GROUP BY file_id)),
+s AS (SELECT file_id, regexp_split_to_array(regexp_replace(raw, '--[^\n]*', '', 'g'), '(?i)\bCREATE\s+TABLE\b') AS p FROM f WHERE lower(ext) = '.sql' AND raw IS NOT NULL),
+q AS (SELECT file_id, unnest(list_transform(range(2, len(p) + 1), lambda k: struct_pack(line := 1 + len(string_split(array_to_string(p[1:k - 1], ' '), chr(10))) - 1, x := p[k]))) AS t FROM s),
+b AS (SELECT file_id, t.line AS line, regexp_extract(t.x, '^\s+(?:IF\s+NOT\s+EXISTS\s+)?([\w."`\[\]]+)\s*\(((?:[^()]|\([^()]*\))*)\)', ['name', 'body'], 'i') AS m FROM q),
+c AS (SELECT file_id, line, trim(split_part(m.name, '.', -1), '"`[]') AS table_name, unnest(string_split(regexp_replace(m.body, ',(\s*\d+\s*\))', '#\1', 'g'), ',')) AS col FROM b WHERE m.name <> '')
+SELECT file_id, table_name, line::INT AS line, trim(regexp_extract(col, '^\s*([\w"`\[\]]+)\s+(\w+(?:\s*\([^)]*\))?)', 1), '"`[]') AS col_name, replace(regexp_replace(regexp_extract(col, '^\s*([\w"`\[\]]+)\s+(\w+(?:\s*\([^)]*\))?)', 2), '\s+', '', 'g'), '#', ',') AS col_type
+FROM c WHERE regexp_extract(col, '^\s*([\w"`\[\]]+)\s+(\w+)', 1) <> '' AND lower(regexp_extract(col, '^\s*([\w"`\[\]]+)\s+(\w+)', 1)) NOT IN ('primary', 'foreign', 'unique', 'check', 'constraint', 'key', 'index', 'exclude', 'like')""",
+}
 
 
 def code_full_analysis(spark, folder):

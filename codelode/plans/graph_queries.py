@@ -138,6 +138,11 @@ UNION SELECT DISTINCT 'usedBy', src FROM e WHERE repo = 'harbor-suite' AND start
 s AS (SELECT DISTINCT repo || '/' || alias AS start FROM graph_nodes WHERE node_id % 20 = 0 AND repo IS NOT NULL AND alias IS NOT NULL),
 w AS (SELECT start, start AS alias, 0 AS depth FROM s UNION SELECT w.start, l.dst, depth + 1 FROM w JOIN l ON l.src = w.alias AND l.src <> l.dst WHERE depth < 3)
 SELECT start, alias, min(depth) AS depth FROM w GROUP BY ALL""",
+    "graph_closure": _CTE.replace("WITH n AS", "WITH RECURSIVE n AS") + """, l AS (SELECT DISTINCT repo || '/' || src AS src, repo || '/' || split_part(dst, '.', 1) AS dst FROM e WHERE op = '→'),
+s AS (SELECT DISTINCT repo || '/' || alias AS start FROM graph_nodes WHERE node_id % 20 = 0 AND repo IS NOT NULL AND alias IS NOT NULL),
+w(start, alias, depth) USING KEY (start, alias) AS (SELECT start, start AS alias, 0 AS depth FROM s UNION SELECT x.start, x.dst, x.depth + 1 FROM (SELECT w.start, l.dst, min(w.depth) AS depth FROM w JOIN l ON l.src = w.alias AND l.src <> l.dst GROUP BY ALL) x
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.w k WHERE k.start = x.start AND k.alias = x.dst))
+SELECT start, alias, depth FROM w""",
     "graph_skeleton": _CTE + """, f AS (SELECT DISTINCT repo, path_rel, kind, node_name, coalesce(exported, false) AS exported, coalesce(len(methods), 0) AS n_methods FROM n WHERE path_rel IS NOT NULL)
 SELECT repo, path_rel, coalesce(string_agg(DISTINCT node_name, ',' ORDER BY node_name) FILTER (kind = 'C'), '') AS classes, coalesce(string_agg(DISTINCT node_name, ',' ORDER BY node_name) FILTER (kind = 'F' AND exported), '') AS exported_functions,
 count(*) FILTER (kind = 'C') AS n_classes, count(*) FILTER (kind = 'F') AS n_functions, coalesce(sum(n_methods) FILTER (kind = 'C'), 0)::BIGINT AS n_methods FROM f GROUP BY ALL""",

@@ -48,3 +48,24 @@ def test_context_style_and_report(spark):
     assert (row["dead"], row["errors"], row["undocumented"], row["score"], row["rating"]) == (3, 1, 1, 90, "excellent") and row["topics"].startswith("3 dead code")
     ctx = D.generate_context(X.functions(facts), X.classes(facts), D.ctx_entries(spark.createDataFrame([("ui/item.js", "Item()|kept")], "path string, text string")))
     assert {r["path_rel"]: r["text"] for r in ctx.collect()}["ui/item.js"].split("\n") == ["--- ui/item.js ---", "class Item extends HTMLElement|kept", "class Plain|{DESCRIBE}"]
+
+
+def test_undocumented_levels_and_mismatches(spark):
+    js = """class K { _p() {} get g() { return 1; } run(a) {} }
+/** Moves.
+ * @param {number} x
+ */
+function move(x, y) { return x; }
+
+
+function bare() {}
+async function w() { fs.readFileSync('a'); readSync(); util.promisify(f); promisify(g); }
+"""
+    x = X.extract(spark.createDataFrame([(1, "r", "a.js", ".js", js)], "file_id long, repo string, path_rel string, ext string, raw string"))
+    rows = {(r["level"], r["name"], r["reason"]) for r in A.undocumented(X.functions(x), X.classes(x)).collect()}
+    assert rows == {("params", "move", "@returns"), ("all", "move", "@returns"), ("all", "K", "No JSDoc")} | {(level, n, more + "@param, @returns") for level, more in (("params", ""), ("all", "description, ")) for n in ("bare", "w", "K.run")}
+    assert {(r["name"], r["kind"], r["severity"]) for r in A.doc_mismatches(X.functions(x)).collect()} == {("move", "count", "error"), ("move", "returns", "warning")}
+    found = sorted(f["rule"] for f in X.facts_of(".js", js)["findings"])
+    assert found == ["promisify-usage", "sync-in-async"]
+    red = A.redundant_dependencies(spark.createDataFrame([("r", "uuid"), ("r", "uuid"), ("r", "left-pad"), (None, "glob"), ("r", None)], "repo string, name string"))
+    assert {tuple(r) for r in red.collect()} == {("r", "uuid", "crypto.randomUUID()", "Node 19"), (None, "glob", "fs.glob()", "Node 22")}
