@@ -48,7 +48,7 @@ VENDORED_TEXT = re.compile(
 COMMENT_LINE = re.compile(r"^\s*(?://|#|--|/\*|\*)")
 IMPORT_LINE = re.compile(r"^\s*(?:import\b|from\s+\S+\s+import\b|package\s+\w+|export\s*(?:\*|\{).*\bfrom\b|['\"]use strict['\"]|(?:const|let|var)\s+[\w{},\s$]+=\s*require\(|\}\s*from\b|[)\}];?\s*$|\(\s*$|[\"'][\w./@-]+[\"']\s*,?\s*$|\w+,?\s*$)")
 LITERALS = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|\b\d[\w.]*')
-FILLER = re.compile(r"[\s,;:\[\]{}()\-+]+")
+FILLER = dict.fromkeys(map(ord, " \t\n\r\f\v,;:[]{}()-+"))
 NO_VALUE = re.compile(r"\b(?:null|none|nil|true|false)\b", re.I)
 INSERT_HEAD = re.compile(r"^insert\s+into\s+[\w.\"`\[\]]+\s*(?:\([\w\s,\"`]*\)\s*)?values\b", re.I)
 STATEMENT = re.compile(r"""^[ \t]*(?:'''[^\n]*'''|\"{3}[^\n]*\"{3}|'[^'\n]*'|"[^"\n]*");?[ \t]*$""", re.M)
@@ -114,15 +114,16 @@ def is_data(text: str) -> bool:
         if not s or COMMENT_LINE.match(s):
             continue
         total += len(s)
-        row = INSERT_HEAD.sub("", s)
-        rest = LITERALS.sub("", row)
-        if len(rest) < len(row) and ("," in rest or ":" in rest) and not FILLER.sub("", NO_VALUE.sub("", rest)):
-            data += len(s)
+        if "," in s or ":" in s:
+            row = INSERT_HEAD.sub("", s) if s[0] in "iI" else s
+            rest = LITERALS.sub("", row)
+            if len(rest) < len(row) and ("," in rest or ":" in rest) and not NO_VALUE.sub("", rest).translate(FILLER):
+                data += len(s)
     if 2 * data > total:
         return True
     text = STATEMENT.sub("", text)
     rest = LITERALS.sub("", text)
-    return len(text) - len(rest) > 0.4 * len(text) and len(FILLER.sub("", rest)) < 0.12 * len(text)
+    return len(text) - len(rest) > 0.4 * len(text) and len(rest.translate(FILLER)) < 0.12 * len(text)
 
 
 def numbered_tables(text: str, least: int = 4) -> bool:
