@@ -84,6 +84,10 @@ def lex(s: str) -> str:
     return t
 
 
+#: every file begins with its package; comments and white space may stand before it
+PACKAGE = re.compile(rf"{BOM}?(?:\s|//[^\n]*(?:\n|$)|/\*(?:[^*]|\*(?!/))*\*/)*package(?![^\W])")
+
+
 class Grammar:
     def __init__(self, name: str = "go"):
         self.groups = Groups(self.classify)
@@ -93,6 +97,8 @@ class Grammar:
         try:
             if not text.strip(BOM + " \t\r\n"):
                 return True
+            if not PACKAGE.match(text):
+                return False
             t = self.groups.fold(lex(text))
             p = Parser(self, t)
             p.file()

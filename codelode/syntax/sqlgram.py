@@ -48,13 +48,22 @@ def tokens(text: str) -> list[str]:
     return out
 
 
+#: what stands before the first word, and it; no word where a script begins with something else
+BEGIN = re.compile(r"(?:\s|--[^\n]*(?:\n|$)|/\*(?:[^*]|\*(?!/))*\*/|;)*([^\W\d][\w$]*)?")
+
+
 class Grammar:
     def __init__(self, name: str = "sql"):
         pass
 
     def check(self, text: str) -> bool:
         try:
-            t = tokens(text.removeprefix(BOM))
+            text = text.removeprefix(BOM)
+            first = BEGIN.match(text)
+            word = first.group(1).lower() if first and first.group(1) else None
+            if word is not None and word not in STATEMENTS:
+                return False  # the rest need not be looked at
+            t = tokens(text)
             start = 0
             while start < len(t):
                 try:
@@ -986,3 +995,4 @@ OTHER = {
     **dict.fromkeys(("savepoint", "release", "use"), Parser.one_name), **dict.fromkeys(("analyze", "vacuum"), Parser.names), **dict.fromkeys(("truncate", "lock", "reindex", "refresh", "describe", "desc"), Parser.some_names), "explain": Parser.explain,
     "set": Parser.set_value, **dict.fromkeys(("call", "execute"), Parser.call_statement), **dict.fromkeys(("reset", "discard", "listen", "notify", "deallocate"), Parser.all_or_names), "show": Parser.show, "replace": Parser.replace,
 }
+STATEMENTS = {"select", "with", "values", "create", "insert", "update", "delete", "drop", "alter", *OTHER, *LOOSE}
