@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.parsing import GRAMMAR_OF, Grammars
+from codelode.llm.parsing import GRAMMAR_OF, _made
 from codelode.syntax import ecma
 
 PAIRS = "file_id long, func_name string, line_no int, signature string, body string, doc string, useful boolean, version timestamp"
@@ -361,7 +361,7 @@ def documented_functions(files: DataFrame, keep_trivial: bool = False) -> DataFr
     """
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grammars = Grammars()
+        grammars = _made
         for pdf in batches:
             out = []
             for f, ext, raw, v in pdf.itertuples(index=False, name=None):

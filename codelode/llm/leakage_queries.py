@@ -39,4 +39,15 @@ iw AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS w
 dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM dw),
 ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM iw)
 """
-ORACLE = {"p6_found": _SQL + "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"}
+#: windows that follow each other on one diagonal are one run
+_RUNS = r"""
+WITH d AS (SELECT doc_id, arg_max(text, loaded_at) AS text FROM documents WHERE text IS NOT NULL GROUP BY doc_id),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM d),
+iw AS (SELECT DISTINCT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE passage IS NOT NULL),
+dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: struct_pack(k := k, g := array_to_string(w[k:k + 11], ' ')))) AS x FROM dw),
+ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: struct_pack(k := k, g := array_to_string(w[k:k + 11], ' ')))) AS y FROM iw),
+h AS (SELECT DISTINCT doc_id, item_id, x.k AS k, x.k - y.k AS diagonal FROM dg JOIN ig ON x.g = y.g),
+r AS (SELECT doc_id, item_id, count(*) + 11 AS run FROM (SELECT *, k - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY k) AS island FROM h) GROUP BY doc_id, item_id, diagonal, island),
+n AS (SELECT item_id, count(DISTINCT doc_id) AS n_docs, max(run)::INT AS longest_run FROM r GROUP BY 1)
+SELECT i.item_id, i.suite, coalesce(n_docs, 0) AS n_docs, coalesce(longest_run, 0) AS longest_run FROM (SELECT DISTINCT item_id, suite FROM eval_items) i LEFT JOIN n USING (item_id)"""
+ORACLE = {"p6_items": _RUNS, "p6_found": _SQL + "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"}

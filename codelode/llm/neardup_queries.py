@@ -62,4 +62,13 @@ c AS (SELECT a.rec_kind, a.id AS id_a, b.id AS id_b, count(*) AS shared FROM s a
 ORACLE = {
     "p3_found": _SETS + """SELECT c.rec_kind, id_a, id_b FROM c JOIN n x ON x.rec_kind = c.rec_kind AND x.id = id_a JOIN n y ON y.rec_kind = c.rec_kind AND y.id = id_b
     WHERE shared >= CASE c.rec_kind WHEN 'file' THEN 0.6 ELSE 0.7 END * (x.n + y.n - shared) - 1e-9""",
+    "p3_groups": _SETS.replace("\nWITH f AS", "\nWITH RECURSIVE f AS") + """, p AS (SELECT c.rec_kind, id_a, id_b, shared = x.n AND shared = y.n AS same FROM c JOIN n x ON x.rec_kind = c.rec_kind AND x.id = id_a JOIN n y ON y.rec_kind = c.rec_kind AND y.id = id_b
+    WHERE shared >= CASE c.rec_kind WHEN 'file' THEN 0.6 ELSE 0.7 END * (x.n + y.n - shared) - 1e-9),
+i AS (SELECT rec_kind, id_a AS id FROM p UNION SELECT rec_kind, id_b FROM p),
+m AS (SELECT i.rec_kind, i.id, least(i.id, coalesce(min(p.id_a), i.id)) AS rep FROM i LEFT JOIN p ON p.rec_kind = i.rec_kind AND p.id_b = i.id AND p.same GROUP BY i.rec_kind, i.id),
+l AS (SELECT DISTINCT p.rec_kind, a.rep AS u, b.rep AS v FROM p JOIN m a ON a.rec_kind = p.rec_kind AND a.id = id_a JOIN m b ON b.rec_kind = p.rec_kind AND b.id = id_b WHERE a.rep <> b.rep),
+e AS (SELECT rec_kind, u, v FROM l UNION SELECT rec_kind, v, u FROM l),
+w AS (SELECT rec_kind, u AS first_id, u AS near FROM e UNION SELECT w.rec_kind, w.first_id, e.v FROM w JOIN e ON e.rec_kind = w.rec_kind AND e.u = w.near),
+g AS (SELECT rec_kind, first_id AS rep, min(near) AS group_id FROM w GROUP BY ALL), k AS (SELECT rec_kind, u AS rep, count(*) AS n_links FROM e GROUP BY ALL), q AS (SELECT rec_kind, rep, count(*) AS n_copies FROM m GROUP BY ALL)
+SELECT m.rec_kind, m.id, m.rep AS class_id, coalesce(g.group_id, m.rep) AS group_id, coalesce(n_links, 0) AS n_links, n_copies FROM m JOIN q ON q.rec_kind = m.rec_kind AND q.rep = m.rep LEFT JOIN g ON g.rec_kind = m.rec_kind AND g.rep = m.rep LEFT JOIN k ON k.rec_kind = m.rec_kind AND k.rep = m.rep""",
 }
