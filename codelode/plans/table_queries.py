@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from codelode.functions.text import CONTEXT_IGNORE, code_tables, context_ignored, mapper_tables, token_estimate
+from codelode.functions.metadata import validate_text
+from codelode.functions.text import CLIENT_READS, CLIENT_WRITES, CONTEXT_IGNORE, KNEX_REACH, MODEL_READS, MODEL_WRITES, NO_MODELS, code_tables, context_ignored, mapper_tables, token_estimate
 from codelode.operators import analysis as A
 from codelode.operators import docs as D
 from codelode.operators import graph as G
 from codelode.plans import analysis_queries as _analysis
 from codelode.plans.analysis_queries import db_table_usage, files, large_files
 from codelode.plans.graph_queries import edges, nodes
-from codelode.sources.tables import table
+from codelode.sources.tables import latest, table
 
 #: names asked for by bundle_by_suffix
 ASKED = ["panel.js", "gate.ts", "index.js", "/score.py", "_tank.go", "-lens.js", "quota.sql"]
@@ -92,7 +94,49 @@ def mapper_scan(spark, folder):
     return rows.select("snippet", made(mapper_tables, False).alias("mapper_reads"), made(mapper_tables, True).alias("mapper_writes"), made(code_tables, False).alias("table_reads"), made(code_tables, True).alias("table_writes"))
 
 
-QUERIES = {f.__name__: f for f in (style_findings, context_ignore, import_span, graph_expand, graph_node_keys, graph_cache, doc_lookup, bundle_by_suffix, largest_files, table_usage_order, mapper_scan)}
+def similar_orders(spark, folder):
+    """Pairs of orders of one customer that score 60 or more by the similarity of functions: parts are the parameters, line states the control flow, suppliers the calls."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_linestatus")
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("l"))
+    text = lambda c: F.transform("l", lambda x: x[c].cast("string"))
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("repo"), (F.col("o_orderstatus") == "F").alias("is_async"))
+    own = orders.join(lines, "l_orderkey").select(
+        "repo", F.col("l_orderkey").alias("ord"), F.col("l_orderkey").cast("string").alias("name"), F.lit("orders").alias("path"), text("l_partkey").alias("params"), "is_async",
+        F.array_join(text("l_linestatus"), "|").alias("structure"), F.array_distinct(text("l_suppkey")).alias("calls"),
+    )
+    return A.similar_functions(own).select(F.col("repo").alias("custkey"), F.col("a_ord").alias("first_order"), F.col("b_ord").alias("second_order"), "score")
+
+
+def view_before_purchase(spark, folder):
+    """For each purchase the user's last view at or before it, if that is at most two days old."""
+    e = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type")
+    w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
+    rows = e.withColumn("viewed_at", F.max(F.when(F.col("event_type") == "view", F.col("ts"))).over(w)).where("event_type = 'purchase'")
+    return rows.where(F.col("viewed_at") >= F.col("ts") - F.expr("interval 2 days")).select("event_id", "user_id", "viewed_at")
+
+
+def markup_depth(spark, folder):
+    """How deep the tags of each document nest, by a running sum over its tags, and what is left open at the end."""
+    tags = F.regexp_extract_all("text", F.lit(r"<(/?)(?:div|span|p|b|i|em|strong|table|tr|td|ul|li|a)\b"), F.lit(1))
+    rows = latest(table(spark, folder, "documents").select("doc_id", "loaded_at", tags.alias("tags")), "doc_id", "loaded_at", ["tags"])
+    w = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    depth = rows.select("doc_id", F.posexplode("tags").alias("n", "t")).withColumn("depth", F.sum(F.when(F.col("t") == "", 1).otherwise(-1)).over(w))
+    return depth.groupBy("doc_id").agg(F.count("*").alias("n_tags"), F.max("depth").alias("deepest"), F.max_by("depth", "n").alias("left_open"))
+
+
+METADATA = [
+    (1, '{"version": 1, "stories": [{"id": "a", "beats": [{"nodes": ["X"]}]}]}'), (2, '{"version": 0, "clusters": [{"color": "red"}], "hiddenNodes": {}}'), (3, "[1]"), (4, "no json"),
+    (5, '{"stories": [{"beats": []}, 3], "nodeDescriptions": []}'), (6, None),
+]
+
+
+def metadata_errors(spark, folder):
+    """What is wrong in a fixed set of metadata documents."""
+    check = F.udf(validate_text, "array<string>")
+    return spark.createDataFrame(METADATA, "doc int, text string").select("doc", F.explode_outer(check("text")).alias("error"))
+
+
+QUERIES = {f.__name__: f for f in (style_findings, context_ignore, import_span, graph_expand, graph_node_keys, graph_cache, doc_lookup, bundle_by_suffix, largest_files, table_usage_order, mapper_scan, similar_orders, view_before_purchase, markup_depth, metadata_errors)}
 
 
 def _pattern(p: str) -> str:
@@ -125,6 +169,13 @@ _RULES = {
     "long-names": f"CASE WHEN {_LONG} > 3 THEN {_LONG} ELSE 0 END",
 }
 _FOUND = " UNION ALL ".join(f"SELECT repo, '{rule}' AS rule, ({n})::BIGINT AS n FROM d" for rule, n in _RULES.items())
+_longest_first = lambda words: "|".join(sorted(words, key=len, reverse=True))
+_MAPPERS = " UNION ALL ".join([
+    *[rf"SELECT file_id, '{w}' AS k, unnest(regexp_extract_all(code, '\bprisma\.(\w+)\.(?:{_longest_first(v)})\s*\(', 1)) AS t, true AS named FROM v" for w, v in (("r", CLIENT_READS), ("w", CLIENT_WRITES))],
+    *[rf"SELECT file_id, '{w}', lower(t), true FROM (SELECT file_id, unnest(regexp_extract_all(code, '\b([A-Z][a-zA-Z]+)\.(?:{_longest_first(v)})\s*\(', 1)) AS t FROM v) WHERE NOT list_contains(string_split('{' '.join(NO_MODELS)}', ' '), t)" for w, v in (("r", MODEL_READS), ("w", MODEL_WRITES))],
+    r"SELECT file_id, CASE WHEN regexp_matches(t, '(?i)\.(insert|update|del|delete|truncate)\s*\(') THEN 'w' ELSE 'r' END, regexp_extract(t, '^knex\s*\(\s*[\x22\x27](\w+)[\x22\x27]\s*\)', 1), false FROM k",
+    *[rf"SELECT file_id, '{w}', unnest(regexp_extract_all(code, '\.(?:{v})\s*\(\s*[\x22\x27](\w+)[\x22\x27]\s*\)', 1)), false FROM v" for w, v in (("r", "from|table"), ("w", "into"))],
+])
 ORACLE = {
     "style_findings": _F + f", a AS (SELECT file_id, repo, raw, CASE WHEN trim(legend) <> '' THEN legend END AS c, string_split(raw, chr(10)) AS l, {_BARE} AS s FROM f WHERE raw IS NOT NULL AND ext IN ('.js', '.mjs'))" + r""",
 d AS (SELECT *, list_filter(list_distinct(list_concat(regexp_extract_all(raw, '(?m)^export\s+(?:default\s+)?(?:async\s+)?(?:function\s*\*?|class|const|let|var)\s+([A-Za-z_$][\w$]*)', 1),
@@ -148,6 +199,24 @@ SELECT repo, path_rel, length(text)::INT AS n_chars, md5(text) AS hash FROM t"""
     "bundle_by_suffix": _F + " SELECT repo, asked, min(path_rel) AS path_rel FROM f JOIN (VALUES " + ", ".join(f"('{a}')" for a in ASKED) + ") v(asked) ON ends_with(path_rel, asked) WHERE repo IS NOT NULL GROUP BY ALL",
     "largest_files": _analysis.ORACLE["large_files"] + " ORDER BY points DESC, n_lines DESC, repo, path_rel LIMIT 30",
     "table_usage_order": _analysis.ORACLE["db_table_usage"] + " ORDER BY total DESC, repo, table_name LIMIT 50",
-    "mapper_scan": """SELECT * FROM (VALUES (1, 'orderItem', 'user', 'orderItem', 'user'), (2, 'order,product', 'invoice,user', 'order,product', 'invoice,user'), (3, '', '', '', ''), (4, 'users', '', 'users', ''), (5, '', 'logs', '', 'logs'),
- (6, 'goods,more', 'orders', 'goods,more', 'orders'), (7, '', '', 'accounts', 'logs'), (8, '', '', '', 'old_rows,stock'), (9, '', '', '', ''), (10, 't1', '', 'carts,lines,t1', '')) t(snippet, mapper_reads, mapper_writes, table_reads, table_writes)""",
+    "mapper_scan": "WITH v(file_id, code) AS (VALUES " + ", ".join("({}, '{}')".format(k, c.replace("'", "''")) for k, c in SNIPPETS) + ")" + r""", e AS (SELECT file_id, code, regexp_replace(code, '\\[\\''\x22`]', '##', 'g') AS bare FROM v),
+quoted AS (SELECT file_id, unnest(list_concat(regexp_extract_all(code, '\x22{3}([\s\S]*?)\x22{3}', 1), regexp_extract_all(code, '`([\s\S]*?)`', 1), regexp_extract_all(bare, '\x22([^\x22]*)\x22', 1), regexp_extract_all(bare, '\x27([^\x27]*)\x27', 1))) AS q FROM e),
+s AS (SELECT file_id, trim(regexp_replace(q, '\s+', ' ', 'g')) AS q FROM quoted WHERE regexp_matches(q, '(?i)^\s*(SELECT|INSERT|UPDATE|DELETE|WITH|CREATE\s+TABLE)\b'))""" + _analysis._NAMED + f""",
+p AS (SELECT file_id, string_split(code, 'knex') AS p FROM v),
+k AS (SELECT file_id, unnest(list_transform(range(2, len(p) + 1), lambda i: substr('knex' || array_to_string(p[i:], 'knex'), 1, {KNEX_REACH}))) AS t FROM p),
+m AS ({_MAPPERS}),
+n AS (SELECT DISTINCT file_id, k, t FROM m WHERE t <> '' AND (named OR length(t) >= 2 AND lower(t) NOT IN ({_analysis._STOP}) AND NOT regexp_matches(t, '^[A-Z][A-Z_]*$') AND NOT regexp_matches(t, '^[A-Z][a-z]') AND NOT regexp_matches(t, '^(pg_|jsonb_|array_|string_|regexp_)'))),
+u AS (SELECT DISTINCT file_id, k, t FROM (SELECT file_id, k, t FROM n UNION ALL SELECT file_id, k, t FROM d)),
+x AS (SELECT file_id, string_agg(t, ',' ORDER BY t) FILTER (k = 'r') AS r, string_agg(t, ',' ORDER BY t) FILTER (k = 'w') AS w FROM n GROUP BY 1), y AS (SELECT file_id, string_agg(t, ',' ORDER BY t) FILTER (k = 'r') AS r, string_agg(t, ',' ORDER BY t) FILTER (k = 'w') AS w FROM u GROUP BY 1)
+SELECT v.file_id AS snippet, coalesce(x.r, '') AS mapper_reads, coalesce(x.w, '') AS mapper_writes, coalesce(y.r, '') AS table_reads, coalesce(y.w, '') AS table_writes FROM v LEFT JOIN x USING (file_id) LEFT JOIN y USING (file_id)""",
+    "similar_orders": """WITH l AS (SELECT l_orderkey AS k, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_linestatus) AS p, list(l_linestatus ORDER BY l_linenumber, l_partkey, l_suppkey, l_linestatus) AS t, list_distinct(list(l_suppkey)) AS c FROM lineitem GROUP BY 1),
+o AS (SELECT o_custkey AS custkey, l.*, o_orderstatus = 'F' AS f, array_to_string(t, '|') AS s FROM orders JOIN l ON k = o_orderkey),
+j AS (SELECT a.custkey, a.k AS first_order, b.k AS second_order, CASE WHEN len(a.p) = len(b.p) THEN 30 ELSE 0 END + floor(20 * len(list_filter(a.p, lambda x: list_contains(b.p, x))) / greatest(len(a.p), len(b.p)) + 0.5) + CASE WHEN a.f = b.f THEN 10 ELSE 0 END
+ + CASE WHEN a.s = b.s THEN 25 ELSE floor(25 * len(list_filter(a.t, lambda x: list_contains(b.t, x))) / greatest(len(a.t), len(b.t)) + 0.5) END + floor(15 * len(list_filter(a.c, lambda x: list_contains(b.c, x))) / greatest(len(a.c), len(b.c)) + 0.5) AS score
+ FROM o a JOIN o b ON a.custkey = b.custkey AND a.k < b.k WHERE NOT (length(a.s) < 3 AND length(b.s) < 3))
+SELECT custkey, first_order, second_order, score::INT AS score FROM j WHERE score >= 60""",
+    "view_before_purchase": "SELECT e.event_id, e.user_id, v.ts AS viewed_at FROM events e ASOF JOIN (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'view') v ON e.user_id = v.user_id AND e.ts >= v.ts WHERE e.event_type = 'purchase' AND v.ts >= e.ts - INTERVAL 2 DAY",
+    "markup_depth": r"""WITH d AS (SELECT doc_id, arg_max(text, loaded_at) AS text FROM documents GROUP BY 1), x AS (SELECT doc_id, regexp_extract_all(text, '<(/?)(?:div|span|p|b|i|em|strong|table|tr|td|ul|li|a)\b', 1) AS t FROM d WHERE text IS NOT NULL),
+y AS (SELECT doc_id, generate_subscripts(t, 1) AS n, unnest(t) AS t FROM x), z AS (SELECT *, sum(CASE WHEN t = '' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY n) AS depth FROM y)
+SELECT doc_id, count(*) AS n_tags, max(depth)::BIGINT AS deepest, arg_max(depth, n)::BIGINT AS left_open FROM z GROUP BY 1""",
 }
