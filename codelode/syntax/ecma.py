@@ -45,8 +45,17 @@ PRIVATE = re.compile(rf"#[{NAME}{K[WORDS[0]]}-{K[WORDS[-1]]}]")
 LINES = re.compile(r"\n{2,}")
 
 
-def _token(m):
-    w = m.group()
+class Tokens(dict):
+    """What each word becomes; the table is emptied when it holds many."""
+
+    def __missing__(self, w: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        c = self[w] = _token(w)
+        return c
+
+
+def _token(w: str) -> str:
     c = K.get(w)
     if c is not None:
         return c
@@ -280,8 +289,14 @@ class JsxOut:
         self.at = i
 
 
+TOKENS = Tokens()
+WORDS_APART = re.compile(f"({WORDLIKE.pattern})")
+
+
 def finish(t: str) -> str:
-    t = WORDLIKE.sub(_token, MEMBER.sub("." + NAME, t))
+    parts = WORDS_APART.split(MEMBER.sub("." + NAME, t))
+    parts[1::2] = [TOKENS[w] for w in parts[1::2]]
+    t = "".join(parts)
     if WRONG in t or chr(92) in t:
         raise Bad("token")
     if "." + NUM in t:

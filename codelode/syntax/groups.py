@@ -15,6 +15,7 @@ FIRST, LAST = 0xF0000, 0x10FFFD
 PART_OPEN, PART_CLOSE = chr(0xE310), chr(0xE311)
 _NONE = rf"[^()\[\]{{}}{PART_OPEN}{PART_CLOSE}]*"
 INNERMOST = re.compile(rf"\({_NONE}\)|\[{_NONE}\]|\{{{_NONE}\}}|{PART_OPEN}{_NONE}{PART_CLOSE}")
+GROUPS_APART = re.compile(f"({INNERMOST.pattern})")
 ANY_BRACKET = re.compile(rf"[()\[\]{{}}{PART_OPEN}{PART_CLOSE}]")
 
 
@@ -25,6 +26,16 @@ class Bad(Exception):
     """The tokens are not of the grammar."""
 
 
+class Learned(dict):
+    """The characters of groups by their text; a group that is not known is learnt."""
+
+    def __init__(self, groups: "Groups"):
+        self.groups = groups
+
+    def __missing__(self, g: str) -> str:
+        return self.groups.learn(g)
+
+
 class Groups:
     """The table of groups of one grammar: ``classify`` gives a hashable description of a group's text, or None if it can be nothing."""
 
@@ -33,7 +44,7 @@ class Groups:
         self.clear()
 
     def clear(self) -> None:
-        self.by_text: dict[str, str] = {}
+        self.by_text: dict[str, str] = Learned(self)
         self.by_kind: dict[object, str] = {}
         self.kind: dict[str, object] = {}
 
@@ -42,18 +53,14 @@ class Groups:
         if len(self.by_text) > self.limit or len(self.by_kind) > (LAST - FIRST) // 2:
             self.clear()
         by_text = self.by_text
-
-        def put(m):
-            g = m.group()
-            c = by_text.get(g)
-            return c if c is not None else self.learn(g)
-
         for _ in range(40):
-            text, n = INNERMOST.subn(put, text)
-            if not n:
+            parts = GROUPS_APART.split(text)
+            if len(parts) == 1:
                 if ANY_BRACKET.search(text):
                     raise Bad("bracket")
                 return text
+            parts[1::2] = [by_text[g] for g in parts[1::2]]
+            text = "".join(parts)
         return self.fold_deep(text)
 
     def fold_deep(self, text: str) -> str:
