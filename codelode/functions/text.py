@@ -73,6 +73,33 @@ def ignored(path: Column, pattern: str) -> Column:
     return path.contains(p)
 
 
+# ---- fixed values: folders that the plain walk over JavaScript files does not enter ----
+WALK_SKIPS = "node_modules .git vendor .context dev-docs .agent .agents .expanded web".split()
+
+
+def walked(path: Column, extensions: tuple[str, ...] = (".js", ".mjs")) -> Column:
+    """Whether the plain walk takes a path: its extension, no folder of the fixed list or with a dot in front on the way, no dot before its name."""
+    parts = F.split(path, "/")
+    folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    out = F.lower(base_name(path)).rlike("(?:" + "|".join(re.escape(e) for e in extensions) + ")$") & ~base_name(path).startswith(".")
+    return F.coalesce(out & ~F.arrays_overlap(folders, F.array(*map(F.lit, WALK_SKIPS))) & ~F.exists(folders, lambda p: p.startswith(".")), F.lit(False))
+
+
+def graph_ignored(path: Column, patterns: list[str]) -> Column:
+    """Whether a list for the graph leaves a path out: name* fits what begins with it, *name what ends with it (path or base name), else what holds it."""
+    out = F.lit(False)
+    for p in (p.strip() for p in patterns):
+        if not p or p.startswith("#"):
+            continue
+        if p.endswith("*"):
+            out = out | path.startswith(p[:-1]) | base_name(path).startswith(p[:-1])
+        elif p.startswith("*"):
+            out = out | path.endswith(p[1:]) | base_name(path).endswith(p[1:])
+        else:
+            out = out | path.contains(p)
+    return F.coalesce(out, F.lit(False))
+
+
 # ---- fixed values: what a context of a whole project leaves out unless it says otherwise ----
 CONTEXT_IGNORE = "vendor/ *.min.js *.bundle.js chart.js d3.js three.js lodash.js jquery*.js dist/ build/ coverage/ *.d.ts *.test.js *.spec.js".split()
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codelode.functions.metadata import validate_text
-from codelode.functions.text import CLIENT_READS, CLIENT_WRITES, CONTEXT_IGNORE, KNEX_REACH, MODEL_READS, MODEL_WRITES, NO_MODELS, code_tables, context_ignored, mapper_tables, token_estimate
+from codelode.functions.text import CLIENT_READS, CLIENT_WRITES, CONTEXT_IGNORE, KNEX_REACH, MODEL_READS, MODEL_WRITES, NO_MODELS, code_tables, context_ignored, graph_ignored, mapper_tables, token_estimate, walked
 from codelode.operators import analysis as A
 from codelode.operators import docs as D
 from codelode.operators import graph as G
@@ -136,7 +136,27 @@ def metadata_errors(spark, folder):
     return spark.createDataFrame(METADATA, "doc int, text string").select("doc", F.explode_outer(check("text")).alias("error"))
 
 
-QUERIES = {f.__name__: f for f in (style_findings, context_ignore, import_span, graph_expand, graph_node_keys, graph_cache, doc_lookup, bundle_by_suffix, largest_files, table_usage_order, mapper_scan, similar_orders, view_before_purchase, markup_depth, metadata_errors)}
+def scan_walk(spark, folder):
+    """JavaScript files per repo that the plain walk takes, those the analyses take, and what an ignore list of the graph leaves of them."""
+    rows = files(spark, folder, ["repo", "path_rel"]).where("path_rel is not null")
+    path = F.col("path_rel")
+    walk = walked(path)
+    plain = walk & ~path.rlike(r"\.(?:css|tpl|min|test|spec)\.js$")
+    return rows.groupBy("repo").agg(F.count_if(walk).alias("n_walked"), F.count_if(plain).alias("n_analysed"), F.count_if(plain & ~graph_ignored(path, IGNORED)).alias("n_in_graph"))
+
+
+IGNORED = ["vendor*", "*_tank.js", "/gen/", "panel.js", "# note", " "]
+
+
+def graph_chain(spark, folder):
+    """Number of steps of a shortest chain of calls from the first caller of the largest repo to its most used symbol; null if there is none."""
+    own = edges(spark, folder).where((F.col("repo") == "harbor-suite") & (F.col("op") == G.CALL))
+    start = own.agg(F.min("src")).first()[0]
+    chain = G.call_chain(own, start, "PS") if start else None
+    return spark.createDataFrame([(start, "PS", len(chain) - 1 if chain else None)], "start string, goal string, n_steps int")
+
+
+QUERIES = {f.__name__: f for f in (style_findings, context_ignore, import_span, graph_expand, graph_node_keys, graph_cache, doc_lookup, bundle_by_suffix, largest_files, table_usage_order, mapper_scan, similar_orders, view_before_purchase, markup_depth, metadata_errors, scan_walk, graph_chain)}
 
 
 def _pattern(p: str) -> str:
@@ -219,4 +239,11 @@ SELECT custkey, first_order, second_order, score::INT AS score FROM j WHERE scor
     "markup_depth": r"""WITH d AS (SELECT doc_id, arg_max(text, loaded_at) AS text FROM documents GROUP BY 1), x AS (SELECT doc_id, regexp_extract_all(text, '<(/?)(?:div|span|p|b|i|em|strong|table|tr|td|ul|li|a)\b', 1) AS t FROM d WHERE text IS NOT NULL),
 y AS (SELECT doc_id, generate_subscripts(t, 1) AS n, unnest(t) AS t FROM x), z AS (SELECT *, sum(CASE WHEN t = '' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY n) AS depth FROM y)
 SELECT doc_id, count(*) AS n_tags, max(depth)::BIGINT AS deepest, arg_max(depth, n)::BIGINT AS left_open FROM z GROUP BY 1""",
+    "scan_walk": _F + r""", p AS (SELECT repo, path_rel, string_split(path_rel, '/')[:-2] AS d, split_part(path_rel, '/', -1) AS b FROM f WHERE path_rel IS NOT NULL),
+w AS (SELECT *, regexp_matches(lower(b), '[.](js|mjs)$') AND NOT starts_with(b, '.') AND len(list_filter(d, lambda x: list_contains(['node_modules', '.git', 'vendor', '.context', 'dev-docs', '.agent', '.agents', '.expanded', 'web'], x) OR starts_with(x, '.'))) = 0 AS walk FROM p),
+a AS (SELECT *, walk AND NOT regexp_matches(path_rel, '[.](css|tpl|min|test|spec)[.]js$') AS plain FROM w)
+SELECT repo, count(*) FILTER (walk) AS n_walked, count(*) FILTER (plain) AS n_analysed, count(*) FILTER (plain AND NOT (starts_with(path_rel, 'vendor') OR starts_with(b, 'vendor') OR ends_with(path_rel, '_tank.js') OR contains(path_rel, '/gen/') OR contains(path_rel, 'panel.js'))) AS n_in_graph FROM a GROUP BY 1""",
+    "graph_chain": _N.replace("WITH n AS", "WITH RECURSIVE n AS") + """, c AS (SELECT DISTINCT src, dst, split_part(dst, '.', 1) AS base FROM e WHERE repo = 'harbor-suite' AND op = '→'), s AS (SELECT min(src) AS start FROM c),
+w(here, depth) USING KEY (here) AS (SELECT start AS here, 0 AS depth FROM s UNION SELECT x.base, x.depth + 1 FROM (SELECT c.base, min(w.depth) AS depth FROM w JOIN c ON c.src = w.here GROUP BY ALL) x WHERE NOT EXISTS (SELECT 1 FROM recurring.w k WHERE k.here = x.base))
+SELECT (SELECT start FROM s) AS start, 'PS' AS goal, (SELECT min(depth) + 1 FROM w JOIN c ON c.src = w.here WHERE c.dst = 'PS' OR c.base = 'PS' OR ends_with(c.dst, '.PS'))::INT AS n_steps""",
 }

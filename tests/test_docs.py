@@ -71,3 +71,18 @@ def test_frames(spark):
     assert [r["text"] for r in text] == ["--- a.js ---\nexport add(x,y=)\nclass A extends B|1m,0$"]
     assert D.interface_hash(X.functions(facts), X.classes(facts), ["path_rel"]).count() == 1
     assert D.context_totals(text and spark.createDataFrame([("r", "abcd")], "repo string, text string"), spark.createDataFrame([("r", "a" * 40)], "repo string, text string")).first()["savings"] == 90.0
+
+
+def test_lookup_and_suffixes(spark):
+    import pytest
+    from codelode.operators import docs as D
+
+    t = lambda rows: spark.createDataFrame(rows, "repo string, path_rel string, text string")
+    files = t([("r", "a.js", ""), ("r", "b.js", ""), ("r", "c.js", ""), ("r", "c.js", "")])
+    notes = t([("r", "a.js", "# a\n\n## Notes\n## Follow-ups\n## Decisions\n"), ("r", "b.js", "mind the gap"), ("r", "c.js", None)])
+    got = {r["path_rel"]: r["text"] for r in D.doc_lookup(files, t([("r", "a.js", " own "), ("r", "b.js", " ")]), t([("r", "a.js", "x"), ("r", "b.js", "section")]), notes).collect()}
+    assert got == {"a.js": "own", "b.js": "section\n\nmind the gap", "c.js": "No documentation found for: c.js"}
+    hits = D.by_suffix(t([("r", "src/gate.js", ""), ("r", "lib/gate.js", ""), ("q", "x", "")]), ["gate.js", "gate.js", "none"])
+    assert [tuple(r) for r in hits.collect()] == [("r", "gate.js", "lib/gate.js")]
+    with pytest.raises(ValueError):
+        D.by_suffix(files, [str(k) for k in range(D.MOST_NAMES + 1)])

@@ -121,3 +121,23 @@ def test_scores(spark):
     assert [(r["rating"], r["points"]) for r in A.large_files(files).orderBy("p").collect()] == [("critical", 4), ("ok", 0)]
     cache = spark.createDataFrame([(1, "x"), (2, None)], "id int, hash string")
     assert [r["hit"] for r in A.cache_state(spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id int, hash string"), cache, ["id"]).orderBy("id").collect()] == [True, False, False]
+
+
+def test_walks_and_lists(spark):
+    paths = ["src/a.js", "web/a.js", "src/.x/a.mjs", "src/.a.js", "a.MJS", "src/a.ts", "vendor2/b.js", "lib/b_tank.js", "x/gen/c.js", None, ""]
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(paths)], "k int, p string")
+    got = {r["p"]: (r["w"], r["g"], r["c"]) for r in df.select("p", X.walked(F.col("p")).alias("w"), X.graph_ignored(F.col("p"), ["vendor*", "*_tank.js", "/gen/", "# a", ""]).alias("g"), X.context_ignored(F.col("p"), ["vendor2/", "?.ts", "*.mjs", ""]).alias("c")).collect()}
+    assert {p for p, x in got.items() if x[0]} == {"src/a.js", "a.MJS", "vendor2/b.js", "lib/b_tank.js", "x/gen/c.js"}
+    assert {p for p, x in got.items() if x[1]} == {"vendor2/b.js", "lib/b_tank.js", "x/gen/c.js"} and {p for p, x in got.items() if x[2]} == {"vendor2/b.js", "src/a.ts", "src/.x/a.mjs"}
+
+
+def test_symbols_in_full_and_caches(spark):
+    nodes = spark.createDataFrame([("r", "B", "C", "Berth", None, ["depth", None], None, True, "b.js", 3), ("r", "f", "F", "free", None, None, ["x"], None, None, None)], "repo string, alias string, kind string, node_name string, extends_name string, methods array<string>, props array<string>, exported boolean, path_rel string, line_no int")
+    edges = spark.createDataFrame([("r", "B", "→", "f.x"), ("r", "B", "→", "f"), ("r", "B", "R→", "t")], "repo string, src string, op string, dst string")
+    rows = {r["symbol"]: r for r in G.symbol_details(nodes, edges).collect()}
+    assert rows["B"]["calls"] == "f,f.x" and rows["B"]["type"] == "class" and rows["f"]["properties"] == "x" and rows["f"]["calls"] == ""
+    assert {r["alias"]: r["keys"] for r in G.present_keys(nodes).collect()} == {"B": "t,m,e,f,l", "f": "t,$"}
+    assert G.method_source("/** Says. */\nasync depth(a) { if (a) { b(); } }\nother() {}", "depth") == "/** Says. */\nasync depth(a) { if (a) { b(); } }" and G.method_source("x", "depth") == "" and G.method_source("depth() { {", "depth") == "depth() { {"
+    times = lambda rows: spark.createDataFrame(rows, "repo string, path_rel string, mtime string")
+    valid = G.cache_valid(times([("a", "x", "1"), ("b", "x", "1"), ("c", "x", None), ("d", "y", "1")]), times([("a", "x", "1"), ("b", "x", "2"), ("c", "x", None), ("e", "y", "1")]))
+    assert {tuple(r) for r in valid.collect()} == {("a", True), ("b", False), ("c", True), ("d", False), ("e", False)}
