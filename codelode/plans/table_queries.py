@@ -11,9 +11,10 @@ from codelode.operators import analysis as A
 from codelode.operators import docs as D
 from codelode.operators import graph as G
 from codelode.plans import analysis_queries as _analysis
-from codelode.plans.analysis_queries import db_table_usage, files, large_files
+from codelode.plans.analysis_queries import db_table_usage, files, large_files, texts
 from codelode.plans.graph_queries import edges, nodes
-from codelode.sources.tables import latest, table
+from codelode.sources.tables import current, latest, table
+from codelode.streaming.events import event_windows
 
 #: names asked for by bundle_by_suffix
 ASKED = ["panel.js", "gate.ts", "index.js", "/score.py", "_tank.go", "-lens.js", "quota.sql"]
@@ -156,7 +157,21 @@ def graph_chain(spark, folder):
     return spark.createDataFrame([(start, "PS", len(chain) - 1 if chain else None)], "start string, goal string, n_steps int")
 
 
-QUERIES = {f.__name__: f for f in (style_findings, context_ignore, import_span, graph_expand, graph_node_keys, graph_cache, doc_lookup, bundle_by_suffix, largest_files, table_usage_order, mapper_scan, similar_orders, view_before_purchase, markup_depth, metadata_errors, scan_walk, graph_chain)}
+def stream_windows(spark, folder):
+    """Events by hour and type, by the operator that runs on streams."""
+    rows = event_windows(table(spark, folder, "events"))
+    return rows.select("start", "event_type", "n_events", F.round("total_value", 3).alias("total_value"))
+
+
+def context_entries(spark, folder):
+    """Functions that the legends of files describe: parameters, descriptions."""
+    rows = texts(spark, folder)
+    keyed = rows.where("file_id is not null").select(F.struct("file_id", "version").alias("path"), F.col("legend").alias("text"))
+    made = D.ctx_entries(keyed).select("path.file_id", "path.version", "line_no", "exported", "name", F.size("params").alias("n_params"), "description")
+    return current(made, rows, "file_id", "version")
+
+
+QUERIES = {f.__name__: f for f in (style_findings, context_ignore, import_span, graph_expand, graph_node_keys, graph_cache, doc_lookup, bundle_by_suffix, largest_files, table_usage_order, mapper_scan, similar_orders, view_before_purchase, markup_depth, metadata_errors, scan_walk, graph_chain, stream_windows, context_entries)}
 
 
 def _pattern(p: str) -> str:
@@ -246,4 +261,9 @@ SELECT repo, count(*) FILTER (walk) AS n_walked, count(*) FILTER (plain) AS n_an
     "graph_chain": _N.replace("WITH n AS", "WITH RECURSIVE n AS") + """, c AS (SELECT DISTINCT src, dst, split_part(dst, '.', 1) AS base FROM e WHERE repo = 'harbor-suite' AND op = '→'), s AS (SELECT min(src) AS start FROM c),
 w(here, depth) USING KEY (here) AS (SELECT start AS here, 0 AS depth FROM s UNION SELECT x.base, x.depth + 1 FROM (SELECT c.base, min(w.depth) AS depth FROM w JOIN c ON c.src = w.here GROUP BY ALL) x WHERE NOT EXISTS (SELECT 1 FROM recurring.w k WHERE k.here = x.base))
 SELECT (SELECT start FROM s) AS start, 'PS' AS goal, (SELECT min(depth) + 1 FROM w JOIN c ON c.src = w.here WHERE c.dst = 'PS' OR c.base = 'PS' OR ends_with(c.dst, '.PS'))::INT AS n_steps""",
+    "stream_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n_events, round(sum(value), 3) AS total_value FROM events GROUP BY ALL",
+    "context_entries": _F + r""", x AS (SELECT file_id, string_split(replace(legend, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM f WHERE legend IS NOT NULL), y AS (SELECT file_id, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM x),
+z AS (SELECT *, regexp_extract(line, '^(export )?(?:async )?([A-Za-z_$][\w$]*)\((.*?)\)(?:→([^→|]*))?(?:→([^|]*))?(?:\|(.*))?$', ['e', 'name', 'params', 'r', 'c', 'd']) AS m FROM y
+ WHERE regexp_matches(line, '^(export )?(?:async )?([A-Za-z_$][\w$]*)\((.*?)\)(?:→([^→|]*))?(?:→([^|]*))?(?:\|(.*))?$') AND NOT starts_with(line, 'class ') AND NOT starts_with(line, ' '))
+SELECT file_id, line_no::INT AS line_no, m.e <> '' AS exported, m.name AS name, len(list_filter(string_split(m.params, ','), lambda p: trim(p) <> ''))::INT AS n_params, CASE WHEN trim(m.d) IN ('{DESCRIBE}', '(auto-documented)') THEN '' ELSE trim(m.d) END AS description FROM z""",
 }
