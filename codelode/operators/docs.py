@@ -101,9 +101,10 @@ def dialect(functions: DataFrame, classes: DataFrame, most_calls: int = 5) -> Da
 
 
 def context_totals(parts: DataFrame, original: DataFrame) -> DataFrame:
-    """(repo, n_tokens, original_tokens, savings) of parts(repo, text) against original(repo, text)."""
-    a = parts.groupBy("repo").agg(F.sum(token_estimate(F.col("text"))).alias("n_tokens"))
-    b = original.groupBy("repo").agg(F.sum(token_estimate(F.col("text"))).alias("original_tokens"))
+    """(repo, n_tokens, original_tokens, savings) of parts(repo, text) against original(repo, text); either may have its ``tokens`` counted already."""
+    count = lambda df: F.sum(F.col("tokens") if "tokens" in df.columns else token_estimate(F.col("text")))
+    a = parts.groupBy("repo").agg(count(parts).alias("n_tokens"))
+    b = original.groupBy("repo").agg(count(original).alias("original_tokens"))
     return b.join(a, "repo", "left").select("repo", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "original_tokens").withColumn("savings", F.when(F.col("original_tokens") > 0, F.round(100 * (1 - F.col("n_tokens") / F.col("original_tokens")), 2)))
 
 
@@ -131,25 +132,26 @@ def contracts(entries: DataFrame, functions: DataFrame, strict: bool = False) ->
 
 
 def rewrite(files: DataFrame, how: str) -> DataFrame:
-    """(file_id, text, n_before, n_after, error) of files(file_id, ext, raw) after ``minify``, ``beautify`` or ``strip_docs``; a text that cannot be read stays as it is."""
+    """(file_id, text, n_before, n_after, error, version) of files(file_id, ext, raw) or also version, which is null if not given, after ``minify``, ``beautify`` or ``strip_docs``; a text that cannot be read stays as it is."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for f, ext, raw in pdf.itertuples(index=False, name=None):
+            for f, ext, raw, version in pdf.itertuples(index=False, name=None):
                 text, error = raw, None
                 try:
                     r = getattr(C, how)(raw, ext == ".tsx")
                     text = r[0] if isinstance(r, tuple) else r
                 except (Bad, RecursionError) as e:
                     error = str(e) or "not read"
-                out.append((f, text, len(raw), len(text), error))
-            yield pd.DataFrame(out, columns=["file_id", "text", "n_before", "n_after", "error"])
+                out.append((f, text, len(raw), len(text), error, version))
+            yield pd.DataFrame(out, columns=["file_id", "text", "n_before", "n_after", "error", "version"])
 
     if how not in ("minify", "beautify", "strip_docs"):
         raise ValueError(f"unknown rewriting {how}")
-    rows = files.where("file_id is not null and raw is not null").select("file_id", F.lower("ext").alias("ext"), "raw").where(F.col("ext").isin(".js", ".mjs", ".ts", ".tsx"))
-    return rows.mapInPandas(run, "file_id long, text string, n_before long, n_after long, error string")
+    version = (F.col("version") if "version" in files.columns else F.lit(None)).cast("timestamp").alias("version")
+    rows = files.where("file_id is not null and raw is not null").select("file_id", F.lower("ext").alias("ext"), "raw", version).where(F.col("ext").isin(".js", ".mjs", ".ts", ".tsx"))
+    return rows.mapInPandas(run, "file_id long, text string, n_before long, n_after long, error string, version timestamp")
 
 
 def generate_context(functions: DataFrame, classes: DataFrame, old: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,8 @@ from codelode.plans.catalogue import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 OVER_TEXTS = """file_inventory content_hash_dups file_lines comment_strip_savings cache_hits large_files rule_hits sql_text_scan code_table_scan staleness checklist_summary checklist_ids doc_sections
-ai_context_tokens health_score style_findings context_ignore import_span largest_files code_functions code_dead code_components""".split()
+ai_context_tokens health_score style_findings context_ignore import_span largest_files code_functions code_dead code_components
+minify_savings strip_docs context_entries""".split()
 
 
 @pytest.mark.parametrize("name", OVER_TEXTS)
