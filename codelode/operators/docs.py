@@ -33,16 +33,20 @@ def ctx_entries(files: DataFrame) -> DataFrame:
 
 
 def checklist_lines(files: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """Items of checklists(key, text): (key, line_no, feature, action, expected, status, fail_reason). Only lines below a heading Tests count.
+    """Items of checklists(key, text): (key, line_no, feature, action, expected, status, fail_reason). Only lines below a heading Tests count; items before any heading are none.
 
-    Made row by row: only the items of a text leave it.
+    Made row by row, in time that grows with the lines: only the items of a text leave it.
     """
-    p = r"^\s*- \[([ x!])\] ([^:]+):\s*(.*?)(?:\s*→\s*(.*?))?(?:\s*\(FAILED: (.*)\))?$"
-    lines = F.transform(F.split(text, r"\r\n|\n"), lambda x, k: F.struct((k + 1).alias("n"), x.alias("line")))
-    heads = F.filter(lines, lambda h: h["line"].rlike("^#{1,2} "))
-    last = lambda i: F.element_at(F.filter(heads, lambda h: h["n"] < i["n"]), -1)
-    items = F.filter(F.filter(lines, lambda i: i["line"].rlike(p)), lambda i: F.coalesce(last(i)["line"].rlike(r"^## Tests\b"), F.lit(False)))
-    found = files.select(*key, F.explode(items).alias("i")).select(*key, "i.n", "i.line")
+    p = r"(?s)^- \[([ x!])\] ([^:]+): \s*(.*?)(?:\s*→\s*(.*?))?(?:\s*\(FAILED: (.*)\))?$"
+    head = lambda x, k: F.when(x.rlike("^#{1,2} "), F.struct((k + 1).alias("n"), x.rlike(r"^## Tests(?![A-Za-z0-9_])").alias("tests")))
+    own = files.select(*key, F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n").alias("_lines"))
+    own = own.select(*key, "_lines", F.filter(F.transform("_lines", head), lambda h: h.isNotNull()).alias("_heads"))
+    # each heading with the line of the next, or the one behind the last line; what stands before the first is below none
+    nexts = F.concat(F.transform(F.filter("_heads", lambda h, k: k > 0), lambda h: h["n"]), F.array(F.size("_lines") + 1))
+    below = F.filter(F.arrays_zip(F.col("_heads").alias("h"), nexts.alias("next")), lambda s: s["h"]["tests"])
+    listed = lambda s: F.transform(F.slice("_lines", s["h"]["n"] + 1, s["next"] - s["h"]["n"] - 1), lambda x, k: F.struct((s["h"]["n"] + k + 1).alias("n"), x.alias("line")))
+    items = F.filter(F.flatten(F.transform(below, listed)), lambda i: i["line"].rlike(r"^- \[[ x!]\] [^:]+: "))
+    found = own.select(*key, F.explode(items).alias("i")).select(*key, "i.n", "i.line")
     g = lambda k: F.regexp_extract("line", p, k)
     status = F.when(g(1) == "x", "passed").when(g(1) == "!", "failed").otherwise("pending")
     return found.select(*key, F.col("n").alias("line_no"), g(2).alias("feature"), g(3).alias("action"), g(4).alias("expected"), status.alias("status"), F.when(g(5) != "", g(5)).alias("fail_reason"))

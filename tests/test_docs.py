@@ -60,6 +60,37 @@ def test_context_and_checklists(spark):
     assert "- [x] login: bad → out\n" in one["a"] and "- [!] cart: add → one (FAILED: late)" in one["b"] and "[x]" not in one["c"] and "FAILED" not in one["c"]
 
 
+LISTS = [
+    (1, "r", "checklist", "- [x] a: before any heading\n- [ ] b: x"),
+    (2, "r", "checklist", "- [x] a: x\r\n## Tests\r\n- [!] a: y (FAILED: z)\r- [ ] a: u\u2028v\n  - [ ] c: indented\n- [ ] d:close\n### Deep\n- [x] b: y\n# Other\n- [x] b: z\n## Testsuite\n- [x] b: z\n## Tests again\n- [x] a: w"),
+    (3, "r", "checklist", ""), (4, "r", "checklist", "## Tests"), (5, "r", "checklist", None),
+]
+
+
+def documents(spark, folder):
+    spark.createDataFrame(LISTS, "doc_id long, repo string, source string, text string").withColumn("loaded_at", F.lit("2024-01-01").cast("timestamp")).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def by_sql(folder, name):
+    import duckdb
+    from codelode.plans.catalogue import ORACLE
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    cur = db.execute(ORACLE[name])
+    return sorted(tuple(r) for r in cur.fetchall()), [d[0] for d in cur.description]
+
+
+def test_items_before_any_heading_are_none(spark, tmp_path):
+    from codelode.plans.catalogue import QUERIES
+
+    folder = documents(spark, tmp_path)
+    want, columns = by_sql(folder, "checklist_ids")
+    assert sorted(tuple(r) for r in QUERIES["checklist_ids"](spark, folder).select(*columns).collect()) == want
+    assert [(r[1], r[4]) for r in want] == [(3, "a.0"), (4, "a.1"), (8, "b.0"), (14, "a.2")]
+
+
 def test_frames(spark):
     from codelode.extract import facts as X
 
