@@ -91,6 +91,15 @@ def test_items_before_any_heading_are_none(spark, tmp_path):
     assert [(r[1], r[4]) for r in want] == [(3, "a.0"), (4, "a.1"), (8, "b.0"), (14, "a.2")]
 
 
+def test_totals_of_lists_with_items_before_any_heading(spark, tmp_path):
+    from codelode.plans.catalogue import QUERIES
+
+    folder = documents(spark, tmp_path)
+    want, columns = by_sql(folder, "checklist_summary")
+    assert sorted(tuple(r) for r in QUERIES["checklist_summary"](spark, folder).select(*columns).collect()) == want
+    assert dict(zip(columns, want[0], strict=True)) == {"repo": "r", "total": 4, "passed": 2, "failed": 1, "pending": 1, "progress": 75}
+
+
 def test_frames(spark):
     from codelode.extract import facts as X
 
