@@ -165,6 +165,21 @@ def _skipped(a: str, b: str) -> Column:
     return (F.length(f"{a}_structure") < 3) & (F.length(f"{b}_structure") < 3)
 
 
+#: what functions of one class have in common
+SHAPE = ["params", "is_async", "structure", "calls"]
+
+
+def shaped(functions: DataFrame) -> DataFrame:
+    """functions(repo, ord, name, path, params, is_async, structure, calls) with ``rep``, the least ord of their class; params and calls are sorted. Rows with a null repo are left out."""
+    own = functions.where("repo is not null").select("repo", "ord", "name", "path", F.array_sort("params").alias("params"), "is_async", "structure", F.array_sort("calls").alias("calls"))
+    return own.withColumn("rep", F.min("ord").over(Window.partitionBy("repo", *SHAPE)))
+
+
+def class_members(functions: DataFrame) -> DataFrame:
+    """(repo, rep, ord, name, path) of every function with its class, as ``similar_classes`` has them; no pair is compared for it."""
+    return shaped(functions).select("repo", "rep", "ord", "name", "path")
+
+
 def similar_classes(functions: DataFrame, threshold: int = 60, most_in_block: int = 500) -> tuple[DataFrame, DataFrame]:
     """(links, members): all pairs of functions of one repo whose score reaches the threshold, told by classes.
 
@@ -174,10 +189,8 @@ def similar_classes(functions: DataFrame, threshold: int = 60, most_in_block: in
     differ where control flow is repeated); n_links pairs of functions reach the threshold. Pairs of the same path and name are not counted. Classes are
     compared in pairs of blocks of a repo, so no task has a whole large repo; none is left out. Rows with a null repo are.
     """
-    keys = ["params", "is_async", "structure", "calls"]
-    own = functions.where("repo is not null").select("repo", "ord", "name", "path", F.array_sort("params").alias("params"), "is_async", "structure", F.array_sort("calls").alias("calls"))
-    own = own.withColumn("rep", F.min("ord").over(Window.partitionBy("repo", *keys)))
-    own = cut(own)
+    keys = SHAPE
+    own = cut(shaped(functions))
     members = own.select("repo", "rep", "ord", "name", "path")
     tokens = F.filter(F.split("structure", r"\|"), lambda x: x != "")
     repeats = lambda c: F.size(F.array_distinct(c)) < F.size(c)

@@ -100,20 +100,21 @@ def code_similar_shapes(spark, folder):
     return A.shape_classes(f).groupBy("repo", "shape").agg(F.count("*").alias("n_functions"))
 
 
-def _similar(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    links, members = A.similar_classes(A.comparable(X.functions(facts(spark, folder))))
-    place = lambda df, c, x: df.select("*", F.col(f"{c}.file_id").alias(f"{x}file_id"), F.col(f"{c}.ord").alias(f"{x}n")).drop(c)
-    return place(place(links, "a_rep", "a_"), "b_rep", "b_"), place(place(members, "rep", "class_"), "ord", "")
+def _place(df: DataFrame, c: str, x: str) -> DataFrame:
+    """An ord of ``comparable`` told by file and number."""
+    return df.select("*", F.col(f"{c}.file_id").alias(f"{x}file_id"), F.col(f"{c}.ord").alias(f"{x}n")).drop(c)
 
 
 def code_similar_functions(spark, folder):
     """All pairs of functions that score 60 or more, told by pairs of classes of equal shape (code_similar_members), with the number of such pairs of functions."""
-    return _similar(spark, folder)[0]
+    links, _ = A.similar_classes(A.comparable(X.functions(facts(spark, folder))))
+    return _place(_place(links, "a_rep", "a_"), "b_rep", "b_")
 
 
 def code_similar_members(spark, folder):
     """The class of each function that code_similar_functions compares: file and number of its first function."""
-    return _similar(spark, folder)[1].select("repo", "class_file_id", "class_n", "file_id", "n", "name")
+    members = A.class_members(A.comparable(X.functions(facts(spark, folder))))
+    return _place(_place(members, "rep", "class_"), "ord", "").select("repo", "class_file_id", "class_n", "file_id", "n", "name")
 
 
 def ddl_columns(spark, folder):

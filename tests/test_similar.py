@@ -40,3 +40,22 @@ def test_similar_pairs_lower_the_score(spark):
     empty = spark.createDataFrame([], "repo string, severity string")
     row = A.full_analysis(X.functions(X.extract(files)), empty.select("repo"), empty, spark.createDataFrame([("r", "ok")], "repo string, rating string")).first()
     assert row["similar"] == 3 and "3 similar pairs" in row["topics"] and row["score"] <= 91
+
+
+def test_members_compare_no_pairs(spark, monkeypatch):
+    from codelode.plans.catalogue import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    columns = ["repo", "class_file_id", "class_n", "file_id", "n", "name"]
+    monkeypatch.setattr(A, "similarity", lambda *_, **__: 1 / 0)
+    monkeypatch.setattr(A, "similar_classes", lambda *_, **__: 1 / 0)
+    got = QUERIES["code_similar_members"](spark, folder)
+    assert got.columns == columns and got.where("struct(class_file_id, class_n) = struct(file_id, n)").count() == got.select(*columns[:3]).distinct().count()
+    assert got.count() == A.comparable(functions_of(spark, folder)).where("repo is not null").count()
+
+
+def functions_of(spark, folder):
+    from codelode.extract import facts as X
+    from codelode.plans.code_facts_queries import facts
+
+    return X.functions(facts(spark, folder))
