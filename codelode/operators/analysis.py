@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions.text import content_hash, glob_regex, token_estimate
+from codelode.operators import similar as S
 from codelode.session import cut
 
 #: rules are rows: bounded by the rule files, so they are broadcast; more than this many are refused
@@ -160,11 +161,6 @@ def similarity(threshold: int = 60, a: str = "a", b: str = "b") -> Column:
     ).cast("int")
 
 
-def _skipped(a: str, b: str) -> Column:
-    """Two functions without control flow to speak of are not compared, whatever else they share."""
-    return (F.length(f"{a}_structure") < 3) & (F.length(f"{b}_structure") < 3)
-
-
 #: what functions of one class have in common
 SHAPE = ["params", "is_async", "structure", "calls"]
 
@@ -180,45 +176,28 @@ def class_members(functions: DataFrame) -> DataFrame:
     return shaped(functions).select("repo", "rep", "ord", "name", "path")
 
 
-def similar_classes(functions: DataFrame, threshold: int = 60, most_in_block: int = 500) -> tuple[DataFrame, DataFrame]:
+def similar_classes(functions: DataFrame, threshold: int = 60, most_in_block: int = 8000, told: str = "ord") -> tuple[DataFrame, DataFrame]:
     """(links, members): all pairs of functions of one repo whose score reaches the threshold, told by classes.
 
     functions(repo, ord, name, path, params, is_async, structure, calls); ord is unique in a repo and may be of any type that can be compared. A
-    class has the same parameters, async flag, control flow and calls; its name is its least ord. members(repo, rep, ord, name, path) has every function.
+    class has the same parameters, async flag, control flow and calls; its name is its least ord, or what ``told`` makes of it. members(repo, rep, ord, name, path) has every function.
     links(repo, a_rep, b_rep, score, back_score, n_links): a_rep <= b_rep; score if the function of a comes first, back_score if that of b does (they
     differ where control flow is repeated); n_links pairs of functions reach the threshold. Pairs of the same path and name are not counted. Classes are
-    compared in pairs of blocks of a repo, so no task has a whole large repo; none is left out. Rows with a null repo are.
+    compared in pairs of blocks of a repo, so no task has a whole large repo; none is left out. Rows with a null repo are. Two functions
+    without control flow to speak of are not compared, whatever else they share.
     """
-    keys = SHAPE
     own = cut(shaped(functions))
-    members = own.select("repo", "rep", "ord", "name", "path")
-    tokens = F.filter(F.split("structure", r"\|"), lambda x: x != "")
-    repeats = lambda c: F.size(F.array_distinct(c)) < F.size(c)
-    reps = own.groupBy("repo", "rep", *keys).agg(F.count("*").alias("n")).withColumn("repeated", repeats(F.col("params")) | repeats(tokens) | repeats(F.col("calls")))
-    blocks = reps.groupBy("repo").agg(F.ceil(F.count("*") / most_in_block).cast("int").alias("n_blocks"))
-    reps = cut(reps.join(blocks, "repo").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")))
-    side = lambda x: reps.select("repo", *[F.col(c).alias(f"{x}_{c}") for c in ("rep", *keys, "n", "repeated", "block")], "n_blocks")
-    a = side("a").withColumn("b_block", F.explode(F.sequence("a_block", F.col("n_blocks") - 1))).drop("n_blocks")
-    b = side("b").withColumn("a_block", F.explode(F.sequence(F.lit(0), "b_block"))).drop("n_blocks")
-    pairs = a.join(b, ["repo", "a_block", "b_block"]).where(((F.col("a_block") < F.col("b_block")) | (F.col("a_rep") <= F.col("b_rep"))) & ~_skipped("a", "b"))
-    pairs = pairs.where((F.col("a_rep") != F.col("b_rep")) | (F.col("a_n") > 1)).withColumn("score", similarity())
-    pairs = pairs.withColumn("back", F.when(F.col("a_repeated") | F.col("b_repeated"), similarity(a="b", b="a")).otherwise(F.col("score"))).where((F.col("score") >= threshold) | (F.col("back") >= threshold))
-    turned = F.col("a_rep") > F.col("b_rep")
-    turn = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
-    links = cut(pairs.select("repo", turn("a_rep", "b_rep").alias("a_rep"), turn("b_rep", "a_rep").alias("b_rep"), turn("score", "back").alias("score"), turn("back", "score").alias("back_score"), "a_n", "b_n"))
-    reached = lambda c: F.col(c) >= threshold
-    both = reached("score") & reached("back_score")
-    half = lambda x: members.select("repo", *[F.col(c).alias(f"{x}_{c}") for c in ("rep", "ord", "name", "path")])
-    # where only one order reaches the threshold, the pairs in that order are counted
-    apart = links.where(~both).join(half("a"), ["repo", "a_rep"]).join(half("b"), ["repo", "b_rep"])
-    apart = apart.where(reached("score") == (F.col("a_ord") < F.col("b_ord"))).where(~(F.col("a_name").eqNullSafe(F.col("b_name")) & F.col("a_path").eqNullSafe(F.col("b_path"))))
-    counted = apart.groupBy("repo", "a_rep", "b_rep").agg(F.count("*").alias("n_apart"))
-    same = half("a").join(half("b").withColumnRenamed("repo", "r"), (F.col("repo") == F.col("r")) & F.col("a_name").eqNullSafe(F.col("b_name")) & F.col("a_path").eqNullSafe(F.col("b_path")) & (F.col("a_ord") < F.col("b_ord")))
-    same = same.groupBy("repo", F.least("a_rep", "b_rep").alias("a_rep"), F.greatest("a_rep", "b_rep").alias("b_rep")).agg(F.count("*").alias("n_same"))
-    every = F.when(F.col("a_rep") == F.col("b_rep"), (F.col("a_n") * (F.col("a_n") - 1) / 2).cast("long")).otherwise(F.col("a_n") * F.col("b_n"))
-    n = F.when(both, every - F.coalesce("n_same", F.lit(0))).otherwise(F.coalesce("n_apart", F.lit(0)))
-    out = links.join(counted, ["repo", "a_rep", "b_rep"], "left").join(same, ["repo", "a_rep", "b_rep"], "left")
-    return out.withColumn("n_links", n.cast("long")).where("n_links > 0").select("repo", "a_rep", "b_rep", "score", "back_score", "n_links"), members
+    return S.similar_links(_told(own, told), SHAPE, threshold, most_in_block), own.select("repo", "rep", "ord", "name", "path")
+
+
+def similar_counts(functions: DataFrame, threshold: int = 60, most_in_block: int = 8000) -> DataFrame:
+    """(repo, similar): the number of pairs that ``similar_classes`` tells; repos without any have no row."""
+    own = functions.where("repo is not null").withColumns({"params": F.array_sort("params"), "calls": F.array_sort("calls")})
+    return S.similar_totals(_told(own, "cast(null as int)"), SHAPE, threshold, most_in_block)
+
+
+def _told(own: DataFrame, told: str) -> DataFrame:
+    return own.select("repo", "ord", F.expr(told).alias("told"), "name", "path", *SHAPE)
 
 
 def comparable(functions: DataFrame) -> DataFrame:

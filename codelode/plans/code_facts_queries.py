@@ -107,7 +107,7 @@ def _place(df: DataFrame, c: str, x: str) -> DataFrame:
 
 def code_similar_functions(spark, folder):
     """All pairs of functions that score 60 or more, told by pairs of classes of equal shape (code_similar_members), with the number of such pairs of functions."""
-    links, _ = A.similar_classes(A.comparable(X.functions(facts(spark, folder))))
+    links, _ = A.similar_classes(A.comparable(X.functions(facts(spark, folder))), told="named_struct('file_id', ord.file_id, 'ord', ord.ord)")
     return _place(_place(links, "a_rep", "a_"), "b_rep", "b_")
 
 

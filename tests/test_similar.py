@@ -54,6 +54,19 @@ def test_members_compare_no_pairs(spark, monkeypatch):
     assert got.count() == A.comparable(functions_of(spark, folder)).where("repo is not null").count()
 
 
+def some_functions(spark, n=400):
+    r = random.Random(2)
+    some = lambda xs, k: r.choices(xs, k=r.randrange(k))
+    rows = [("pq"[r.random() < 0.2], i, r.choice("fgh"), r.choice("uvw"), some("xyz", 4), r.random() < 0.3, "|".join(some(["IF", "FOR", "RET"], 5)), some("klm", 4)) for i in range(n)]
+    return rows, spark.createDataFrame(rows, FUNCTIONS)
+
+
+def test_links_are_made_without_a_row_for_each_pair(spark, monkeypatch):
+    monkeypatch.setattr(A, "similarity", lambda *_, **__: 1 / 0)
+    rows, f = some_functions(spark)
+    assert {(x["repo"], x["a_ord"], x["b_ord"], x["score"]) for x in A.similar_functions(f).collect()} == pairs([(*x[:4], sorted(x[4]), *x[5:7], sorted(x[7])) for x in rows], 60)
+
+
 def functions_of(spark, folder):
     from codelode.extract import facts as X
     from codelode.plans.code_facts_queries import facts
