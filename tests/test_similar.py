@@ -67,6 +67,14 @@ def test_links_are_made_without_a_row_for_each_pair(spark, monkeypatch):
     assert {(x["repo"], x["a_ord"], x["b_ord"], x["score"]) for x in A.similar_functions(f).collect()} == pairs([(*x[:4], sorted(x[4]), *x[5:7], sorted(x[7])) for x in rows], 60)
 
 
+def test_pairs_are_counted_without_links(spark, monkeypatch):
+    monkeypatch.setattr(A, "similar_classes", lambda *_, **__: 1 / 0)
+    rows, f = some_functions(spark)
+    want = pairs([(*x[:4], sorted(x[4]), *x[5:7], sorted(x[7])) for x in rows], 70)
+    assert {r["repo"]: r["similar"] for r in A.similar_counts(f, 70, most_in_block=50).collect()} == {q: sum(x[0] == q for x in want) for q in "pq"}
+    test_similar_pairs_lower_the_score(spark)
+
+
 def functions_of(spark, folder):
     from codelode.extract import facts as X
     from codelode.plans.code_facts_queries import facts
