@@ -8,11 +8,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions.text import alias_base
+from codelode.operators.skew import hot_keys
 from codelode.session import cut
 
 CALL, ELEMENT, FILE, READ, WRITE = "→", "E→", "F→", "R→", "W→"
@@ -165,6 +169,122 @@ def reach(links: DataFrame, starts: DataFrame, steps: int | None = None, most_st
     return known
 
 
+#: at once go so many starts through a part that their bits for all its links or aliases are at most BITS; at most CELLS bits are told at a time
+BITS, CELLS, LEAST_ROWS = 1 << 27, 1 << 19, 1 << 15
+
+
+def closure(links: DataFrame, starts: DataFrame, own: int = 64, most_parts: int = 16, most_links: int = 4_000_000) -> DataFrame:
+    """``reach`` in any number of steps along links(root, src, dst) from starts(root, start), where no alias stands under two roots.
+
+    All links of a root come to one place, so a link is moved once and what is reached is never moved; it is told as it is found. A root with more than
+    ``own`` starts (and a thousandth of all) is taken to up to ``most_parts`` places, each with a part of its starts. Roots with more than ``most_links`` links,
+    which no single place should hold, go through ``reach``. Rows with a null are dropped.
+    """
+    links = cut(links.select("root", "src", "dst").where("root is not null and src is not null and dst is not null and src <> dst").distinct())
+    starts = cut(starts.select("root", "start").where("root is not null and start is not null").distinct())
+    spark, far = links.sparkSession, None
+    wide = hot_keys(links, ["root"], most_links, 1 << 40)  # at most a most_links-th of the links
+    if wide is not None:
+        key = F.broadcast(wide.select("root"))
+        far = reach(links.join(key, "root", "left_semi"), starts.join(key, "root", "left_semi"))
+        links, starts = links.join(key, "root", "left_anti"), starts.join(key, "root", "left_anti")
+    many = hot_keys(starts, ["root"], own)
+    if many is None:
+        parted = lambda df: df.withColumn("parts", F.lit(1))
+    else:
+        parts = F.broadcast(many.select("root", F.least(F.ceil(F.col("n_rows") / own), F.lit(most_parts)).cast("int").alias("parts")))
+        parted = lambda df: df.join(parts, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = parted(links).select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "src", "dst")
+    rows = rows.unionByName(parted(starts).select("root", F.pmod(F.xxhash64("start"), F.col("parts")).cast("int").alias("part"), F.col("start").alias("src"), F.lit(None).cast("string").alias("dst")))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    rows = rows.repartition(n, "root", "part").sortWithinPartitions("root", "part", F.col("dst").isNull())
+    near = rows.mapInArrow(_closures, "start string, alias string, depth int")
+    return near if far is None else near.unionByName(far)
+
+
+def _closures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(start, alias, depth) of rows(root, part, src, dst) that come sorted, in each part the links and then the starts as src without dst."""
+
+    def parts() -> Iterator[list[pa.RecordBatch]]:
+        key, held = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            root, part = b.column(0), b.column(1)
+            other = pc.or_(pc.not_equal(root[1:], root[:-1]), pc.not_equal(part[1:], part[:-1])).to_numpy(zero_copy_only=False)
+            bounds = [0, *(np.flatnonzero(other) + 1).tolist(), b.num_rows]
+            for i, j in zip(bounds, bounds[1:]):
+                at = (root[i].as_py(), part[i].as_py())
+                if held and at != key:
+                    yield held
+                    held = []
+                key = at
+                held.append(b.slice(i, j - i))
+        if held:
+            yield held
+
+    few, n = [], 0
+    for p in parts():
+        for out in _closure(p):
+            few.append(out)
+            n += out.num_rows
+            if n >= LEAST_ROWS:
+                yield from pa.Table.from_batches(few).combine_chunks().to_batches()
+                few, n = [], 0
+    if few:
+        yield from pa.Table.from_batches(few).combine_chunks().to_batches()
+
+
+def _closure(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All starts of one part, many at a time: a row of bits for each alias has a bit for each start, and a step joins the rows of new bits along the links."""
+    rows = pa.Table.from_batches(batches)
+    n_starts = rows["dst"].null_count
+    n_links = len(rows) - n_starts
+    if not n_starts:
+        return
+    coded = pa.chunked_array(rows["src"].chunks + rows["dst"].slice(0, n_links).chunks, rows["src"].type).dictionary_encode().unify_dictionaries()
+    names, codes = coded.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+    src, starts, dst = codes[:n_links], codes[n_links : len(rows)], codes[len(rows) :]
+    order = np.argsort(dst, kind="stable")
+    src, dst = src[order], dst[order]
+    place = np.full(len(names), -1)
+    step = 64 * max(1, min(BITS // max(len(names), n_links), 4096) // 64)
+    for first in range(0, n_starts, step):
+        own = starts[first : first + step]
+        words, k = -(-len(own) // 64), np.arange(len(own))
+        seen = np.zeros((len(names), words), np.uint64)
+        seen[own, k >> 6] = np.uint64(1) << (k & 63).astype(np.uint64)
+        found, bits, depth, called = own, seen[own], 0, names.take(pa.array(own))
+        while len(found):
+            yield from _told(names, called, found, bits, depth)
+            place[found] = np.arange(len(found))
+            at = place[src]
+            place[found] = -1
+            use = np.flatnonzero(at >= 0)
+            if not len(use):
+                break
+            to = dst[use]
+            begin = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+            bits = np.bitwise_or.reduceat(bits[at[use]], begin, axis=0)
+            found = to[begin]
+            bits &= ~seen[found]
+            some = bits.any(axis=1)
+            found, bits = found[some], bits[some]
+            seen[found] |= bits
+            depth += 1
+
+
+def _told(names: pa.Array, starts: pa.Array, found: np.ndarray, bits: np.ndarray, depth: int) -> Iterator[pa.RecordBatch]:
+    """The bits of the found aliases as rows."""
+    width = 64 * bits.shape[1]
+    span = max(1, CELLS // width)
+    for k in range(0, len(found), span):
+        hits = np.flatnonzero(np.unpackbits(bits[k : k + span].reshape(-1).view(np.uint8), bitorder="little").view(bool))
+        row = hits // width
+        cols = [starts.take(pa.array(hits - row * width)), names.take(pa.array(found[k : k + span][row])), pa.array(np.full(len(hits), depth, np.int32))]
+        yield pa.RecordBatch.from_arrays(cols, ["start", "alias", "depth"])
+
+
 def call_chain(edges: DataFrame, start: str, goal: str, most_steps: int = 1000) -> list[str] | None:
     """A shortest chain of aliases from start to goal (an alias, a full target or a member), or None.
 

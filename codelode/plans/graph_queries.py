@@ -64,8 +64,13 @@ def graph_reachable(spark, folder):
 
 
 def graph_closure(spark, folder):
-    """Aliases reached along calls from every 20th node, all repos, in any number of steps."""
-    return G.reach(*_calls(spark, folder)).select("start", "alias", "depth")
+    """Aliases reached along calls from every 20th node, all repos, in any number of steps.
+
+    What stands before the first slash of a name is the same at both ends of a call, also where repos or aliases have slashes themselves.
+    """
+    links, starts = _calls(spark, folder)
+    root = lambda c: F.substring_index(c, "/", 1).alias("root")
+    return G.closure(links.select(root("src"), "src", "dst"), starts.select(root("start"), "start")).select("start", "alias", "depth")
 
 
 def graph_skeleton(spark, folder):
